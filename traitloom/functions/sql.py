@@ -23,9 +23,9 @@ def register_functions(spark: SparkSession) -> None:
         f"array_sort(array_distinct(transform(regexp_extract_all(coalesce(x, ''), {_text(pattern)}, 0), "
         "h -> lower(h))))")
     header = _text(SECTION_HEADER)
+    ids = f"regexp_extract_all(x, {header}, 1)"
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION split_sections(x STRING) "
         "RETURNS TABLE(pos INT, section_id STRING, body STRING) RETURN "
-        f"SELECT p, z.ids, z.bodies FROM (SELECT posexplode(arrays_zip("
-        f"regexp_extract_all(x, {header}, 1) AS ids, "
-        f"slice(split(x, {header}, -1), 2, size(regexp_extract_all(x, {header}, 1))) AS bodies)) AS (p, z))")
+        f"SELECT p, z.`0`, z.`1` FROM (SELECT posexplode(arrays_zip({ids}, "
+        f"slice(split(x, {header}, -1), 2, size({ids})))) AS (p, z))")

@@ -10,6 +10,7 @@ from ..constants import (
 )
 from ..functions.text import strip
 from ..functions.values import categories, json_kind, trait_cost
+from ..session import once
 from .table import LEVELS
 
 TRAIT = (
@@ -26,7 +27,8 @@ class SchemaDocumentError(ValueError):
 def _groups(docs: DataFrame, body: str) -> DataFrame:
     """Each document with its ordered groups, whichever of the two shapes it has.
 
-    Groups are read as JSON text, which keeps the order of the keys.
+    Groups are read as JSON text, which keeps the order of the keys.  ``error``
+    says why a document cannot be used.
     """
     by_name = F.get_json_object(body, "$.trait_groups")
     listed = F.get_json_object(body, "$.groups")
@@ -42,19 +44,21 @@ def _groups(docs: DataFrame, body: str) -> DataFrame:
         lambda g: F.struct(
             F.coalesce(filled(g["group"]), filled(g["group_name"]), filled(g["name"])).alias("group_name"),
             g["traits"].alias("traits")))
-    return docs.withColumn("_shape", shape).withColumn(
-        "_groups", F.when(F.col("_shape") == "object", from_object).when(F.col("_shape") == "list", from_list))
-
-
-def document_errors(docs: DataFrame, body: str = "body") -> DataFrame:
-    """``(doc_id, error)`` of documents that cannot be read as a schema."""
+    shaped = docs.withColumn("_shape", shape)
+    grouped = once(shaped, "_groups", F.when(F.col("_shape") == "object", from_object).when(
+        F.col("_shape") == "list", from_list))
     names = F.transform("_groups", lambda g: g["group_name"])
     error = (
         F.when(F.col("_shape").isNull(), "unknown shape")
         .when(F.exists(names, lambda n: n.isNull()), "group without a name")
         .when(F.size(F.array_distinct(names)) < F.size(names), "duplicate group name")
     )
-    return _groups(docs, body).select("doc_id", error.alias("error")).where(F.col("error").isNotNull())
+    return grouped.withColumn("error", error)
+
+
+def document_errors(docs: DataFrame, body: str = "body") -> DataFrame:
+    """``(doc_id, error)`` of documents that cannot be read as a schema."""
+    return _groups(docs, body).select("doc_id", "error").where(F.col("error").isNotNull())
 
 
 def read_traits(docs: DataFrame, body: str = "body", strict: bool = False) -> DataFrame:
@@ -67,8 +71,7 @@ def read_traits(docs: DataFrame, body: str = "body", strict: bool = False) -> Da
         bad = document_errors(docs, body).limit(5).collect()
         if bad:
             raise SchemaDocumentError("; ".join(f"{r.doc_id}: {r.error}" for r in bad))
-    sound = docs.join(document_errors(docs, body).select("doc_id"), "doc_id", "left_anti") if not strict else docs
-    groups = _groups(sound, body).select("doc_id", F.posexplode("_groups").alias("_g", "_group"))
+    groups = _groups(docs, body).where(F.col("error").isNull()).select("doc_id", F.posexplode("_groups").alias("_g", "_group"))
     traits = groups.select(
         "doc_id", (F.col("_g") + 1).alias("group_ord"), F.col("_group.group_name").alias("group_name"),
         F.posexplode(F.from_json("_group.traits", TRAIT)).alias("_t", "_trait"))
@@ -96,31 +99,38 @@ def traits_from_manifest(docs: DataFrame, body: str = "body") -> DataFrame:
 
 
 def shard_properties(docs: DataFrame, body: str = "body") -> DataFrame:
-    """``(doc_id, group_name, trait_name, node)`` of constrained-output schemas; node is JSON text."""
+    """One row per trait of constrained-output schemas; ``node`` is its JSON text.
+
+    Other columns of *docs*, such as the shard number, stay.
+    """
     def opened(text: Column) -> Column:
         return F.from_json(F.get_json_object(text, "$.properties"), "map<string,string>")
-    groups = docs.select("doc_id", F.posexplode(opened(F.col(body))).alias("group_pos", "group_name", "_g"))
+    kept = [c for c in docs.columns if c != body]
+    groups = docs.select(*kept, F.posexplode(opened(F.col(body))).alias("group_pos", "group_name", "_g"))
     return groups.select(
-        "doc_id", "group_pos", "group_name", F.posexplode(opened(F.col("_g"))).alias("trait_pos", "trait_name", "node"))
+        *kept, "group_pos", "group_name", F.posexplode(opened(F.col("_g"))).alias("trait_pos", "trait_name", "node"))
 
 
-def traits_from_shards(shards: DataFrame, master: DataFrame, body: str = "body") -> DataFrame:
-    """Best-effort traits for keys the master lacks.
+def traits_from_shards(shards: DataFrame, master: DataFrame, body: str = "body", order: str = "shard_no") -> DataFrame:
+    """Best-effort traits for keys the master lacks; the first shard that has one counts.
 
     Integer members make a trait ordinal, each code being its own label; any
     other trait counts as nominal.  There is no unit.
     """
+    key = ["doc_id", "group_name", "trait_name"]
+    place = F.struct(order, "group_pos", "trait_pos")
+    first = shard_properties(shards, body).groupBy(*key).agg(
+        F.min_by("node", place).alias("node"), F.min(place).alias("place"))
+    found = first.join(master.select(*key), key, "left_anti")
     enum = F.try_variant_get(F.try_parse_json("node"), "$.properties.value.enum", "array<variant>")
     whole = F.filter(enum, lambda v: F.schema_of_variant(v) == "BIGINT")
     codes = F.array_sort(F.transform(whole, lambda v: F.try_variant_get(v, "$", "int")))
-    found = shard_properties(shards, body).join(
-        master.select("doc_id", "group_name", "trait_name"), ["doc_id", "group_name", "trait_name"], "left_anti")
     typed = found.withColumn("_codes", codes)
     ordinal = F.size("_codes") > 0
     levels = F.transform("_codes", lambda c: F.struct(
         c.alias("level"), c.cast("string").alias("label"), F.lit(None).cast("string").alias("definition")))
     return typed.select(
-        "doc_id", "group_name", "trait_name", F.when(ordinal, ORDINAL).otherwise(NOMINAL).alias("scale_type"),
+        *key, "place", F.when(ordinal, ORDINAL).otherwise(NOMINAL).alias("scale_type"),
         F.lit(None).cast("string").alias("unit"), F.when(ordinal, levels).alias("levels"))
 
 
@@ -271,7 +281,7 @@ def extract_defs(notes: DataFrame) -> DataFrame:
     """
     each = notes.select("*", F.explode("categories").alias("category"))
     pattern = F.concat(F.lit(r"(?dU)\b\Q"), F.col("category"), F.lit(r"\E\b\s*=\s*(.+)"))
-    tail = F.regexp_extract("note", pattern, 1)
+    tail = F.call_function("regexp_extract", F.col("note"), pattern, F.lit(1))
     found = F.regexp_like("note", pattern)
     first_end = F.regexp_extract(tail, r"(?sdU)^(.*?)(;|\.(?=\s+[A-Z])|\.\s*$|$)", 1)
     body = F.regexp_replace(strip(first_end), r"\.+$", "")

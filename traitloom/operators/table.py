@@ -8,7 +8,7 @@ from ..constants import NOMINAL, ORDINAL, QUANTITATIVE, RESERVED_COLUMNS
 from ..functions.values import (
     column_name, conversion_problem, convert_number, convert_text, is_reserved, json_kind,
 )
-from ..session import small_rows
+from ..session import settle, small_rows
 
 LEVELS = "array<struct<level:int,label:string,definition:string>>"
 #: Most trait columns one wide table may get.
@@ -114,6 +114,7 @@ def resolve_names(
     if mode not in ("error", "prefix_collided", "prefix_all"):
         raise ValueError(f"unknown mode {mode!r}")
     table = table or []
+    paths = settle(paths.select(*table, "path", "scale_type", "unit"))  # met several times below
     dotted = F.array_join("path", ".")
     rename_to = F.lit(None).cast("string")
     for name, new in (rename or {}).items():

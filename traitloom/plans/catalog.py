@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import answer_queries  # noqa: F401
+from . import answer_queries, compare_queries, run_queries, schema_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
