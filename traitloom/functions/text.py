@@ -12,13 +12,20 @@ SECTION_SEPARATOR = "\n\n---\n\n"
 LEAKAGE_PATTERN = "(?iU)(" + "|".join(POPULATION_PATTERNS) + ")"
 
 
+#: Every character that counts as white space at the ends of a text.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(text: Column) -> Column:
     """Drop white space of any kind at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 #: An answer inside a code fence: the opening line, the content, the closing line.
-FENCED = r"(?sU)^\s*```[^\n]*\n?(.*?)(?:(?<=\n)[^\S\n]*```)?\s*$"
+FENCED = r"(?sU)^```[^\n]*\n?(.*?)(?:(?<=\n)[^\S\n]*```)?$"
 
 
 def strip_code_fence(text: Column) -> Column:
@@ -27,7 +34,8 @@ def strip_code_fence(text: Column) -> Column:
     A fence that never closes loses its first line only; an answer on the fence
     line itself is lost with that line.
     """
-    return strip(F.regexp_replace(text, FENCED, "$1"))
+    s = strip(text)
+    return F.when(s.startswith("```"), strip(F.regexp_replace(s, FENCED, "$1"))).otherwise(s)
 
 
 def text_parts(blocks: Column, sep: str = "\n") -> Column:

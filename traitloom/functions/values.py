@@ -44,7 +44,7 @@ def level_label(levels: Column, code: Column, kind: Column) -> Column:
     """Label of an ordinal code; only numbers and booleans can be codes."""
     as_number = (
         F.when(kind == "boolean", F.when(code == "true", F.lit(1.0)).otherwise(F.lit(0.0)))
-        .when(kind == "number", code.try_cast("double"))
+        .when(is_number(kind), code.try_cast("double"))
     )
     hit = F.filter(levels, lambda e: e["level"].cast("double") == as_number)
     return F.get(hit, F.lit(0))["label"]
@@ -171,10 +171,9 @@ def enum_equal(a: Column, b: Column) -> Column:
 
 
 def json_kind(v: Column) -> Column:
-    """``string, number, boolean, null, object, array`` of a VARIANT, NULL if absent."""
-    s = F.schema_of_variant(v)
-    return (
-        F.when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").when(s == "VOID", "null")
-        .when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array")
-        .when(s.isNotNull(), "number")
-    )
+    """Type name of a VARIANT: string, boolean, void (JSON null), object, array or a number type."""
+    return F.lower(F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1))
+
+
+def is_number(kind: Column) -> Column:
+    return ~kind.isin("string", "boolean", "void", "object", "array")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import PROVENANCE_KEY, QUANTITATIVE, STAMP_FIELDS
 from ..functions.values import is_reserved, json_kind, parse_value
-from ..session import small_rows, sql_literal
+from ..session import bounded, small_rows, sql_literal
 from .planning import each_with
 
 TRAIT_KEY = ["group_name", "trait_name"]
@@ -35,19 +35,20 @@ def merge_records(
     a quantitative value becomes a number, NULL if it is none.
     """
     order = order or ["position", "shard_id"]
-    nodes = answered_traits(answers, keys, order)
+    # Lines nobody asked for go first; what is left is bounded per line, and if
+    # this shuffles, the grouping below keeps the same partitioning.
+    asked = answers.join(lines.select(*keys).distinct(), keys, "left_semi")
+    nodes = answered_traits(asked, keys, order)
     newest = nodes.groupBy(*keys, *TRAIT_KEY).agg(F.max_by("node", F.struct(*order)).alias("node"))
     value = F.try_variant_get("node", "$.value", "variant")
-    known = newest.join(traits.select(*TRAIT_KEY, *TRAIT_INFO), TRAIT_KEY).withColumn("value", value)
-    present = known.where(F.col("value").isNotNull())
-    asked = present.join(lines.select(*keys).distinct(), keys, "left_semi")
-    raw = F.try_variant_get("value", "$", "string")
-    return asked.select(
+    known = newest.join(bounded(traits.select(*TRAIT_KEY, *TRAIT_INFO)), TRAIT_KEY).withColumn("value", value)
+    present = known.where(F.col("value").isNotNull()).select(
         *keys, "group_ord", "trait_ord", *TRAIT_KEY, "scale_type", "unit",
         F.try_variant_get("node", "$.rationale", "string").alias("rationale"),
-        "value", raw.alias("raw"), json_kind(F.col("value")).alias("kind"),
-        parse_value(F.col("scale_type"), raw).alias("num"),
+        "value", F.try_variant_get("value", "$", "string").alias("raw"),
+        json_kind(F.col("value")).alias("kind"),
     )
+    return present.withColumn("num", parse_value(F.col("scale_type"), F.col("raw")))
 
 
 def merged_text(records: DataFrame) -> Column:

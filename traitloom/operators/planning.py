@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..constants import REQUEST_FILE_GUARD
 from ..functions.values import custom_id
-from ..session import blocks_of, small_rows, sql_literal
+from ..session import blocks_of, bounded, small_rows, sql_literal
 from .ordered import BLOCK, in_blocks, scan
 
 
@@ -56,7 +56,7 @@ def first_plants(df: DataFrame, n: int, key: str = "line_id") -> DataFrame:
 def manifest_order(df: DataFrame, shards: DataFrame, line: str = "line_id") -> DataFrame:
     """Rows by line and manifest position; shards the manifest lacks come last."""
     known = shards.select("shard_id", F.col("shard_ord").alias("_pos"))
-    ranked = df.join(known, "shard_id", "left")
+    ranked = df.join(bounded(known), "shard_id", "left")
     return ranked.orderBy(line, F.col("_pos").asc_nulls_last(), "shard_id").drop("_pos")
 
 

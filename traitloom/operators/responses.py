@@ -127,10 +127,12 @@ def union_latest(old: DataFrame, new: DataFrame, key: list[str], order: list[str
     return newest_answers(both, key, order)
 
 
-def newest_answers(both: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+def newest_answers(
+    both: DataFrame, key: list[str], order: list[str], keep: list[str] | None = None
+) -> DataFrame:
     """:func:`union_latest` of rows that say themselves whether they are ``is_fresh``."""
     rank = F.struct("is_fresh", *order)
-    keep = [c for c in both.columns if c not in key and c != "is_fresh"]
+    keep = keep or [c for c in both.columns if c not in key and c != "is_fresh"]
     adopted = F.bool_or(~F.col("is_fresh"))
     arrival = F.min(F.when(F.col("is_fresh"), F.struct(*order)))
     merged = both.groupBy(*key).agg(

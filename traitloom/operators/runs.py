@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..constants import (
     BATCH_DISCOUNT, FAILURE_RUN_LENGTH, STATUS_CACHED, STATUS_OK, WARM_HIT_WARN_PCT,
 )
+from ..session import bounded
 from .ordered import quantiles, row_numbers, scan
 
 
@@ -87,7 +88,7 @@ def counter_delta(samp: DataFrame, counter: str, by: list[str], order: str = "ts
     moved = scan(samp, by, [order], previous={"before": counter})
     delta = F.col(counter) - F.col("before")
     return moved.withColumns({
-        "delta": F.greatest(delta, F.lit(0)), "restart": F.coalesce(delta < 0, F.lit(False)),
+        "delta": F.when(delta.isNotNull(), F.greatest(delta, F.lit(0))), "restart": F.coalesce(delta < 0, F.lit(False)),
         "raised": F.coalesce(delta > 0, F.lit(False))}).drop("before")
 
 
@@ -129,7 +130,7 @@ def cost(tokens: DataFrame, prices: DataFrame, scale_to: float | None = None, li
     With *scale_to*, also the price for that many lines at the group's mean.
     """
     usd = (F.col("input_tokens") * F.col("usd_in") + F.col("output_tokens") * F.col("usd_out")) / 1e6
-    priced = tokens.join(prices, "model").withColumn("usd", usd).withColumn(
+    priced = tokens.join(bounded(prices), "model").withColumn("usd", usd).withColumn(
         "usd_batch", F.col("usd") * BATCH_DISCOUNT).drop("usd_in", "usd_out")
     if scale_to is not None:
         priced = priced.withColumn("usd_scaled", F.col("usd") / F.col(lines) * scale_to)

@@ -10,7 +10,7 @@ from ..constants import (
 )
 from ..functions.text import strip
 from ..functions.values import categories, json_kind, trait_cost
-from ..session import once
+from ..session import bounded, once
 from .table import LEVELS
 
 TRAIT = (
@@ -161,8 +161,8 @@ def nodes(docs: DataFrame, body: str = "body", max_depth: int = 14) -> DataFrame
         shut = F.array(F.struct("_n.path", "_n.key", F.lit(None).cast("variant").alias("node")))
         rows = rows.select("doc_id", F.explode(F.concat(shut, children(F.col("_n.path"), F.col("_n.node")))).alias("_n"))
     deeper = json_kind(F.col("_n.node")).isin("object", "array")
-    path = F.when(deeper, F.raise_error(F.lit("document nested too deep; raise max_depth"))).otherwise(F.col("_n.path"))
-    return rows.select("doc_id", path.alias("path"), F.col("_n.key").alias("key"))
+    guard = F.when(deeper, F.raise_error(F.lit("document nested too deep; raise max_depth")).cast("boolean")).otherwise(True)
+    return rows.where(guard).select("doc_id", F.col("_n.path").alias("path"), F.col("_n.key").alias("key"))
 
 
 def forbidden_nodes(docs: DataFrame, body: str = "body") -> DataFrame:
@@ -269,7 +269,7 @@ def allowed_values(traits: DataFrame) -> DataFrame:
 def violations(records: DataFrame, allowed: DataFrame) -> DataFrame:
     """Answers outside the values their trait allows."""
     rules = allowed.where(F.col("allowed").isNotNull()).select("group_name", "trait_name", "allowed")
-    checked = records.join(rules, ["group_name", "trait_name"])
+    checked = records.join(bounded(rules), ["group_name", "trait_name"])
     return checked.where(F.col("raw").isNotNull() & ~F.array_contains("allowed", F.col("raw"))).drop("allowed")
 
 
@@ -333,9 +333,10 @@ def constraint_nodes(docs: DataFrame, body: str = "body", max_depth: int = 8) ->
         rows = rows.select("doc_id", "version", F.explode(step).alias("_s")).select(
             "doc_id", "version", F.col("_s.n").alias("_n"), F.col("_s.open").alias("_open"))
     more = F.col("_open") & F.col("_n.kind").isin("properties", "items")
-    kind = F.when(more, F.raise_error(F.lit("schema nested too deep; raise max_depth"))).otherwise(F.col("_n.kind"))
-    return rows.select("doc_id", "version", F.col("_n.path").alias("path"), kind.alias("kind"),
-                       F.col("_n.payload").alias("payload"))
+    guard = F.when(more, F.raise_error(F.lit("schema nested too deep; raise max_depth")).cast("boolean")).otherwise(True)
+    return rows.where(guard).select(
+        "doc_id", "version", F.col("_n.path").alias("path"), F.col("_n.kind").alias("kind"),
+        F.col("_n.payload").alias("payload"))
 
 
 def schema_diff(docs: DataFrame, versions: list[str], body: str = "body", max_depth: int = 8) -> DataFrame:

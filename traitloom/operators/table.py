@@ -8,7 +8,7 @@ from ..constants import NOMINAL, ORDINAL, QUANTITATIVE, RESERVED_COLUMNS
 from ..functions.values import (
     column_name, conversion_problem, convert_number, convert_text, is_reserved, json_kind,
 )
-from ..session import settle, small_rows
+from ..session import bounded, settle, small_rows
 
 LEVELS = "array<struct<level:int,label:string,definition:string>>"
 #: Most trait columns one wide table may get.
@@ -43,10 +43,10 @@ def flatten_leaves(records: DataFrame, keys: list[str], body: str = "obj", max_d
             F.when(F.col("_n.leaf"), own).otherwise(children(F.col("_n.path"), F.col("_n.node")))
         ).alias("_n"))
     deeper = ~F.col("_n.leaf") & (json_kind(F.col("_n.node")) == "object")
-    checked = F.when(deeper, F.raise_error(F.lit(
-        f"record nested deeper than {max_depth} levels; raise max_depth"))).otherwise(F.col("_n.path"))
-    return top.withColumn("path", checked).where("_n.leaf").select(
-        *keys, "path", F.try_variant_get("_n.node", "$.value", "variant").alias("value"))
+    guarded = F.when(deeper, F.raise_error(F.lit(
+        f"record nested deeper than {max_depth} levels; raise max_depth")).cast("boolean")).otherwise(F.col("_n.leaf"))
+    return top.where(guarded).select(
+        *keys, F.col("_n.path").alias("path"), F.try_variant_get("_n.node", "$.value", "variant").alias("value"))
 
 
 def type_leaves(leaves: DataFrame, traits: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def type_leaves(leaves: DataFrame, traits: DataFrame) -> DataFrame:
     info = traits.select(
         "group_name", "trait_name", "group_ord", "trait_ord", "scale_type", "unit", "levels",
         F.lit(True).alias("declared"))
-    typed = found.join(info, ["group_name", "trait_name"], "left").withColumns({
+    typed = found.join(bounded(info), ["group_name", "trait_name"], "left").withColumns({
         "declared": F.coalesce("declared", F.lit(False)),
         "scale_type": F.coalesce("scale_type", F.lit(NOMINAL)),
         "raw": F.try_variant_get("value", "$", "string"),

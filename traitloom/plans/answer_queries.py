@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx, values as vl
 from ..operators import merge, planning, provenance as prov, responses as rs, runs, schema as sc, table as tb
-from ..session import scratch
+from ..session import scratch, settle
 from ..sources import scans, sinks
 from . import inputs as src
 from .registry import DELIVERY_DESC, over, query
@@ -513,7 +513,9 @@ FROM run_line r LEFT JOIN typed t USING (run_no, line_id) GROUP BY 1, 2""")
 
 
 def _wide(spark: SparkSession, sf: str) -> DataFrame:
-    typed = _typed(spark, sf)
+    typed = settle(_typed(spark, sf).select(
+        *src.RUN_LINE, "path", "group_name", "trait_name", "group_ord", "trait_ord", "scale_type", "unit", "levels",
+        "declared", "num", "text"))  # read for the columns and again for the cells
     columns = tb.table_columns(typed, "prefix_collided")
     return tb.wide_table(typed, columns, src.RUN_LINE, src.run_lines(spark, sf))
 

@@ -23,10 +23,8 @@ RUNS = [1, 2, 3, 4, 5, 6, 7]
 CONFIG_A, CONFIG_B = [1, 2], [3, 4]
 RUN_LINE = ["run_no", "line_id"]
 #: What makes one delivery later than another.
-DELIVERY = [
-    "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity",
-    "l_discount", "l_tax", "l_returnflag", "l_linestatus",
-]
+DELIVERY = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"]
+SCORED = [*DELIVERY, "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 TRAIT_ROWS = [
     # group_ord, group_name, trait_ord, trait_name, scale_type, unit, shard_no
     (1, "whole", 1, "quantity", "quantitative", "cm", 1),
@@ -44,6 +42,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows over all cores when the files give fewer partitions than there are.
+
+    Data of any size comes in more partitions than that and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *columns) if df.rdd.getNumPartitions() < cores else df
+
+
 def traits(spark: SparkSession) -> DataFrame:
     """The trait schema the answers are scored against."""
     levels = [(i, f"d{i:02d}", f"level {i}") for i in range(11)]
@@ -122,10 +129,11 @@ def _answer_texts() -> Column:
 
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw responses of all runs, re-deliveries included."""
-    items = table(spark, sf_dir, "lineitem")
+    items = spread(
+        table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *SCORED), "l_orderkey", "l_partkey")
     rationale = F.concat(F.lit("view "), F.expr("repeat('a', cast(l_quantity as int) % 20)"))
     answered = items.withColumn("rationale", rationale).select(
-        "l_orderkey", "l_linenumber", *DELIVERY, F.posexplode(_answer_texts()).alias("_pos", "_text"))
+        "l_orderkey", "l_linenumber", *SCORED, F.posexplode(_answer_texts()).alias("_pos", "_text"))
     rows = answered.withColumns({
         "shard_no": F.col("_pos") + 1,
         "line_id": line_of(F.col("l_orderkey")),
@@ -150,7 +158,7 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_partkey") % 3 == 0, "partial").otherwise("fresh").alias("source"),
         F.when(F.col("l_suppkey") % 19 == 0, "length").otherwise("stop").alias("finish_reason"),
         F.when(F.col("l_suppkey") % 23 == 0, "let me see").when(F.col("l_suppkey") % 3 == 0, "").alias("reasoning"),
-        *DELIVERY,
+        *SCORED,
     )
 
 
@@ -167,7 +175,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest usable answer per run, line and shard, prior ones adopted."""
     good, _ = split_rejects(parsed(spark, sf_dir))
     rows = good.select("run_no", "line_id", "shard_id", "obj", (F.col("source") == "fresh").alias("is_fresh"), *DELIVERY)
-    return newest_answers(rows, ["run_no", "line_id", "shard_id"], DELIVERY)
+    return newest_answers(rows, ["run_no", "line_id", "shard_id"], DELIVERY, ["obj"])
 
 
 def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,7 +243,7 @@ def _text_list(n: Column, each) -> Column:
 
 
 def _part_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name")
+    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name"), "p_partkey")
     return part.withColumns({
         "doc_id": F.col("p_partkey"),
         "k": (F.lit(2) + F.col("p_size") % 8).cast("int"),

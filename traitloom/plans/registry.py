@@ -25,8 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 DELIVERY_DESC = ", ".join(f"{c} DESC" for c in (
-    "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity",
-    "l_discount", "l_tax", "l_returnflag", "l_linestatus"))
+    "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"))
 
 #: Common table expressions over the driver tables, in order of dependency.
 #: They compute from the source columns and never build or parse JSON.

@@ -73,6 +73,15 @@ def small_rows(df: DataFrame, limit: int = MAX_DIMENSION_ROWS) -> list[Row] | No
     return None if len(rows) > limit else rows
 
 
+def bounded(dimension: DataFrame, limit: int = MAX_DIMENSION_ROWS) -> DataFrame:
+    """The dimension, marked for broadcast only if it has at most *limit* rows.
+
+    A larger one is joined by a shuffle, where Spark splits keys that are hot.
+    """
+    few = dimension.limit(limit + 1).count() <= limit
+    return F.broadcast(dimension) if few else dimension
+
+
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a column that is costly to compute and used more than once.
 
