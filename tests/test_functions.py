@@ -127,3 +127,8 @@ def test_student_t():
     assert stats.t_quantile(0.95, 9) == pytest.approx(2.262157, abs=1e-5)
     assert stats.t_two_sided(1.959964, 10**6) == pytest.approx(0.05, abs=1e-5)
     assert math.isnan(stats.t_two_sided(1.0, 0))
+
+
+def test_a_long_fenced_answer(spark):
+    body = "{" + " x\n" * 400_000 + "}"
+    assert one(spark, "```json\n" + body + "\n```", tx.strip_code_fence) == body

@@ -35,9 +35,7 @@ def parse_value(scale: Column, raw: Column) -> Column:
 
     Empty text, the sentinel in any case and text that is no number are NULL.
     """
-    s = strip(raw)
-    usable = (s != "") & (F.lower(s) != SENTINEL)
-    return F.when((scale == QUANTITATIVE) & usable, number(s))
+    return F.when(scale == QUANTITATIVE, number(raw))  # the grammar refuses the two others
 
 
 def level_label(levels: Column, code: Column, kind: Column) -> Column:
@@ -99,12 +97,10 @@ def custom_id(line: Column, shard: Column) -> Column:
 
 def split_custom_id(cid: Column) -> Column:
     """``(line_id, shard_id)`` split at the last separator; no separator: all shard."""
-    pattern = f"(?s)^(.*){CUSTOM_ID_SEPARATOR}(.*)$"
-    found = F.contains(cid, F.lit(CUSTOM_ID_SEPARATOR))
+    shard = F.substring_index(cid, CUSTOM_ID_SEPARATOR, -1)
+    line_chars = F.length(cid) - F.length(shard) - len(CUSTOM_ID_SEPARATOR)
     return F.struct(
-        F.when(found, F.regexp_extract(cid, pattern, 1)).otherwise("").alias("line_id"),
-        F.when(found, F.regexp_extract(cid, pattern, 2)).otherwise(cid).alias("shard_id"),
-    )
+        F.substring(cid, F.lit(1), F.greatest(line_chars, F.lit(0))).alias("line_id"), shard.alias("shard_id"))
 
 
 def is_reserved(key: Column) -> Column:

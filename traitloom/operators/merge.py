@@ -94,7 +94,7 @@ def gap_report(missing: DataFrame, errors: DataFrame, keys: list[str]) -> DataFr
     """
     per_line = missing.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("group_ord", "trait_ord", *TRAIT_KEY))).alias("_m"))
-    texts = errors.groupBy(*keys).agg(F.array_sort(F.collect_list("error")).alias("shard_errors"))
+    texts = errors.groupBy(*keys).agg(F.array_sort(F.collect_set("error")).alias("shard_errors"))
     traits = F.transform("_m", lambda m: F.struct(m["group_name"].alias("group"), m["trait_name"].alias("trait")))
     return per_line.join(texts, keys, "left").select(
         *keys, traits.alias("missing_traits"),

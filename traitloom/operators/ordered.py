@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import blocks_of, settle
+from ..session import blocks_of, bounded, settle
 
 BLOCK = "_block"
 
@@ -111,9 +111,9 @@ def quantiles(
         rows = rows.withColumn("_all", F.lit(0))
     counts = rows.groupBy(*group, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     ranked = scan(counts, group, ["_v"], sums={"_upto": F.col("_c")})
-    totals = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    if not by:
-        totals = F.broadcast(totals)  # one row
+    # The last running count of a group is its size; few groups are broadcast,
+    # many are joined by a shuffle that Spark splits where a group is hot.
+    totals = bounded(ranked.groupBy(*group).agg(F.max("_upto").alias("n")))
     position = (F.col("n") - 1) * F.col("q")
     wanted = totals.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
     if interpolate:

@@ -190,7 +190,8 @@ _LEAK = "|".join(POPULATION_PATTERNS).replace("'", "''")
 
 def _lint_text(spark: SparkSession, sf: str) -> DataFrame:
     phrase = F.get(F.array(*[F.lit(p) for p in _PHRASES]), (F.col("doc_id") % 10).cast("int"))
-    return src.table(spark, sf, "documents").select("doc_id", F.concat("text", F.lit(" "), phrase).alias("text"))
+    docs = src.spread(src.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return docs.select("doc_id", F.concat("text", F.lit(" "), phrase).alias("text"))
 
 
 _LINT_SQL = "WITH l AS (SELECT doc_id, text || ' ' || (ARRAY[" + ", ".join(f"'{p}'" for p in _PHRASES) + f"""])[doc_id % 10 + 1] AS text FROM documents),
@@ -381,6 +382,19 @@ def stream_monitor(spark: SparkSession, sf: str) -> DataFrame:
     return _micros(spark.read.parquet(store), "w_start")
 
 
+@query("stream_monitor_sliding", over("samp", """+ w AS (
+  SELECT host, date_trunc('day', ts) - INTERVAL 1 DAY * d.n AS s, gauge FROM samp, (VALUES (0), (1)) d(n)), top AS (SELECT max(ts) AS t FROM samp)
+SELECT host, epoch_us(s) AS w_start, CAST(count(*) AS BIGINT) AS samples, min(gauge) AS low, CAST(count(*) FILTER (gauge < 1) AS BIGINT) AS below,
+  count(*) FILTER (gauge < 1) > 0 AS alarm FROM w, top GROUP BY host, s, t HAVING s + INTERVAL 2 DAY <= t - INTERVAL 10 MINUTE"""))
+def stream_monitor_sliding(spark: SparkSession, sf: str) -> DataFrame:
+    """Two-day windows, a new one every day, per host."""
+    store = scratch(spark, "windows")
+    closed = live.monitor(
+        _stream(spark, src.samples(spark, sf), "samples"), "gauge", 1.0, "2 days", "1 day", by=["host"])
+    live.drain(live.append(closed, store, scratch(spark, "state")))
+    return _micros(spark.read.parquet(store), "w_start")
+
+
 @query("stream_totals", over("prog", """
 SELECT status, CAST(count(*) AS BIGINT) AS calls, CAST(sum(prompt_tokens) AS BIGINT) AS input_tokens, CAST(sum(i % 200) AS BIGINT) AS output_tokens
 FROM prog GROUP BY 1"""))
