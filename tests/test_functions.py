@@ -48,14 +48,15 @@ def test_sanitize_unit(spark, unit, want):
 
 
 def ordinal(spark, value):
-    levels = [(0, "none", ""), (1, "weak", ""), (2, "strong", "")]
-    df = spark.createDataFrame([(f'{{"v":{value}}}', levels)], "j string, levels array<struct<level:int,label:string,definition:string>>")
+    labels = {0.0: "none", 1.0: "weak", 2.0: "strong"}
+    df = spark.createDataFrame([(f'{{"v":{value}}}', labels)], "j string, labels map<double,string>")
     v = F.try_variant_get(F.try_parse_json("j"), "$.v", "variant")
     raw, kind = F.try_variant_get(v, "$", "string"), vl.json_kind(v)
+    none = F.lit(None).cast("map<double,string>")
+    text = vl.convert_text(F.lit("ordinal"), raw, kind, F.col("labels"))
     return df.select(
-        vl.convert_text(F.lit("ordinal"), raw, kind, F.col("levels")).alias("t"),
-        vl.conversion_problem(F.lit("ordinal"), raw, kind, F.col("levels")).alias("p"),
-        vl.convert_text(F.lit("ordinal"), raw, kind, F.lit(None).cast(df.schema["levels"].dataType)).alias("bare")).first()
+        text.alias("t"), vl.conversion_problem(F.lit("ordinal"), raw, F.col("labels"), F.lit(None).cast("double"), text).alias("p"),
+        vl.convert_text(F.lit("ordinal"), raw, kind, none).alias("bare")).first()
 
 
 @pytest.mark.parametrize("value,label,problem", [
@@ -73,7 +74,7 @@ def test_ordinal_without_levels_keeps_the_code(spark):
 
 def test_sentinel_is_exact_in_the_table_but_not_at_merge(spark):
     df = spark.createDataFrame([("NOT_ASSESSABLE",)], "x string")
-    no_levels = F.lit(None).cast("array<struct<level:int,label:string,definition:string>>")
+    no_levels = F.lit(None).cast("map<double,string>")
     got = df.select(vl.convert_text(F.lit("nominal"), F.col("x"), F.lit("string"), no_levels).alias("t")).first()
     assert got.t == "NOT_ASSESSABLE"
 

@@ -38,14 +38,13 @@ def parse_value(scale: Column, raw: Column) -> Column:
     return F.when(scale == QUANTITATIVE, number(raw))  # the grammar refuses the two others
 
 
-def level_label(levels: Column, code: Column, kind: Column) -> Column:
-    """Label of an ordinal code; only numbers and booleans can be codes."""
+def level_label(labels: Column, code: Column, kind: Column) -> Column:
+    """Label of an ordinal code in a map by number; only numbers and booleans are codes."""
     as_number = (
         F.when(kind == "boolean", F.when(code == "true", F.lit(1.0)).otherwise(F.lit(0.0)))
         .when(is_number(kind), code.try_cast("double"))
     )
-    hit = F.filter(levels, lambda e: e["level"].cast("double") == as_number)
-    return F.get(hit, F.lit(0))["label"]
+    return F.try_element_at(labels, as_number)
 
 
 def is_missing(raw: Column) -> Column:
@@ -61,22 +60,22 @@ def convert_number(scale: Column, raw: Column, kind: Column) -> Column:
     return F.when((scale == QUANTITATIVE) & ~is_missing(raw), as_number)
 
 
-def convert_text(scale: Column, raw: Column, kind: Column, levels: Column) -> Column:
-    """Table-time text of a nominal or ordinal leaf; an ordinal becomes its label."""
-    label = F.when(levels.isNull(), raw).otherwise(level_label(levels, raw, kind))
+def convert_text(scale: Column, raw: Column, kind: Column, labels: Column) -> Column:
+    """Table-time text of a nominal or ordinal leaf; an ordinal becomes its label.
+
+    An ordinal trait without *labels* keeps its code.
+    """
+    label = F.when(labels.isNull(), raw).otherwise(level_label(labels, raw, kind))
     return F.when(is_missing(raw) | (scale == QUANTITATIVE), F.lit(None).cast("string")).when(
         scale == ORDINAL, label
     ).otherwise(raw)
 
 
-def conversion_problem(scale: Column, raw: Column, kind: Column, levels: Column) -> Column:
+def conversion_problem(scale: Column, raw: Column, labels: Column, num: Column, text: Column) -> Column:
     """Why a cell that holds something became empty, or NULL."""
     return F.when(is_missing(raw), F.lit(None).cast("string")).when(
-        (scale == QUANTITATIVE) & convert_number(scale, raw, kind).isNull(), "non-numeric value"
-    ).when(
-        (scale == ORDINAL) & levels.isNotNull()
-        & convert_text(scale, raw, kind, levels).isNull(), "unknown ordinal code"
-    )
+        (scale == QUANTITATIVE) & num.isNull(), "non-numeric value"
+    ).when((scale == ORDINAL) & labels.isNotNull() & text.isNull(), "unknown ordinal code")
 
 
 def sanitize_unit(unit: Column) -> Column:

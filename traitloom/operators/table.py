@@ -26,27 +26,34 @@ def flatten_leaves(records: DataFrame, keys: list[str], body: str = "obj", max_d
     ignored.  Each level is one unfolding in place, without a shuffle.  A record
     nested deeper than *max_depth* fails the query instead of losing leaves.
     """
-    def children(path: Column, node: Column) -> Column:
-        opened = F.map_entries(F.try_variant_get(node, "$", "map<string,variant>"))
-        return F.transform(opened, lambda e: F.struct(
-            F.concat(path, F.array(e["key"])).alias("path"),
-            e["value"].alias("node"),
-            F.try_variant_get(e["value"], "$.value", "variant").isNotNull().alias("leaf"),
-        ))
-
-    top = records.select(
-        *keys, F.explode(children(F.array().cast("array<string>"), F.col(body))).alias("_n")
-    ).where(~is_reserved(F.col("_n.path")[0]))
+    def opened(node: Column) -> Column:
+        return F.try_variant_get(node, "$", "map<string,variant>")
+
+    def is_leaf(node: Column) -> Column:
+        return F.try_variant_get(node, "$.value", "variant").isNotNull()
+
+    found = records.select(*keys, F.explode(opened(F.col(body))).alias("_key", "_node")).where(~is_reserved(F.col("_key")))
+    found = found.select(*keys, F.array("_key").alias("path"), "_node", is_leaf(F.col("_node")).alias("_leaf"))
     for _ in range(max_depth - 1):
-        own = F.array(F.col("_n"))
-        top = top.select(*keys, F.explode(
-            F.when(F.col("_n.leaf"), own).otherwise(children(F.col("_n.path"), F.col("_n.node")))
-        ).alias("_n"))
-    deeper = ~F.col("_n.leaf") & (json_kind(F.col("_n.node")) == "object")
+        # A leaf passes through this level as the only entry of a map.
+        entries = F.when(F.col("_leaf"), F.create_map(F.lit(""), F.col("_node"))).otherwise(opened(F.col("_node")))
+        below = found.select(*keys, "path", "_leaf", F.explode(entries).alias("_key", "_node"))
+        found = below.select(
+            *keys, F.when(F.col("_leaf"), F.col("path")).otherwise(F.concat("path", F.array("_key"))).alias("path"),
+            "_node", is_leaf(F.col("_node")).alias("_leaf"))
+    deeper = ~F.col("_leaf") & (json_kind(F.col("_node")) == "object")
     guarded = F.when(deeper, F.raise_error(F.lit(
-        f"record nested deeper than {max_depth} levels; raise max_depth")).cast("boolean")).otherwise(F.col("_n.leaf"))
-    return top.where(guarded).select(
-        *keys, F.col("_n.path").alias("path"), F.try_variant_get("_n.node", "$.value", "variant").alias("value"))
+        f"record nested deeper than {max_depth} levels; raise max_depth")).cast("boolean")).otherwise(F.col("_leaf"))
+    return found.where(guarded).select(
+        *keys, "path", F.try_variant_get("_node", "$.value", "variant").alias("value"))
+
+
+def _label_map(levels: Column) -> Column:
+    """Labels by level number; of levels that repeat a number the last counts."""
+    numbers = F.transform(levels, lambda e: e["level"])
+    last = F.filter(
+        levels, lambda e, i: i == F.size(levels) - F.array_position(F.reverse(numbers), e["level"]).cast("int"))
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["level"].cast("double"), e["label"])))
 
 
 def type_leaves(leaves: DataFrame, traits: DataFrame) -> DataFrame:
@@ -56,23 +63,22 @@ def type_leaves(leaves: DataFrame, traits: DataFrame) -> DataFrame:
     outcome of the typing is ``num`` or ``text``, and ``problem`` where a value
     could not be used.
     """
-    found = leaves.withColumn("group_name", F.col("path")[0]).withColumn(
+    named = leaves.withColumn("group_name", F.col("path")[0]).withColumn(
         "trait_name", F.element_at("path", -1))
     info = traits.select(
         "group_name", "trait_name", "group_ord", "trait_ord", "scale_type", "unit", "levels",
-        F.lit(True).alias("declared"))
-    typed = found.join(bounded(info), ["group_name", "trait_name"], "left").withColumns({
+        _label_map(F.col("levels")).alias("_labels"), F.lit(True).alias("declared"))
+    found = named.join(bounded(info), ["group_name", "trait_name"], "left").withColumns({
         "declared": F.coalesce("declared", F.lit(False)),
         "scale_type": F.coalesce("scale_type", F.lit(NOMINAL)),
         "raw": F.try_variant_get("value", "$", "string"),
         "kind": json_kind(F.col("value")),
     })
-    scale, raw, kind, levels = (F.col(c) for c in ("scale_type", "raw", "kind", "levels"))
-    return typed.withColumns({
-        "num": convert_number(scale, raw, kind),
-        "text": convert_text(scale, raw, kind, levels),
-        "problem": conversion_problem(scale, raw, kind, levels),
-    })
+    scale, raw, kind, labels = (F.col(c) for c in ("scale_type", "raw", "kind", "_labels"))
+    typed = found.withColumns({
+        "num": convert_number(scale, raw, kind), "text": convert_text(scale, raw, kind, labels)})
+    problem = conversion_problem(scale, raw, labels, F.col("num"), F.col("text"))
+    return typed.withColumn("problem", problem).drop("_labels")
 
 
 def decode_ordinal(leaves: DataFrame, traits: DataFrame) -> DataFrame:
