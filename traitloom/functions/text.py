@@ -24,18 +24,16 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE_SPACE))
 
 
-#: An answer inside a code fence: the opening line, the content, the closing line.
-FENCED = r"(?sU)^```[^\n]*\n?(.*?)(?:(?<=\n)[^\S\n]*```)?$"
-
-
 def strip_code_fence(text: Column) -> Column:
     """Drop the line that opens a code fence, and the last line if it closes one.
 
     A fence that never closes loses its first line only; an answer on the fence
-    line itself is lost with that line.
+    line itself is lost with that line.  Texts without a fence meet no regex.
     """
-    s = strip(text)
-    return F.when(s.startswith("```"), strip(F.regexp_replace(s, FENCED, "$1"))).otherwise(s)
+    fenced = F.ltrim(text, F.lit(WHITE_SPACE)).startswith("```")
+    inner = F.regexp_replace(strip(text), r"^```[^\n]*\n?", "")
+    inner = F.regexp_replace(inner, r"(?U)(^|\n)[^\S\n]*```$", "")
+    return F.when(fenced, strip(inner)).otherwise(strip(text))
 
 
 def text_parts(blocks: Column, sep: str = "\n") -> Column:

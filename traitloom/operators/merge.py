@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import PROVENANCE_KEY, QUANTITATIVE, STAMP_FIELDS
 from ..functions.values import is_reserved, json_kind, parse_value
-from ..session import bounded, small_rows, sql_literal
+from ..session import bounded, opened, small_rows, sql_literal
 from .planning import each_with
 
 TRAIT_KEY = ["group_name", "trait_name"]
@@ -15,13 +15,9 @@ TRAIT_INFO = ["group_ord", "trait_ord", "scale_type", "unit"]
 
 def answered_traits(answers: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per trait object of each answer; metadata keys and non-groups drop out."""
-    groups = answers.select(
-        *keys, *order, F.explode(F.try_variant_get("obj", "$", "map<string,variant>")).alias("group_name", "_g")
-    ).where(~is_reserved(F.col("group_name")))
-    return groups.select(
-        *keys, *order, "group_name",
-        F.explode(F.try_variant_get("_g", "$", "map<string,variant>")).alias("trait_name", "node"),
-    )
+    kept = [*keys, *order]
+    groups = opened(answers, "obj", "group_name", "_g", kept).where(~is_reserved(F.col("group_name")))
+    return opened(groups, "_g", "trait_name", "node", [*kept, "group_name"])
 
 
 def merge_records(

@@ -8,7 +8,7 @@ from ..constants import NOMINAL, ORDINAL, QUANTITATIVE, RESERVED_COLUMNS
 from ..functions.values import (
     column_name, conversion_problem, convert_number, convert_text, is_reserved, json_kind,
 )
-from ..session import bounded, settle, small_rows
+from ..session import bounded, opened, settle, small_rows
 
 LEVELS = "array<struct<level:int,label:string,definition:string>>"
 #: Most trait columns one wide table may get.
@@ -26,21 +26,20 @@ def flatten_leaves(records: DataFrame, keys: list[str], body: str = "obj", max_d
     ignored.  Each level is one unfolding in place, without a shuffle.  A record
     nested deeper than *max_depth* fails the query instead of losing leaves.
     """
-    def opened(node: Column) -> Column:
-        return F.try_variant_get(node, "$", "map<string,variant>")
-
     def is_leaf(node: Column) -> Column:
         return F.try_variant_get(node, "$.value", "variant").isNotNull()
 
-    found = records.select(*keys, F.explode(opened(F.col(body))).alias("_key", "_node")).where(~is_reserved(F.col("_key")))
+    found = opened(records, body, "_key", "_node", keys).where(~is_reserved(F.col("_key")))
     found = found.select(*keys, F.array("_key").alias("path"), "_node", is_leaf(F.col("_node")).alias("_leaf"))
     for _ in range(max_depth - 1):
-        # A leaf passes through this level as the only entry of a map.
-        entries = F.when(F.col("_leaf"), F.create_map(F.lit(""), F.col("_node"))).otherwise(opened(F.col("_node")))
-        below = found.select(*keys, "path", "_leaf", F.explode(entries).alias("_key", "_node"))
-        found = below.select(
-            *keys, F.when(F.col("_leaf"), F.col("path")).otherwise(F.concat("path", F.array("_key"))).alias("path"),
-            "_node", is_leaf(F.col("_node")).alias("_leaf"))
+        # A leaf is not opened and passes through this level as its one row.
+        inner = found.withColumn("_in", F.when(~F.col("_leaf"), F.col("_node")))
+        below = opened(inner, "_in", "_key", "_child", [*keys, "path", "_node", "_leaf"], outer=True)
+        below = below.where(F.col("_leaf") | F.col("_key").isNotNull())
+        node = F.when(F.col("_leaf"), F.col("_node")).otherwise(F.col("_child"))
+        path = F.when(F.col("_leaf"), F.col("path")).otherwise(F.concat("path", F.array("_key")))
+        found = below.select(*keys, path.alias("path"), node.alias("_node"), "_leaf").select(
+            *keys, "path", "_node", (F.col("_leaf") | is_leaf(F.col("_node"))).alias("_leaf"))
     deeper = ~F.col("_leaf") & (json_kind(F.col("_node")) == "object")
     guarded = F.when(deeper, F.raise_error(F.lit(
         f"record nested deeper than {max_depth} levels; raise max_depth")).cast("boolean")).otherwise(F.col("_leaf"))

@@ -82,6 +82,15 @@ def bounded(dimension: DataFrame, limit: int = MAX_DIMENSION_ROWS) -> DataFrame:
     return F.broadcast(dimension) if few else dimension
 
 
+def opened(df: DataFrame, node: str, key: str, value: str, keep: list[str], outer: bool = False) -> DataFrame:
+    """One row per entry of a VARIANT object; with *outer*, at least one per input row."""
+    tvf = df.sparkSession.tvf
+    unfold = tvf.variant_explode_outer if outer else tvf.variant_explode
+    rows = df.select(*keep, F.col(node).alias("_opened")).lateralJoin(unfold(F.col("_opened").outer()))
+    entries = rows.select(*keep, F.col("key").alias(key), F.col("value").alias(value))
+    return entries if outer else entries.where(F.col(key).isNotNull())
+
+
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a column that is costly to compute and used more than once.
 
