@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: A word, in Java's regular expressions and in the query contracts.
@@ -33,7 +34,7 @@ def steps(batches: Iterable[pa.RecordBatch], text: str, limit: int = STEP_CHARS)
     A text longer than the limit is a slice of its own.
     """
     for batch in batches:
-        lengths = pa.compute.binary_length(batch.column(text)).to_pylist()
+        lengths = pc.binary_length(batch.column(text)).to_pylist()
         start = size = 0
         for i, n in enumerate(lengths):
             if i > start and size + (n or 0) > limit:
