@@ -48,3 +48,29 @@ def steps(batches: Iterable[pa.RecordBatch], text: str, limit: int = STEP_CHARS)
 def texts(batch: pa.RecordBatch, text: str) -> list[str]:
     """The texts of a batch; null counts as empty."""
     return [t or "" for t in batch.column(text).to_pylist()]
+
+
+def groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys, from rows sorted by them; a run may span batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k) for k in keys]
+        cuts = [0]
+        if batch.num_rows > 1:
+            change = None
+            for c in columns:
+                differs = pc.not_equal(c.slice(1), c.slice(0, len(c) - 1))
+                change = differs if change is None else pc.or_(change, differs)
+            cuts += [i + 1 for i in pc.indices_nonzero(change).to_pylist()]
+        for start, stop in zip(cuts, [*cuts[1:], batch.num_rows]):
+            key = tuple(c[start].as_py() for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, stop - start))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, mixing, pii, toxicity
+from . import bpe, minhash, mixing, pii, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,3 +66,9 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), VOCABULARY).drop("text")
     return bpe.decode(encoded, VOCABULARY).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all documents."""
+    return minhash.near_copies(documents(spark, sf_dir))
