@@ -152,7 +152,8 @@ def mix(docs: DataFrame, text: str = "text", seed: int = 7) -> DataFrame:
     stop = F.least(F.col("start") + F.col("size"), F.col("block") * BLOCK + F.col("take"))
     used = F.when(F.col("take").isNotNull(), F.greatest(F.lit(0), stop - F.greatest(F.col("start"), F.col("block") * BLOCK)))
     key = ["sid", "start", "doc_id", "source", "tie", "size"]
-    taken = pieces.join(drawn, ["sid", "block"], "left").groupBy(*key).agg(F.coalesce(F.sum(used), F.lit(0)).alias("taken"))
+    # both sides grow with the input, which the planner cannot see through the unfolding
+    taken = pieces.hint("merge").join(drawn, ["sid", "block"], "left").groupBy(*key).agg(F.coalesce(F.sum(used), F.lit(0)).alias("taken"))
     empty = rows.where("size = 0").select(*key, F.lit(0).cast("long").alias("taken"))
     return taken.unionByName(empty).join(per_source, "sid").select("doc_id", "source", "tie", "size", "source_size", "target", "taken")
 
