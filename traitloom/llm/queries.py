@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, minhash, mixing, pii, toxicity
+from . import bpe, minhash, mixing, pii, quality, substrings, suffixes, toxicity, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,19 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *map(count, pii.BASE), F.sha2(pii.listed(base).cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
+@query
+def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all vectors of a label."""
+    return vectors.near_copies(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the byte strings that start earlier too."""
+    left = suffixes.without_repeats(documents(spark, sf_dir))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
@@ -68,6 +81,23 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements, failure bits and verdict of every document."""
+    rows = quality.ledger(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+    base = ~quality.passes(F.col("failures"), "base")
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"),
+        (~base & quality.passes(F.col("failures"))).alias("kept"), "failures")
+
+
+@query
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the word windows that occur twice or more."""
+    left = substrings.without_repeats(documents(spark, sf_dir))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies among all documents."""
