@@ -41,7 +41,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "secret": r"[=:][\x20]{0,3}[\"']?[A-Za-z0-9+/_-]{8,}+",
-    "number": r"[0-9](?<![0-9]{2})[0-9().\x20/-]{5,40}(?<=[0-9])",
+    "number": r"[0-9](?<![A-Za-z0-9][0-9])[0-9().\x20/-]{5,40}(?<=[0-9])(?![A-Za-z0-9])",
     "contact": r"[A-Za-z0-9._%+-]{1,64}\x20?[(\[]\x20?(?:at|AT)\x20?[)\]]\x20?[A-Za-z0-9-]{1,63}(?:\x20?[(\[]\x20?(?:dot|DOT)\x20?[)\]]\x20?[A-Za-z0-9-]{2,63}|\.[A-Za-z]{2,24})+",
 }
 #: Characters before a candidate that the trees may look at.
