@@ -10,6 +10,9 @@ from traitloom.llm import bpe, minhash, mixing, pii, toxicity
 from traitloom.llm.queries import TOXIC_FROM, VOCABULARY, table
 from traitloom.session import scratch
 
+#: Similarity in percent from which texts count as copies here.
+SIMILAR = 80
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -26,7 +29,7 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Documents without words, or without id, stay.  Rows that repeat as a whole
     stay together, as they are one document.
     """
-    found = minhash.near_copies(docs).where("not kept").select(F.col("doc_id").alias("_copy")).distinct()
+    found = minhash.near_copies(docs, SIMILAR).where("not kept").select(F.col("doc_id").alias("_copy")).distinct()
     return docs.join(found, F.col("doc_id") == F.col("_copy"), "left_anti")
 
 
