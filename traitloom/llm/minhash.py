@@ -45,8 +45,9 @@ MANTISSA = 10
 COLLISION = 0.17 * 2.0 ** -MANTISSA
 #: Five standard deviations of the estimate below a similarity of 0.85.
 MARGIN = 0.17
-#: Members of a bucket that one side of a tile holds on average.
-TILE = 192
+#: Members of a bucket, and bytes of their shortened sets, that one side of a tile holds on average.
+TILE = 640
+TILE_BYTES = 32 << 20
 _EMPTY = 0xFFFF
 
 
@@ -198,8 +199,8 @@ def _open_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             short = [np.unique((np.frombuffer(s, np.uint64) >> np.uint64(32)).astype(np.uint32)).tobytes() for s in batch.column("shingles").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("registers"), pa.array(short, pa.binary())], ["node", "registers", "short"])
 
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
-    sizes = sizes.select("key", F.ceil(F.col("n") / TILE).alias("parts"))
+    parts = F.ceil(F.greatest(F.count("*") / TILE, F.sum("n_shingles") * 4 / TILE_BYTES))
+    sizes = members.groupBy("key").agg(parts.alias("parts"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").drop("c0", "c1")
     tiles = members.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")))
     tiles = tiles.withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)")))
     tiles = tiles.select("key", "band", "node", "component", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
@@ -232,18 +233,18 @@ def near_copies(docs: DataFrame, percent: int = 85, text: str = "text") -> DataF
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("node"))
     # one row for each class: the row of its smallest id
     first = known.join(classes.withColumnsRenamed({"digest": "_digest"}), (F.col("digest") == F.col("_digest")) & (F.col("doc_id") == F.col("node")))
-    first = first.groupBy("node", "digest").agg(F.min("registers").alias("registers"))
+    first = first.groupBy("node", "digest").agg(F.min("registers").alias("registers"), F.min("n_shingles").alias("n_shingles"))
     n_bands = REGISTERS // ROWS
-    bands = first.select("node", F.posexplode(F.transform(
+    bands = first.select("node", "n_shingles", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda b: F.xxhash64(b, F.substr("registers", b * (2 * ROWS) + 1, F.lit(2 * ROWS))))).alias("band", "key"))
     buckets = bands.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key", "least")
-    members = kept(bands.join(buckets, "key").select("key", "band", "node", "least"), "members")
+    members = kept(bands.join(buckets, "key").select("key", "band", "node", "n_shingles", "least"), "members")
 
     source = docs.select(F.col("doc_id").alias("node"), F.col(text).alias("text"))
     sets = kept(_sets(source.join(members.select("node").distinct(), "node")), "sets")
     stars = members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     links = kept(_confirmed(stars, sets, percent), "links")
-    placed = members.join(components(links), "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component"))
+    placed = members.join(components(links), "node", "left").select("key", "band", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
     more = _confirmed(_open_pairs(placed, sets, percent), sets, percent)
     found = classes.join(components(links.unionAll(more)), "node", "left").select("digest", F.coalesce("component", "node").alias("class_id"))
     out = signed.join(found, "digest", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")))
