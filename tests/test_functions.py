@@ -133,3 +133,17 @@ def test_student_t():
 def test_a_long_fenced_answer(spark):
     body = "{" + " x\n" * 400_000 + "}"
     assert one(spark, "```json\n" + body + "\n```", tx.strip_code_fence) == body
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r", "\u2028"])
+def test_fences_with_any_line_end(spark, end):
+    assert one(spark, f'```json{end}{{"a":1}}{end}```', tx.strip_code_fence) == '{"a":1}'
+
+
+def test_student_t_for_any_size():
+    from traitloom.functions.stats import t_quantile, t_two_sided
+    assert abs(t_two_sided(2.0, 10) - 0.07338803477074025) < 1e-12
+    assert abs(t_two_sided(1.0, 1) - 0.5) < 1e-12
+    near, far = t_two_sided(2.0, 99_999), t_two_sided(2.0, 100_001)
+    assert 0 < near - far < 1e-9 and abs(t_two_sided(1.96, 1e9) - 0.04999579) < 1e-7
+    assert abs(t_quantile(0.95, 9) - 2.2621571628) < 1e-8

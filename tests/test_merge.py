@@ -130,6 +130,34 @@ def test_too_deep_is_an_error(spark):
         tb.flatten_leaves(docs, ["line_id"], max_depth=2).collect()
 
 
+def test_depth_comes_from_the_records(spark):
+    deep = {"value": "x{[\"\\"}
+    for i in range(20):
+        deep = {f"k{i}": deep, "empty": {}}
+    docs = parts(spark, [("a", "s", 1, json.dumps(deep)), ("b", "s", 1, '{"g":{"t":{"value":1}},"e":{}}')])
+    got = {(r.line_id, len(r.path)) for r in tb.flatten_leaves(docs, ["line_id"]).collect()}
+    assert got == {("a", 20), ("b", 2)}
+    # an object without leaves does not count as too deep
+    assert tb.flatten_leaves(docs.where("line_id = 'b'"), ["line_id"], max_depth=2).count() == 1
+
+
+def test_wide_tables_of_many_blocks(spark, monkeypatch):
+    typed = spark.createDataFrame([("l1", f"t{i}", float(i)) for i in range(7)] + [("l2", "t3", 1.0), (None, "t6", 2.0)], "line_id string, t string, num double")
+    typed = typed.select("line_id", F.array(F.lit("g"), "t").alias("path"), "num", F.lit(None).cast("string").alias("text"))
+    columns = [{"name": f"t{i}", "path": ["g", f"t{i}"], "scale_type": "quantitative", "levels": None} for i in range(7)]
+    want = sorted(map(str, tb.wide_table(typed, columns, ["line_id"]).collect()))
+    monkeypatch.setattr(tb, "COLUMN_BLOCK", 2)
+    assert sorted(map(str, tb.wide_table(typed, columns, ["line_id"]).collect())) == want and len(want) == 3
+
+
+def test_shard_only_traits_follow_the_master(spark):
+    rows = [("z_first", 1, 1, True), ("shard", None, None, True), ("a_second", 1, 2, True), ("unknown", None, None, False)]
+    typed = spark.createDataFrame(rows, "trait_name string, group_ord int, trait_ord int, declared boolean").selectExpr(
+        "array('g', trait_name) path", "'g' group_name", "trait_name", "'nominal' scale_type", "cast(null as string) unit", "declared", "group_ord", "trait_ord",
+        "cast(null as array<struct<level:int,label:string,definition:string>>) levels")
+    assert [c["name"] for c in tb.table_columns(typed)] == ["z_first", "a_second", "shard", "unknown"]
+
+
 def names(spark, rows, mode, rename=None):
     df = spark.createDataFrame([(p.split("."), s, u) for p, s, u in rows], "path array<string>, scale_type string, unit string")
     return {".".join(r.path): (r.name, r.problem) for r in tb.resolve_names(df, mode, rename).collect()}
@@ -176,7 +204,7 @@ def test_wide_table(spark, traits, tmp_path):
     wide = tb.wide_table(typed, tb.table_columns(typed), ["line_id"], docs)
     assert wide.columns == ["line_id", "size_cm", "hue", "rank", "new"]
     assert sorted(tuple(r) for r in wide.collect()) == [
-        ("a", 2.5, "x", "high", "true"), ("b", None, None, None, None), ("c", None, None, None, None)]
+        ("a", 2.5, "x", "high", "True"), ("b", None, None, None, None), ("c", None, None, None, None)]
     assert [tuple(r) for r in tb.conversion_warnings(typed, ["line_id"]).collect()] == [("b", "rank", "9", "unknown ordinal code")]
     assert [r.trait_name for r in tb.unknown_traits(typed).collect()] == ["new"]
     sinks.write_table(wide, f"file://{tmp_path}/w", [{"provider": "p"}])

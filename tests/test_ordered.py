@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from traitloom.operators import planning, runs
 from traitloom.operators.ordered import quantiles, row_numbers, scan
-from traitloom.operators.reports import assemble_text
+from traitloom.operators.reports import assemble_text, ordered_texts
 
 
 def hot(n=3000, seed=1):
@@ -52,9 +52,18 @@ def test_quantiles(spark, by):
 
 
 def test_failure_runs_span_ranges(spark):
-    rows = [("hot", i, "api error" if 100 <= i < 900 else "ok") for i in range(1000)] + [("x", 1, "api error"), ("x", 2, "api error")]
-    df = spark.createDataFrame(rows, "line_id string, i int, status string").withColumn("ts", F.timestamp_seconds("i"))
-    assert [(r.line_id, r.length) for r in runs.failure_runs(df).collect()] == [("hot", 800)]
+    rows = [("hot", i, i, "api error" if 100 <= i < 900 else "ok") for i in range(1000)] + [("x", 1, 1, "api error"), ("x", 2, 2, "api error")]
+    df = spark.createDataFrame(rows, "run string, line_id int, i int, status string").withColumn("ts", F.timestamp_seconds("i"))
+    assert [(r.run, r.length) for r in runs.failure_runs(df, ["run"]).collect()] == [("hot", 800)]
+
+
+def test_failure_runs_count_lines(spark):
+    # calls of a line need not stand together; one usable call, a cached one too, is enough for it
+    calls = [("a", "api error"), ("b", "api error"), ("a", "api error"), ("c", "api error"), ("d", "api error"),
+             ("e", "api error"), ("e", "skip (cached)"), ("f", "api error"), ("g", "ok"), ("f", "api error"), ("g", "api error"), ("h", "api error")]
+    df = spark.createDataFrame([("r", line, i, s) for i, (line, s) in enumerate(calls)], "run string, line_id string, i int, status string")
+    got = runs.failure_runs(df.withColumn("ts", F.timestamp_seconds("i")), ["run"]).collect()
+    assert [(r.length, r.first_ts.second, r.last_ts.second) for r in got] == [(4, 1, 4)]
 
 
 def test_counter_and_low_water(spark):
@@ -106,11 +115,12 @@ def test_packing(spark, seed):
     assert {(r.key, r.grp, r.item): r.bin for r in got} == want
 
 
-def test_long_texts_come_in_parts(spark):
-    df = spark.createDataFrame([("k", i, f"t{i:03d}") for i in range(100)] + [("s", 1, "x")], "k string, i int, t string")
-    got = assemble_text(df, ["k"], ["i"], "t", "\n", max_chars=50).orderBy("k", "part").collect()
-    assert "\n".join(r.text for r in got if r.k == "k") == "\n".join(f"t{i:03d}" for i in range(100))
-    assert len(got) > 5 and max(len(r.text) for r in got) <= 60
+def test_texts_of_a_key_keep_one_order(spark):
+    df = spark.createDataFrame([("k", i, f"t{i:03d}") for i in range(100)] + [("s", 1, "x")], "k string, i int, t string").repartition(5)
+    whole = {r.k: r.text for r in assemble_text(df, ["k"], ["i"], "t", "\n").collect()}
+    assert whole == {"k": "\n".join(f"t{i:03d}" for i in range(100)), "s": "x"}
+    rows = ordered_texts(df, ["k"], ["i"], "t").collect()
+    assert sorted((r.k, r.pos, r.text) for r in rows) == [("k", i, f"t{i:03d}") for i in range(100)] + [("s", 0, "x")]
 
 
 def test_large_dimension_goes_through_slices(spark, monkeypatch):

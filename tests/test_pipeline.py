@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from traitloom.operators import compare as cp, planning, runs, schema as sc
+from traitloom.operators import compare as cp, planning, responses as rs, runs, schema as sc
 from traitloom.sources import scans, sinks
 from traitloom.streaming import live
 
@@ -130,8 +130,33 @@ def test_files_and_manifests(spark, tmp_path):
     assert sinks.export_files(files, f"file://{tmp_path}/r") == 3
     assert sorted((r.line_id, r.obj is None) for r in scans.read_records(spark, f"file://{tmp_path}/r").collect()) == [("a", False), ("b", True)]
     (tmp_path / "m.json").write_text('{"version": 1,\n "files": {"/x/l1/a.jpg": "f1"}}')
-    assert [tuple(r) for r in scans.read_manifest(spark, str(tmp_path / "m.json"), multi_line=True).collect()] == [
+    assert [tuple(r) for r in scans.read_manifest(spark, str(tmp_path / "m.json")).collect()] == [
         ("l1", "a.jpg", "/x/l1/a.jpg", "f1")]
+    (tmp_path / "n.json").write_text('{"files": {"/x/l1/a.jpg": "f1"}}\n{"files": {"/x/l2/b.jpg"\n{"files": {"/x/l2/b.jpg": "f2"}}\n')
+    assert sorted(r.file_id for r in scans.read_manifest(spark, str(tmp_path / "n.json")).collect()) == ["f1", "f2"]
+    assert scans.read_manifest(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_results_with_repeats_and_broken_lines(spark, tmp_path):
+    good = '{"custom_id":"%s","response":{"status_code":200,"body":{"output":[{"type":"message","content":[{"type":"output_text","text":"%s"}]}]}}}'
+    bad = '{"custom_id":"%s","error":%s,"response":{"status_code":200}}'
+    (tmp_path / "ok.jsonl").write_text("\n".join([good % ("a", "old"), good % ("b", "one"), '{"custom_id":"c", "resp', good % ("a", "new"), "", '{"x":1}']) + "\n")
+    (tmp_path / "err.jsonl").write_text("\n".join([
+        bad % ("x", '{"message":"one"}'), bad % ("x", '{"message":"two"}'), bad % ("a", '{"code":"late"}'), bad % ("y", '{"type":"server_error"}'),
+        bad % ("z", "{}")]) + "\n")
+    ok, err = str(tmp_path / "ok.jsonl"), str(tmp_path / "err.jsonl")
+    done = {r.custom_id: r for r in rs.classify_response(scans.read_results(spark, ok, err)).collect()}
+    assert {k: r.text for k, r in done.items() if r.status == "ok"} == {"a": "new", "b": "one"}
+    assert done["x"].detail == "error: one" and done["y"].detail == 'error: {"type":"server_error"}' and done["z"].detail == "no output_text in response"
+    assert sorted(r.value for r in scans.broken_results(spark, ok, err).collect()) == ['{"custom_id":"c", "resp', '{"x":1}']
+
+
+def test_sections_of_lines_without_answer(spark, tmp_path):
+    lines = spark.createDataFrame([(i, f"l{i}") for i in range(4)], "n int, section_id string")
+    answers = spark.createDataFrame([("l1", "one"), ("l3", "three")], "section_id string, text string")
+    sinks.write_sections(sinks.complete_sections(lines, answers), str(tmp_path / "s"), ["n"])
+    text = "".join(p.read_text() for p in sorted((tmp_path / "s").glob("part-*")))
+    assert text.split("\n\n---\n\n")[:4] == ["### l0\n\n[NOT FOUND IN RESULTS]", "### l1\n\none", "### l2\n\n[NOT FOUND IN RESULTS]", "### l3\n\nthree"]
 
 
 # -- runs ---------------------------------------------------------------------

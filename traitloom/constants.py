@@ -90,3 +90,6 @@ SERVER_METRICS = (
     "mm_cache_queries_total", "mm_cache_hits_total", "kv_cache_usage_perc",
 )
 MEMORY_METRICS = ("mem_available_kb", "committed_as_kb")
+
+#: Fixed value: what stands in a grouped text for a line without an answer.
+NOT_FOUND_TEXT = "[NOT FOUND IN RESULTS]"

@@ -8,25 +8,34 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 
-def t_two_sided(t: float, df: float) -> float:
-    """Two-sided p: the tail area of the density, by Simpson's rule in the angle.
+def _beta_tail(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction."""
+    if x <= 0.0 or x >= 1.0:
+        return 0.0 if x <= 0.0 else 1.0
+    if x > (a + 1) / (a + b + 2):
+        return 1.0 - _beta_tail(1.0 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny = 1e-300
+    c, d = 1.0, 1.0 / max(abs(1.0 - (a + b) * x / (a + 1)), tiny)
+    out, m = d, 0
+    while True:
+        m += 1
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
+                     -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1.0 / ((1.0 + step * d) or tiny)
+            c = (1.0 + step / c) or tiny
+            out *= c * d
+        if abs(c * d - 1.0) < 1e-15:
+            return front * out
+
 
-    With t = sqrt(df) * tan(u) the density turns into cos(u) ** (df - 1) on a
-    finite interval, which a fixed grid integrates well.
-    """
+def t_two_sided(t: float, df: float) -> float:
+    """Two-sided p of Student's t, by one formula for all degrees of freedom."""
     if t is None or df is None or df < 1 or math.isnan(t):
         return math.nan
-    steps = 4000
-
-    def area(lo: float, hi: float) -> float:
-        h = (hi - lo) / steps
-        ys = [math.cos(lo + i * h) ** (df - 1) if math.cos(lo + i * h) > 0 else float(df == 1)
-              for i in range(steps + 1)]
-        return h / 3 * (ys[0] + ys[-1] + 4 * sum(ys[1:-1:2]) + 2 * sum(ys[2:-1:2]))
-    if df > 1e5:  # the normal limit
-        return math.erfc(abs(t) / math.sqrt(2))
-    angle = math.atan(abs(t) / math.sqrt(df))
-    return area(angle, math.pi / 2) / area(0.0, math.pi / 2)
+    if t == 0:
+        return 1.0
+    return _beta_tail(df / (df + t * t), df / 2, 0.5)
 
 
 def t_quantile(confidence: float, df: float) -> float:

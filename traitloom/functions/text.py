@@ -24,15 +24,20 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE_SPACE))
 
 
+#: Every character that ends a line.
+LINE_ENDS = r"\n\x0B\x0C\r\x1C\x1D\x1E\x85\u2028\u2029"
+
+
 def strip_code_fence(text: Column) -> Column:
     """Drop the line that opens a code fence, and the last line if it closes one.
 
     A fence that never closes loses its first line only; an answer on the fence
-    line itself is lost with that line.  Texts without a fence meet no regex.
+    line itself is lost with that line.  Any character that ends a line counts,
+    a lone carriage return too.  Texts without a fence meet no regex.
     """
     fenced = F.ltrim(text, F.lit(WHITE_SPACE)).startswith("```")
-    inner = F.regexp_replace(strip(text), r"^```[^\n]*\n?", "")
-    inner = F.regexp_replace(inner, r"(?U)(^|\n)[^\S\n]*```$", "")
+    inner = F.regexp_replace(strip(text), rf"^```[^{LINE_ENDS}]*(?:\r\n|[{LINE_ENDS}])?", "")
+    inner = F.regexp_replace(inner, rf"(?U)(^|[{LINE_ENDS}])[^\S{LINE_ENDS}]*```$", "")
     return F.when(fenced, strip(inner)).otherwise(strip(text))
 
 

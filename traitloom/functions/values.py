@@ -68,7 +68,7 @@ def convert_text(scale: Column, raw: Column, kind: Column, labels: Column) -> Co
     label = F.when(labels.isNull(), raw).otherwise(level_label(labels, raw, kind))
     return F.when(is_missing(raw) | (scale == QUANTITATIVE), F.lit(None).cast("string")).when(
         scale == ORDINAL, label
-    ).otherwise(raw)
+    ).when(kind == "boolean", F.initcap(raw)).otherwise(raw)
 
 
 def conversion_problem(scale: Column, raw: Column, labels: Column, num: Column, text: Column) -> Column:
@@ -170,5 +170,18 @@ def json_kind(v: Column) -> Column:
     return F.lower(F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1))
 
 
+def json_depth(text: Column) -> Column:
+    """How deep objects and lists of a JSON text are nested; 0 for a bare value."""
+    bare = F.regexp_replace(text, r'"(?:[^"\\]++|\\.)*+"', "")
+    signs = F.split(F.translate(F.regexp_replace(bare, r"[^{}\[\]]+", ""), "[]", "{}"), "")
+
+    def step(state: Column, sign: Column) -> Column:
+        now = state["now"] + F.when(sign == "{", 1).when(sign == "}", -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
+
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.coalesce(F.aggregate(signs, start, step, lambda s: s["most"]), F.lit(0))
+
+
 def is_number(kind: Column) -> Column:
     return ~kind.isin("string", "boolean", "void", "object", "array")

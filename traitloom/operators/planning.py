@@ -73,12 +73,18 @@ def split_uploads(images: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def payload_estimate(
-    images: DataFrame, shards: int, limit: int = REQUEST_FILE_GUARD, by: str = "line_id"
+    images: DataFrame, shards: int, limit: int = REQUEST_FILE_GUARD, by: str | None = None, line: str = "line_id"
 ) -> DataFrame:
-    """Request bytes per line if every shard request embeds all images as base64."""
-    total = images.groupBy(by).agg(F.sum("length").cast("long").alias("bytes"))
-    estimate = (F.floor(F.col("bytes") * 4 / 3) * shards).cast("long")
-    return total.withColumn("estimate", estimate).withColumn("over_limit", estimate > limit)
+    """Request bytes if every shard request of a line embeds all its images as base64.
+
+    One row for the whole run, whose requests share one file; with *by*, one row
+    for each group.
+    """
+    lines = images.groupBy(*dict.fromkeys([*([by] if by else []), line])).agg(F.sum("length").cast("long").alias("bytes"))
+    lines = lines.withColumn("estimate", (F.floor(F.col("bytes") * 4 / 3) * shards).cast("long"))
+    total = lines.groupBy(*([by] if by else [])).agg(
+        F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("estimate"), F.lit(0)).alias("estimate"))
+    return total.withColumn("over_limit", F.col("estimate") > limit)
 
 
 def largest(df: DataFrame, by: list[str], size: str, pick: str) -> DataFrame:

@@ -6,35 +6,24 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import extract_report
 from ..sources.scans import split_sections
-from .ordered import scan
+from .ordered import row_numbers
 
-#: Most characters gathered into one string.
-MAX_TEXT_CHARS = 64 * 1024 * 1024
 
+def assemble_text(df: DataFrame, key: list[str], order: list[str], text: str, sep: str = "\n") -> DataFrame:
+    """``(key.., text)``: the texts of a key in order, joined by *sep*.
 
-def _joined(df: DataFrame, key: list[str], order: list[str], text: str, sep: str) -> DataFrame:
+    The result is one cell for each key, so a key's text must fit into a cell;
+    what has no such bound goes through :func:`ordered_texts` and is joined by
+    the sink (``write_sections``), where no task gathers a key.
+    """
     pieces = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_text"))))
     return df.groupBy(*key).agg(F.array_join(F.transform(pieces, lambda p: p["_text"]), sep).alias("text"))
 
 
-def assemble_text(
-    df: DataFrame, key: list[str], order: list[str], text: str, sep: str = "\n", max_chars: int = MAX_TEXT_CHARS
-) -> DataFrame:
-    """``(key.., part, text)``: the texts of a key in order, joined by *sep*.
-
-    A key of ordinary size is one part.  One with more than *max_chars* comes as
-    several parts, cut between texts, to be read in order; so no task ever
-    gathers more than one part.
-    """
-    sizes = df.groupBy(*key).agg(F.sum(F.length(text) + len(sep)).alias("_chars"))
-    huge = sizes.where(F.col("_chars") > max_chars).select(*key)
-    if huge.isEmpty():
-        return _joined(df, key, order, text, sep).withColumn("part", F.lit(0).cast("long"))
-    usual = _joined(df.join(huge, key, "left_anti"), key, order, text, sep).withColumn("part", F.lit(0).cast("long"))
-    placed = scan(df.join(huge, key, "left_semi"), key, order, sums={"_upto": F.length(text) + F.lit(len(sep))})
-    before = F.col("_upto") - F.length(text) - len(sep)
-    cut = placed.withColumn("part", F.floor(before / max_chars).cast("long"))
-    return usual.unionByName(_joined(cut, [*key, "part"], order, text, sep))
+def ordered_texts(df: DataFrame, key: list[str], order: list[str], text: str) -> DataFrame:
+    """``(key.., pos, text)``: the texts of a key numbered in order, one row each."""
+    numbered = row_numbers(df.select(*key, *order, text), key, order, "pos")
+    return numbered.select(*key, (F.col("pos") - 1).alias("pos"), F.col(text).alias("text"))
 
 
 def extract_reports(df: DataFrame, text: str, doc: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import STATUS_API, STATUS_LEAK, STATUS_LENGTH, STATUS_OK, STATUS_PARSE
-from ..functions.text import strip_code_fence
+from ..functions.text import strip, strip_code_fence
 from ..functions.values import error_text, split_custom_id
 from ..session import once
 
@@ -20,14 +20,20 @@ def split_status(resp: DataFrame) -> tuple[DataFrame, DataFrame]:
 def classify_response(lines: DataFrame) -> DataFrame:
     """Text, usage and failure text of batch output lines.
 
-    The checks run in a fixed order: a top-level error, a missing or non-200
+    The checks run in a fixed order: a top-level error (any object that is not
+    empty; it stands for its message where it has none), a missing or non-200
     response, a refusal part, no text part at all.  Text parts are joined
     without a separator; reasoning items are skipped.
     """
     body = F.col("response.body")
     code = F.col("response.status_code")
     top = F.col("error")
-    top_present = top["code"].isNotNull() | top["message"].isNotNull()
+    top_present = F.coalesce(top["code"].isNotNull() | top["message"].isNotNull(), F.lit(False))
+    said = top["message"]
+    if "raw" in lines.schema["error"].dataType.names:  # an error may be any object that is not empty
+        whole = strip(top["raw"])
+        top_present = top_present | F.coalesce(~whole.isin("", "{}", "null", "[]", '""', "false", "0"), F.lit(False))
+        said = F.coalesce(said, whole)
     inner = body["error"]
     inner_present = inner["code"].isNotNull() | inner["message"].isNotNull()
     inner_text = F.btrim(
@@ -40,7 +46,7 @@ def classify_response(lines: DataFrame) -> DataFrame:
     texts = F.filter(parts, lambda p: p["type"] == "output_text")
     not_ok = code.isNull() | (code != 200)
     failure = (
-        F.when(top_present, error_text(F.coalesce(top["code"], F.lit("error")), top["message"]))
+        F.when(top_present, error_text(F.coalesce(top["code"], F.lit("error")), said))
         .when(not_ok & inner_present, inner_text)
         .when(F.col("response").isNull(), "HTTP no-response")
         .when(not_ok, F.concat(F.lit("HTTP "), F.coalesce(code.cast("string"), F.lit("None"))))

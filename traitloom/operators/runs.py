@@ -66,18 +66,22 @@ def nearest_rank(df: DataFrame, value: str, qs: list[float], by: list[str] | Non
 
 
 def failure_runs(
-    prog: DataFrame, key: str = "line_id", order: tuple[str, ...] = ("ts", "i"), min_len: int = FAILURE_RUN_LENGTH
+    prog: DataFrame, run: list[str], line: str = "line_id", order: tuple[str, ...] = ("ts", "i"), min_len: int = FAILURE_RUN_LENGTH
 ) -> DataFrame:
-    """Runs of at least *min_len* failures in a row; an ok or cached result ends one.
+    """Runs of at least *min_len* lines in a row without a usable result.
 
-    The running number of results that are not failures names each run, and a
-    run is then just a counted group.
+    A line counts once, where its last call finished; one ok or cached call is
+    enough for it, and ends a run.  The running number of such lines names each
+    run, and a run is then just a counted group.
     """
-    reset = F.when(is_failed(F.col("status")), F.lit(0)).otherwise(F.lit(1)).cast("long")
-    marked = scan(prog.select(key, "status", *order), [key], list(order), sums={"run_id": reset})
-    runs = marked.where(is_failed(F.col("status"))).groupBy(key, "run_id").agg(
+    lines = prog.groupBy(*run, line).agg(
+        F.max(F.struct(*order)).alias("_last"), F.bool_and(is_failed(F.col("status"))).alias("_failed"))
+    lines = lines.select(*run, line, "_failed", *[F.col(f"_last.{c}").alias(c) for c in order])
+    reset = F.when(F.col("_failed"), F.lit(0)).otherwise(F.lit(1)).cast("long")
+    marked = scan(lines, run, [*order, line], sums={"run_id": reset})
+    runs = marked.where("_failed").groupBy(*run, "run_id").agg(
         F.count(F.lit(1)).alias("length"), F.min(order[0]).alias("first_ts"), F.max(order[0]).alias("last_ts"))
-    return runs.where(F.col("length") >= min_len).select(key, "length", "first_ts", "last_ts")
+    return runs.where(F.col("length") >= min_len).select(*run, "length", "first_ts", "last_ts")
 
 
 def counter_delta(samp: DataFrame, counter: str, by: list[str], order: str = "ts") -> DataFrame:

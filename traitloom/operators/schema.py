@@ -9,7 +9,7 @@ from ..constants import (
     ORDINAL, ORDINAL_LEVELS_WITHOUT_NOTE, QUANTITATIVE, SENTINEL, SNAKE_CASE_PATTERN,
 )
 from ..functions.text import strip
-from ..functions.values import categories, json_kind, trait_cost
+from ..functions.values import categories, json_depth, json_kind, trait_cost
 from ..session import bounded, once
 from .table import LEVELS
 
@@ -137,12 +137,20 @@ def traits_from_shards(shards: DataFrame, master: DataFrame, body: str = "body",
 # -- checks -----------------------------------------------------------------
 
 
-def nodes(docs: DataFrame, body: str = "body", max_depth: int = 14) -> DataFrame:
+def deepest(docs: DataFrame, body: str) -> int:
+    """How many levels the deepest document has."""
+    return max(1, docs.agg(F.max(json_depth(F.col(body)))).first()[0] or 1)
+
+
+def nodes(docs: DataFrame, body: str = "body", max_depth: int | None = None) -> DataFrame:
     """Every keyed node of a JSON document: ``(doc_id, path, key)``.
 
     Keys join the path with dots, list positions as ``[i]``.  Levels unfold in
-    place; a deeper document fails the query rather than losing nodes.
+    place, as many as the documents have; where the caller gives *max_depth*, a
+    deeper document fails the query rather than losing nodes.
     """
+    max_depth = max_depth or deepest(docs, body)
+
     def children(path: Column, node: Column) -> Column:
         keyed = F.transform(
             F.map_entries(F.try_variant_get(node, "$", "map<string,variant>")),
@@ -160,7 +168,7 @@ def nodes(docs: DataFrame, body: str = "body", max_depth: int = 14) -> DataFrame
         # A node that was opened stays as a row without its content.
         shut = F.array(F.struct("_n.path", "_n.key", F.lit(None).cast("variant").alias("node")))
         rows = rows.select("doc_id", F.explode(F.concat(shut, children(F.col("_n.path"), F.col("_n.node")))).alias("_n"))
-    deeper = json_kind(F.col("_n.node")).isin("object", "array")
+    deeper = json_kind(F.col("_n.node")).isin("object", "array") & ~F.to_json("_n.node").isin("{}", "[]")
     guard = F.when(deeper, F.raise_error(F.lit("document nested too deep; raise max_depth")).cast("boolean")).otherwise(True)
     return rows.where(guard).select("doc_id", F.col("_n.path").alias("path"), F.col("_n.key").alias("key"))
 
@@ -307,12 +315,13 @@ def _described(path: Column, node: Column) -> Column:
     return F.struct(path.alias("path"), node.alias("node"), kind.alias("kind"), payload.alias("payload"))
 
 
-def constraint_nodes(docs: DataFrame, body: str = "body", max_depth: int = 8) -> DataFrame:
+def constraint_nodes(docs: DataFrame, body: str = "body", max_depth: int | None = None) -> DataFrame:
     """Every node of a constrained-output schema with its kind and payload.
 
     Enum members are a sorted set, part names keep their order, and the type of
     an enum node is not looked at.
     """
+    max_depth = max_depth or deepest(docs, body)
     empty = F.array().cast(f"array<{NODE}>")
 
     def children(n: Column) -> Column:
@@ -339,7 +348,7 @@ def constraint_nodes(docs: DataFrame, body: str = "body", max_depth: int = 8) ->
         F.col("_n.payload").alias("payload"))
 
 
-def schema_diff(docs: DataFrame, versions: list[str], body: str = "body", max_depth: int = 8) -> DataFrame:
+def schema_diff(docs: DataFrame, versions: list[str], body: str = "body", max_depth: int | None = None) -> DataFrame:
     """Places where versions of one schema constrain differently.
 
     All versions meet in one grouping per place.  Below a place that differs

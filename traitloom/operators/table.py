@@ -2,30 +2,38 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import NOMINAL, ORDINAL, QUANTITATIVE, RESERVED_COLUMNS
 from ..functions.values import (
-    column_name, conversion_problem, convert_number, convert_text, is_reserved, json_kind,
+    column_name, conversion_problem, convert_number, convert_text, is_reserved, json_depth, json_kind,
 )
-from ..session import bounded, opened, settle, small_rows
+from ..session import bounded, opened, settle
 
 LEVELS = "array<struct<level:int,label:string,definition:string>>"
-#: Most trait columns one wide table may get.
-MAX_TABLE_COLUMNS = 5_000
+#: Trait columns that one grouping makes; a wider table is made of several.
+COLUMN_BLOCK = 2_000
 
 
 class ColumnNameError(ValueError):
     """Column names clash, hit a reserved name, or stay duplicated."""
 
 
-def flatten_leaves(records: DataFrame, keys: list[str], body: str = "obj", max_depth: int = 6) -> DataFrame:
+def flatten_leaves(records: DataFrame, keys: list[str], body: str = "obj", max_depth: int | None = None) -> DataFrame:
     """``(keys.., path, value)`` of every object that holds a ``value`` key.
 
     Other objects are opened, their keys join the path; scalars and lists are
-    ignored.  Each level is one unfolding in place, without a shuffle.  A record
-    nested deeper than *max_depth* fails the query instead of losing leaves.
+    ignored.  Each level is one unfolding in place, without a shuffle.  The number
+    of levels comes from the records, by one pass over them; where the caller
+    knows it, *max_depth* saves that pass, and a record that goes deeper fails
+    the query instead of losing leaves.
     """
+    if max_depth is None:
+        max_depth = max(1, records.agg(F.max(json_depth(F.to_json(body)))).first()[0] or 1)
+
     def is_leaf(node: Column) -> Column:
         return F.try_variant_get(node, "$.value", "variant").isNotNull()
 
@@ -40,10 +48,11 @@ def flatten_leaves(records: DataFrame, keys: list[str], body: str = "obj", max_d
         path = F.when(F.col("_leaf"), F.col("path")).otherwise(F.concat("path", F.array("_key")))
         found = below.select(*keys, path.alias("path"), node.alias("_node"), "_leaf").select(
             *keys, "path", "_node", (F.col("_leaf") | is_leaf(F.col("_node"))).alias("_leaf"))
-    deeper = ~F.col("_leaf") & (json_kind(F.col("_node")) == "object")
+    # an empty object has no leaves to lose
+    deeper = ~F.col("_leaf") & (json_kind(F.col("_node")) == "object") & (F.to_json("_node") != "{}")
     guarded = F.when(deeper, F.raise_error(F.lit(
         f"record nested deeper than {max_depth} levels; raise max_depth")).cast("boolean")).otherwise(F.col("_leaf"))
-    return found.where(guarded).select(
+    return found.where(guarded).where("_leaf").select(
         *keys, "path", F.try_variant_get("_node", "$.value", "variant").alias("value"))
 
 
@@ -172,19 +181,19 @@ def checked_names(resolved: DataFrame) -> DataFrame:
 def table_columns(typed: DataFrame, mode: str = "error", rename: dict[str, str] | None = None) -> list[dict]:
     """Name, path, type and levels of each trait column, in table order.
 
-    Declared traits come in schema order, undeclared ones after them by name.
+    Traits of the master come in its order, then those that only shards declare,
+    then undeclared ones, by name.
     """
     seen = typed.groupBy("path", "group_name", "trait_name", "scale_type", "unit", "declared").agg(
         F.min("group_ord").alias("group_ord"), F.min("trait_ord").alias("trait_ord"),
         F.first("levels", ignorenulls=True).alias("levels"))
-    rows = small_rows(seen, MAX_TABLE_COLUMNS)
-    if rows is None:
-        raise ColumnNameError(f"more than {MAX_TABLE_COLUMNS} trait columns")
+    rows = seen.collect()  # a table's columns are part of its plan
     spark = typed.sparkSession
     listed = spark.createDataFrame(
         [(list(r.path), r.scale_type, r.unit) for r in rows], "path array<string>, scale_type string, unit string")
     names = {tuple(r.path): r.name for r in checked_names(resolve_names(listed, mode, rename)).collect()}
-    rows.sort(key=lambda r: (not r.declared, r.group_ord or 0, r.trait_ord or 0, r.group_name, r.trait_name, r.path))
+    # traits that only shards declare have no order and come after those of the master
+    rows.sort(key=lambda r: (not r.declared, r.group_ord is None, r.group_ord or 0, r.trait_ord or 0, r.group_name, r.trait_name, r.path))
     return [
         {"name": names[tuple(r.path)], "path": list(r.path), "scale_type": r.scale_type,
          "levels": [e.label for e in sorted(r.levels, key=lambda e: e.level)] if r.levels else None}
@@ -209,7 +218,12 @@ def wide_table(
         field = "num" if c["scale_type"] == QUANTITATIVE else "text"
         hit = F.max(F.when(at == "\u001f".join(c["path"]), F.col(field)))
         cells.append(hit.alias(c["name"]))
-    wide = typed.groupBy(*keys).agg(*cells)
+    blocks = [cells[i:i + COLUMN_BLOCK] for i in range(0, len(cells), COLUMN_BLOCK)] or [[]]
+    wide = typed.groupBy(*keys).agg(*blocks[0]) if blocks[0] else typed.select(*keys).distinct()
+    for block in blocks[1:]:
+        more = typed.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(*block)
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+        wide = wide.join(more, same).drop(*[f"_{k}" for k in keys])
     for c in columns:
         if c["scale_type"] == ORDINAL and c["levels"]:
             wide = wide.withMetadata(c["name"], {"ordered": True, "levels": c["levels"]})

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..constants import POPULATION_PATTERNS
 from ..functions import sql as sql_names, text as tx, values as vl
@@ -81,12 +84,16 @@ def project_run(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(found, *found.columns)
 
 
-@query("failure_runs", over("prog", f"""+ g AS (SELECT *, sum(CASE WHEN status = 'api error' THEN 0 ELSE 1 END)
-    OVER (PARTITION BY line_id ORDER BY ts, i ROWS UNBOUNDED PRECEDING) AS run_id FROM prog)
-SELECT line_id, CAST(count(*) AS BIGINT) AS length, {_US}(min(ts)) AS first_ts, {_US}(max(ts)) AS last_ts
-FROM g WHERE status = 'api error' GROUP BY line_id, run_id HAVING count(*) >= 3"""))
+@query("failure_runs", over("prog", f"""+ l AS (SELECT (i // 3) % 5 AS run_no, i - CASE i % 3 WHEN 1 THEN 1 ELSE 0 END AS line_no,
+    bool_and(status = 'api error') AS failed, max(ts) AS ts, arg_max(i, (ts, i)) AS i FROM prog GROUP BY 1, 2),
+g AS (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY run_no ORDER BY ts, i, line_no ROWS UNBOUNDED PRECEDING) AS run_id FROM l)
+SELECT CAST(run_no AS BIGINT) AS run_no, CAST(count(*) AS BIGINT) AS length, {_US}(min(ts)) AS first_ts, {_US}(max(ts)) AS last_ts
+FROM g WHERE failed GROUP BY run_no, run_id HAVING count(*) >= 2"""))
 def failure_runs(spark: SparkSession, sf: str) -> DataFrame:
-    return _micros(runs.failure_runs(src.progress(spark, sf)), "first_ts", "last_ts")
+    """Lines of one or two calls in five runs; two failed lines in a row are reported."""
+    calls = src.progress(spark, sf).withColumns({
+        "run_no": F.expr("(i div 3) % 5"), "line_no": F.expr("i - CASE i % 3 WHEN 1 THEN 1 ELSE 0 END")})
+    return _micros(runs.failure_runs(calls, ["run_no"], "line_no", min_len=2), "first_ts", "last_ts")
 
 
 @query("progress_eta", over("prog", """+ f AS (SELECT line_id, max(ts) AS ts FROM prog GROUP BY 1),
@@ -270,7 +277,17 @@ SELECT line_id, CAST(bytes AS BIGINT) AS bytes, CAST(floor(bytes * 4 / 3.0::DOUB
   floor(bytes * 4 / 3.0::DOUBLE) * 10 > 500000 AS over_limit FROM b""")
 def payload_estimate(spark: SparkSession, sf: str) -> DataFrame:
     images = _pages(spark, sf).select(src.page_host().alias("line_id"), F.octet_length("html").alias("length"))
-    return planning.payload_estimate(images, 10, 500_000)
+    return planning.payload_estimate(images, 10, 500_000, by="line_id")
+
+
+@query("payload_total", """
+WITH b AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS line_id, sum(octet_length(encode(html))) AS bytes FROM pages GROUP BY 1),
+e AS (SELECT CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(CAST(floor(bytes * 4 / 3.0::DOUBLE) * 10 AS BIGINT)) AS BIGINT) AS estimate FROM b)
+SELECT bytes, estimate, estimate > 5000000 AS over_limit FROM e""")
+def payload_total(spark: SparkSession, sf: str) -> DataFrame:
+    """The requests of the whole run against the limit of one file."""
+    images = _pages(spark, sf).select(src.page_host().alias("line_id"), F.octet_length("html").alias("length"))
+    return planning.payload_estimate(images, 10, 5_000_000)
 
 
 # -- grouped texts ------------------------------------------------------------
@@ -287,13 +304,13 @@ def _sections(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("assemble_text", """
-SELECT conv_id, CAST(0 AS BIGINT) AS part, md5(string_agg('### ' || role || chr(10) || chr(10) || text, E'\\n\\n---\\n\\n' ORDER BY turn)) AS text_md5
+SELECT conv_id, md5(string_agg('### ' || role || chr(10) || chr(10) || text, E'\\n\\n---\\n\\n' ORDER BY turn)) AS text_md5
 FROM conversations GROUP BY 1""")
 def assemble_text(spark: SparkSession, sf: str) -> DataFrame:
     block = F.concat(F.lit("### "), F.col("role"), F.lit("\n\n"), F.col("text"))
     turns = src.table(spark, sf, "conversations").withColumn("block", block)
     joined = reports.assemble_text(turns, ["conv_id"], ["turn"], "block", tx.SECTION_SEPARATOR)
-    return joined.select("conv_id", "part", F.md5("text").alias("text_md5"))
+    return joined.select("conv_id", F.md5("text").alias("text_md5"))
 
 
 @query("split_sections", """
@@ -333,14 +350,18 @@ def write_sections(spark: SparkSession, sf: str) -> DataFrame:
 # -- streams ------------------------------------------------------------------
 
 
-def _stream(spark: SparkSession, rows: DataFrame, name: str, files: int = 4) -> DataFrame:
-    """Rows written as several files by time, read as a stream a file at a time."""
-    path = scratch(spark, name)
+def _fed(spark: SparkSession, rows: DataFrame, name: str, start: Callable[[DataFrame], StreamingQuery], slices: int = 4) -> None:
+    """Rows arrive slice by slice in time; after each, the stream takes in what is new.
+
+    The source is read once and written in parallel, one folder a slice.
+    """
+    staged, path = scratch(spark, f"{name}-staged"), scratch(spark, name)
     first, last = rows.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
-    slice_no = F.floor((F.unix_micros("ts") - first) * files / (last - first + 1))
-    for i in range(files):  # one slice after the other, as they would arrive
-        rows.where(slice_no == i).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    number = F.floor((F.unix_micros("ts") - first) * slices / (last - first + 1)).cast("int")
+    rows.withColumn("_slice", number).write.partitionBy("_slice").parquet(staged)
+    for i in range(slices):
+        spark.read.schema(rows.schema).parquet(f"{staged}/_slice={i}").write.mode("append").parquet(path)
+        live.drain(start(spark.readStream.schema(rows.schema).parquet(path)))
 
 
 def _calls(spark: SparkSession, sf: str) -> DataFrame:
@@ -353,8 +374,8 @@ SELECT line_id, shard_id, i, status FROM prog WHERE status = 'ok' QUALIFY row_nu
 def stream_intake(spark: SparkSession, sf: str) -> DataFrame:
     """Answers taken in file by file; the store then gives the newest per key."""
     store = scratch(spark, "store")
-    usable = _stream(spark, src.progress(spark, sf), "calls").where(F.col("status") == "ok")
-    live.drain(live.intake(usable, store, scratch(spark, "state")))
+    state = scratch(spark, "state")
+    _fed(spark, src.progress(spark, sf), "calls", lambda calls: live.intake(calls.where(F.col("status") == "ok"), store, state))
     newest = live.read_store(spark, store, ["line_id", "shard_id"], ["ts", "i"])
     return newest.select("line_id", "shard_id", "i", "status")
 
@@ -365,8 +386,8 @@ SELECT line_id, CAST(count(DISTINCT shard_id) AS INTEGER) AS attempted, CAST(cou
 def stream_finalize(spark: SparkSession, sf: str) -> DataFrame:
     """Lines given out as their last shard arrives; the highest version counts."""
     store = scratch(spark, "finals")
-    finals = live.finalize(_stream(spark, src.progress(spark, sf), "calls"), 3)
-    live.drain(live.upsert(finals, store, scratch(spark, "state")))
+    state = scratch(spark, "state")
+    _fed(spark, src.progress(spark, sf), "calls", lambda calls: live.upsert(live.finalize(calls, 3), store, state))
     newest = live.read_store(spark, store, ["line_id"], ["version"])
     return newest.select("line_id", "attempted", "answered", "version")
 
@@ -377,8 +398,8 @@ SELECT epoch_us(s) AS w_start, CAST(count(*) AS BIGINT) AS samples, min(gauge) A
 def stream_monitor(spark: SparkSession, sf: str) -> DataFrame:
     """Hourly low-water marks; only windows the watermark has closed."""
     store = scratch(spark, "windows")
-    closed = live.monitor(_stream(spark, src.samples(spark, sf), "samples"), "gauge", 1.0, "1 hour")
-    live.drain(live.append(closed, store, scratch(spark, "state")))
+    state = scratch(spark, "state")
+    _fed(spark, src.samples(spark, sf), "samples", lambda rows: live.append(live.monitor(rows, "gauge", 1.0, "1 hour"), store, state))
     return _micros(spark.read.parquet(store), "w_start")
 
 
@@ -389,9 +410,9 @@ SELECT host, epoch_us(s) AS w_start, CAST(count(*) AS BIGINT) AS samples, min(ga
 def stream_monitor_sliding(spark: SparkSession, sf: str) -> DataFrame:
     """Two-day windows, a new one every day, per host."""
     store = scratch(spark, "windows")
-    closed = live.monitor(
-        _stream(spark, src.samples(spark, sf), "samples"), "gauge", 1.0, "2 days", "1 day", by=["host"])
-    live.drain(live.append(closed, store, scratch(spark, "state")))
+    state = scratch(spark, "state")
+    _fed(spark, src.samples(spark, sf), "samples", lambda rows: live.append(
+        live.monitor(rows, "gauge", 1.0, "2 days", "1 day", by=["host"]), store, state))
     return _micros(spark.read.parquet(store), "w_start")
 
 
@@ -401,8 +422,8 @@ FROM prog GROUP BY 1"""))
 def stream_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Running totals per status; the highest count per status is the last state."""
     store = scratch(spark, "totals")
-    totals = live.live_totals(_stream(spark, _calls(spark, sf), "calls"), ["status"])
-    live.drain(live.upsert(totals, store, scratch(spark, "state")))
+    state = scratch(spark, "state")
+    _fed(spark, _calls(spark, sf), "calls", lambda calls: live.upsert(live.live_totals(calls, ["status"]), store, state))
     return live.read_store(spark, store, ["status"], ["calls"]).select("status", "calls", "input_tokens", "output_tokens")
 
 

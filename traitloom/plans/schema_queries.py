@@ -134,7 +134,7 @@ def schema_diff(spark: SparkSession, sf: str) -> DataFrame:
             F.concat_ws("/", F.col("doc_id").cast("string"), F.col("shard_no").cast("string")).alias("doc_id"),
             F.lit(v).alias("version"), "body")
         docs = one if docs is None else docs.unionByName(one)
-    found = sc.schema_diff(docs, _VERSIONS, max_depth=5)
+    found = sc.schema_diff(docs, _VERSIONS)
     ids = F.split("doc_id", "/")
     return found.select(
         ids[0].cast("long").alias("doc_id"), ids[1].cast("int").alias("shard_no"),

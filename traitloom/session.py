@@ -43,7 +43,9 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return _LOCAL_DIRS.setdefault(app, tempfile.mkdtemp(prefix="traitloom-"))
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="traitloom-")
+    return _LOCAL_DIRS[app]
 
 
 def scratch(spark: SparkSession, name: str) -> str:

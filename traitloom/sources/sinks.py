@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..constants import NOT_FOUND_TEXT
 from ..functions.text import SECTION_SEPARATOR
 
 
@@ -45,6 +46,11 @@ def write_table(wide: DataFrame, path: str, provenance: list[dict] | None = None
     wide.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
 
 
+def complete_sections(lines: DataFrame, answers: DataFrame, key: str = "section_id") -> DataFrame:
+    """Every requested line with its ``text``; one without an answer says so."""
+    return lines.join(answers.select(key, "text"), key, "left").withColumn("text", F.coalesce("text", F.lit(NOT_FOUND_TEXT)))
+
+
 def write_sections(sections: DataFrame, path: str, order: list[str]) -> None:
     """``### <id>`` blocks in the order of the line list, set apart by ``---``.
 
