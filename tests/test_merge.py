@@ -141,6 +141,15 @@ def test_depth_comes_from_the_records(spark):
     assert tb.flatten_leaves(docs.where("line_id = 'b'"), ["line_id"], max_depth=2).count() == 1
 
 
+def test_a_later_shard_wins_in_record_and_table(spark, traits):
+    docs = spark.createDataFrame([("l1", "s1", 1, '{"g2":{"size":{"value":9},"hue":{"value":"zeta"}}}'), ("l1", "s2", 2, '{"g2":{"size":{"value":2},"hue":{"value":"alpha"}}}')],
+                                 "line_id string, shard_id string, position int, body string").withColumn("obj", F.try_parse_json("body"))
+    merged = {r.trait_name: r.raw for r in merge.merge_records(docs, docs, traits, ["line_id"]).collect()}
+    typed = tb.type_leaves(tb.flatten_leaves(docs, ["line_id", "position", "shard_id"]), traits)
+    row = tb.wide_table(typed, tb.table_columns(typed), ["line_id"], docs, ["position", "shard_id"]).first()
+    assert (merged["size"], merged["hue"]) == ("2", "alpha") and (row.size_cm, row.hue) == (2.0, "alpha")
+
+
 def test_wide_tables_of_many_blocks(spark, monkeypatch):
     typed = spark.createDataFrame([("l1", f"t{i}", float(i)) for i in range(7)] + [("l2", "t3", 1.0), (None, "t6", 2.0)], "line_id string, t string, num double")
     typed = typed.select("line_id", F.array(F.lit("g"), "t").alias("path"), "num", F.lit(None).cast("string").alias("text"))

@@ -65,17 +65,16 @@ def gaps(lines: DataFrame, records: DataFrame, traits: DataFrame, keys: list[str
     asked = lines.select(*keys).distinct()
     if rows is None:
         return each_with(asked, declared).join(records.select(*keys, *TRAIT_KEY), [*keys, *TRAIT_KEY], "left_anti")
-    at = F.struct(*TRAIT_KEY)
+    at = F.to_json(F.array(*TRAIT_KEY))  # one text for each trait, so sets are compared by hashing
     has = records.select(*keys, at.alias("_t"), F.lit(False).alias("_asked"))
-    want = lines.select(*keys, F.lit(None).cast(has.schema["_t"].dataType).alias("_t"), F.lit(True).alias("_asked"))
+    want = lines.select(*keys, F.lit(None).cast("string").alias("_t"), F.lit(True).alias("_asked"))
     per_line = has.unionByName(want).groupBy(*keys).agg(
         F.collect_set("_t").alias("_have"), F.bool_or("_asked").alias("_asked")).where("_asked")
     if not rows:
         return each_with(asked, declared)
-    every = F.array(*[sql_literal(r) for r in sorted(rows, key=lambda r: (r.group_ord, r.trait_ord))])
-    missing = F.filter(
-        every, lambda d: ~F.array_contains(F.col("_have"), F.struct(d["group_name"], d["trait_name"])))
-    return per_line.select(*keys, F.explode(missing).alias("_m")).select(*keys, "_m.*")
+    every = F.transform(F.array(*[sql_literal(r) for r in rows]), lambda d: F.to_json(F.array(*[d[k] for k in TRAIT_KEY])))
+    missing = per_line.select(*keys, F.explode(F.array_except(every, F.col("_have"))).alias("_t"))
+    return missing.join(F.broadcast(declared.withColumn("_t", at)), "_t").select(*keys, *columns)
 
 
 def gap_errors(errors: DataFrame, missing: DataFrame, keys: list[str]) -> DataFrame:

@@ -202,21 +202,25 @@ def table_columns(typed: DataFrame, mode: str = "error", rename: dict[str, str]
 
 
 def wide_table(
-    typed: DataFrame, columns: list[dict], keys: list[str], lines: DataFrame | None = None
+    typed: DataFrame, columns: list[dict], keys: list[str], lines: DataFrame | None = None, order: list[str] | None = None
 ) -> DataFrame:
     """One row per line, one typed column per trait: a single grouped pass.
 
+    Where several answers of a line hold one trait, the last in *order* counts,
+    as in the merged record, even if it has no usable value.
     Lines given in *lines* get a row even if nothing is known about them.
     Ordinal columns carry their ordered labels as column metadata.
     """
-    typed = typed.select(*keys, "path", "num", "text")
+    order = order or []
+    typed = typed.select(*keys, "path", "num", "text", *order)
     if lines is not None:
         typed = typed.unionByName(lines.select(*keys), allowMissingColumns=True)
     at = F.array_join("path", "\u001f")
     cells = []
     for c in columns:
         field = "num" if c["scale_type"] == QUANTITATIVE else "text"
-        hit = F.max(F.when(at == "\u001f".join(c["path"]), F.col(field)))
+        here = at == "\u001f".join(c["path"])
+        hit = F.max_by(F.col(field), F.when(here, F.struct(*order))) if order else F.max(F.when(here, F.col(field)))
         cells.append(hit.alias(c["name"]))
     blocks = [cells[i:i + COLUMN_BLOCK] for i in range(0, len(cells), COLUMN_BLOCK)] or [[]]
     wide = typed.groupBy(*keys).agg(*blocks[0]) if blocks[0] else typed.select(*keys).distinct()
