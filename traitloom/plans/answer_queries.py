@@ -376,13 +376,13 @@ def append_partials(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("write_requests", """
 SELECT CAST(sum(octet_length(encode('{"custom_id":"c' || conv_id || '__' || turn || '","body":{"role":"' || role || '","n":'
-  || length(text) || ',"mark":"é²"}}'))) AS BIGINT) AS bytes, CAST(count(*) AS BIGINT) AS lines FROM conversations""")
+  || length(text) || ',"text":' || CAST(to_json(text) AS VARCHAR) || ',"mark":"é²"}}'))) AS BIGINT) AS bytes, CAST(count(*) AS BIGINT) AS lines FROM conversations""")
 def write_requests(spark: SparkSession, sf: str) -> DataFrame:
     """Requests written as JSON lines in UTF-8 and measured."""
     turns = src.table(spark, sf, "conversations")
     cid = vl.custom_id(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.col("turn").cast("string"))
     rows = turns.select(cid.alias("custom_id"), F.struct(
-        "role", F.length("text").alias("n"), F.lit("é²").alias("mark")).alias("body"))
+        "role", F.length("text").alias("n"), "text", F.lit("é²").alias("mark")).alias("body"))
     path = scratch(spark, "requests")
     sinks.write_requests(rows, path, ["custom_id", "body"])
     return spark.read.text(path).agg(F.sum(F.octet_length("value")).alias("bytes"), F.count(F.lit(1)).alias("lines"))
@@ -433,15 +433,21 @@ def first_plants(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("manifest_order", over("newest", """
-SELECT CAST(row_number() OVER (ORDER BY line_id, shard_no, run_no) AS BIGINT) AS pos, line_id, shard_id, run_no FROM newest"""))
+SELECT line_id, shard_id, CAST(min(pos) AS BIGINT) AS first_pos, CAST(max(pos) AS BIGINT) AS last_pos, CAST(count(*) AS BIGINT) AS runs
+FROM (SELECT row_number() OVER (ORDER BY line_id, shard_no) AS pos, line_id, shard_id FROM newest) GROUP BY 1, 2"""))
 def manifest_order(spark: SparkSession, sf: str) -> DataFrame:
-    """Answers in manifest order; the position is taken from the sorted ranges."""
+    """Answers in manifest order; positions number the rows as the operator put them.
+
+    Runs of one request stand side by side in no fixed order, so they count as one.
+    """
     got = src.answers(spark, sf).select("line_id", "shard_id", "run_no")
-    known = src.shards(spark)
-    sorted_rows = planning.manifest_order(got, known)
     from ..operators.ordered import row_numbers
-    ranked = sorted_rows.join(known, "shard_id").withColumn("_all", F.lit(0))
-    return row_numbers(ranked, ["_all"], ["line_id", "shard_ord", "run_no"], "pos").select("pos", "line_id", "shard_id", "run_no")
+    path = scratch(spark, "ordered")
+    planning.manifest_order(got, src.shards(spark)).select(
+        F.lit(0).alias("_all"), F.monotonically_increasing_id().alias("at"), "line_id", "shard_id", "run_no").write.parquet(path)
+    numbered = row_numbers(spark.read.parquet(path), ["_all"], ["at"], "pos")
+    return numbered.groupBy("line_id", "shard_id").agg(
+        F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count(F.lit(1)).alias("runs"))
 
 
 @query("largest", over("delivery", """
