@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from traitloom.llm import bpe, minhash, mixing, pii, toxicity
+from traitloom.llm.common import col
 from traitloom.llm.queries import TOXIC_FROM, VOCABULARY, table
 from traitloom.session import scratch
 
@@ -19,8 +21,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the limit of toxicity; the columns stay as they are."""
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
-    name = scored.columns[-1]
-    return scored.where(F.col(name) < TOXIC_FROM).drop(name)
+    return scored.where(F.col(scored.columns[-1]) < TOXIC_FROM).select(*map(col, docs.columns))
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +30,8 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Documents without words, or without id, stay.  Rows that repeat as a whole
     stay together, as they are one document.
     """
-    found = minhash.near_copies(docs, SIMILAR).where("not kept").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_copy"), "left_anti")
+    copies = minhash.near_copies(docs, SIMILAR).where("not kept").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(*map(col, docs.columns))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +46,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its token ids and the text they decode to."""
-    return bpe.decode(bpe.encode(docs, VOCABULARY), VOCABULARY)
+    ids = bpe.encode(docs, VOCABULARY)
+    return bpe.decode(ids, VOCABULARY, ids.columns[-1])
 
 
 STAGES: list[tuple[str, Stage]] = [

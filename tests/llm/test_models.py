@@ -151,3 +151,19 @@ def test_pipeline(spark):
     assert docs.where("text rlike '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][a-z]+'").count() == 0
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
     spark.catalog.clearCache()
+
+
+def test_pipeline_stages_take_odd_rows(spark):
+    names = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string, `_k1` int, `a.b` string, node long, ids string"
+    texts = [None, "", " \n", "one two", "mail a.b@c.de now " * 30, "x" * 3000, "word " * 3000, "mail a.b@c.de now " * 30]
+    rows = [(i if i else None, t, None if i % 3 else "en", ("s", None, "t")[i % 3], None if t is None else len(t), 0.5, "s", i, "d", i, "z") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[3], rows[3], rows[4]], names)
+    for table in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, SF)
+            assert out.columns[:len(docs.columns)] == docs.columns, name
+            n = out.count()
+            assert n == 0 if table is not docs else n > 0, name
+    kept = corpus_pipeline.distinct_texts(spark, docs, SF).collect()
+    # texts without words and rows without id stay; of near copies the smallest id does
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 1, 2, 3, 3, 3, 4, 4, 5, 6]

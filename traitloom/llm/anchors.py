@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import MAX_DIMENSION_ROWS
 from .common import steps, texts
 from .shingles import mix, powers
 
@@ -273,7 +274,10 @@ def resolved(found: DataFrame, rows: DataFrame, shape: Shape, pack: Callable[[np
     window through ``sorted_out`` instead, which holds no group.
     """
     many = found.where("h is not null").groupBy("h").count().where(F.col("count") > hot).select("h")
-    usual = found.join(many, "h", "left_anti")
+    n_many = many.limit(MAX_DIMENSION_ROWS + 1).count()
+    # one in *hot* rows at most is in this list; it is sent to all tasks only after it was counted
+    listed = F.broadcast(many) if n_many <= MAX_DIMENSION_ROWS else many
+    usual = found.join(listed, "h", "left_anti") if n_many else found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -313,7 +317,7 @@ def resolved(found: DataFrame, rows: DataFrame, shape: Shape, pack: Callable[[np
             yield flush(pa.Table.from_batches(held))
 
     spans = contexts(usual, rows, shape, pack).repartition("h").sortWithinPartitions("h").mapInArrow(run, "doc long, tie int, start int, stop int")
-    if not many.limit(1).count():
+    if not n_many:
         return spans
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,6 +334,6 @@ def resolved(found: DataFrame, rows: DataFrame, shape: Shape, pack: Callable[[np
                 yield _rows(mix(whole), mix(whole ^ _C2), fill(doc), fill(tie), start, fill(shape.window), fill(n))
 
     single = Shape(shape.window, shape.window, shape.tokens, shape.values)
-    hot_rows = contexts(found.join(many, "h", "left_semi"), rows, shape, pack).mapInArrow(windows, ROW)
+    hot_rows = contexts(found.join(listed, "h", "left_semi"), rows, shape, pack).mapInArrow(windows, ROW)
     settled = sorted_out(hot_rows, single, also_first).where("h is null")
     return spans.unionAll(settled.select("doc", "tie", F.col("pos").alias("start"), F.col("right").alias("stop")))

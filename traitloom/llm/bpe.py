@@ -25,11 +25,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, types as T
 
-from .common import free_name, steps, texts
+from .common import free_name, steps, texts, through_arrow
 
 #: Entries a worker's caches hold before they start anew, and the longest word kept.
-CACHE_WORDS = 500_000
-CACHE_PIECES = 500_000
+CACHE_WORDS = 250_000
+CACHE_PIECES = 300_000
 CACHE_FRAGMENTS = 100_000
 LONGEST_KEPT = 48
 #: Fragments beyond this length are merged through a heap instead of rescans.
@@ -245,8 +245,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             yield _with_columns(batch, {
                 n_name: pa.array([len(p) // 4 for p in packed], pa.int64()), ids_name: pa.array(packed, pa.binary())})
 
-    fields = [*docs.schema.fields, T.StructField(n_name, T.LongType()), T.StructField(ids_name, T.BinaryType())]
-    return docs.mapInArrow(run, T.StructType(fields))
+    return through_arrow(docs, run, [T.StructField(n_name, T.LongType()), T.StructField(ids_name, T.BinaryType())])
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -259,4 +258,4 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
         for batch in steps(batches, ids):
             yield _with_columns(batch, {name: pa.array([own.decode(p or b"") for p in batch.column(ids).to_pylist()], pa.string())})
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(name, T.StringType())]))
+    return through_arrow(encoded, run, [T.StructField(name, T.StringType())])

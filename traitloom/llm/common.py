@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: A word, in Java's regular expressions and in the query contracts.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,6 +29,16 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def through_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], added: list[T.StructField]) -> DataFrame:
+    """All columns of *df* and the *added* ones, as *run* gives them batch by batch.
+
+    Columns whose names are no plain words are known by others on the way.
+    """
+    plain = [c if re.fullmatch(r"\w+", c) else free_name(df, f"_column_{i}") for i, c in enumerate(df.columns)]
+    fields = [T.StructField(n, f.dataType) for n, f in zip(plain, df.schema.fields)]
+    return df.toDF(*plain).mapInArrow(run, T.StructType([*fields, *added])).toDF(*df.columns, *(f.name for f in added))
+
+
 def steps(batches: Iterable[pa.RecordBatch], text: str, limit: int = STEP_CHARS) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of bounded text, so that memory follows one slice.
 

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import bounded, once, scratch
-from .common import WORD
+from .common import WORD, col, free_name
 
 #: Words in a block, slots in an output shard, times a source may be repeated.
 BLOCK = 64
@@ -166,18 +166,20 @@ def mixed_documents(docs: DataFrame, text: str = "text", seed: int = 7) -> DataF
     Documents of which nothing is taken, empty ones included, are left out.
     ``n_chars``, if there, follows the text.
     """
-    wanted = mix(docs, text, seed).where("taken > 0").groupBy(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("tie").alias("_tie")).agg(
-        F.sum("taken").alias("_taken"), F.first("size").alias("_size"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_tie") == F.xxhash64(text))
-    # rows that repeat as a whole share one row of *wanted*, whose words are those of all of them
-    number = Window.partitionBy("doc_id", "source", F.xxhash64(text)).orderBy(F.lit(0))
-    rows = docs.withColumn("_nth", F.row_number().over(number)).where("_nth = 1").drop("_nth").join(wanted, same)
-    rows = rows.withColumn("_copy", F.explode(F.expr("sequence(0L, (_taken - 1) div _size)")))
-    rows = rows.withColumn("_words", F.least(F.col("_size"), F.col("_taken") - F.col("_copy") * F.col("_size")))
-    begin = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("_words").cast("int")), "")
-    cut = F.when(F.col("_words") < F.col("_size"), begin).otherwise(F.col(text))
-    out = rows.withColumn(text, cut)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_words") < F.col("_size"), F.char_length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    name = lambda x: free_name(docs, x)
+    k1, k2, nth, taken, size, copy, words = map(name, ("_k1", "_k2", "_nth", "_taken", "_size", "_copy", "_words"))
+    key = lambda tie: [F.xxhash64(F.lit(n), "doc_id", "source", tie).alias(k) for n, k in ((1, k1), (2, k2))]
+    wanted = mix(docs, text, seed).where("taken > 0").groupBy(*key(F.col("tie"))).agg(F.sum("taken").alias(taken), F.first("size").alias(size))
+    # rows that repeat as a whole share one row of *wanted*, whose words are those of all of them;
+    # numbering and join use one partitioning, so the texts move once
+    rows = docs.select(*map(col, docs.columns), *key(F.xxhash64(text))).repartition(k1, k2)
+    number = F.row_number().over(Window.partitionBy(k1, k2).orderBy(F.lit(0)))
+    rows = rows.withColumn(nth, number).where(F.col(nth) == 1).drop(nth).join(wanted, [k1, k2])
+    rows = rows.withColumn(copy, F.explode(F.expr(f"sequence(0L, ({taken} - 1) div {size})")))
+    rows = rows.withColumn(words, F.least(F.col(size), F.col(taken) - F.col(copy) * F.col(size)))
+    begin = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col(words).cast("int")), "")
+    partly = F.col(words) < F.col(size)
+    out = rows.withColumn(text, F.when(partly, begin).otherwise(F.col(text)))
+    if "n_chars" in docs.columns and text != "n_chars":
+        out = out.withColumn("n_chars", F.when(partly, F.char_length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*map(col, docs.columns))

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import boosting
-from .common import free_name
+from .common import col, free_name
 
 #: Order of kinds in results: base kinds first, then what the trees add.
 KINDS = ("email", "ip", "card", "phone", "secret", "number", "contact")
@@ -218,7 +218,7 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     # of overlapping additions of one kind none is dropped: redaction joins them
     lists = [F.transform(base[k], lambda s: span(s, F.lit(KINDS.index(k)), True)) for k in BASE]  # noqa: B023 - applied at once
     df = df.withColumn(name, F.sort_array(F.concat(*lists, F.transform(chosen, lambda c: span(c, c["kind"], False)))))
-    return df.select(*docs.columns, name)
+    return df.select(*map(col, docs.columns), name)
 
 
 def listed(spans: Column) -> Column:
@@ -249,4 +249,4 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     out = found.withColumn(text, redacted(F.col(text), F.col(spans)))
     if "n_chars" in docs.columns and text != "n_chars":
         out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.char_length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*map(col, docs.columns))

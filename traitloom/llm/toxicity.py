@@ -24,10 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import free_name, steps, texts
+from .common import free_name, steps, texts, through_arrow
 
 #: Labelled rows of each class that training reads at most.
-MAX_LABELLED = 2500
+MAX_LABELLED = 1500
 BUCKETS = 1 << 17
 DIM = 12
 SIZES = (3, 4, 5, 6)
@@ -76,7 +76,7 @@ def grams(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         inner = before[n - 2:len(data) - 1] - before[:len(data) - n + 1]  # blanks strictly inside
         at = np.flatnonzero(inner == 0)
         mixed = (h[at] ^ (h[at] >> np.uint32(15))) * np.uint32(0x9E3779B1 + 2 * n)
-        yield before[at] - 1, (mixed >> shift).astype(np.int64)
+        yield before[at] - 1, (mixed >> shift).astype(np.int32)
 
 
 def word_scores(data: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -159,7 +159,7 @@ def train(rows: list[tuple[str, int]], seed: int = 11) -> Model:
     found = list(grams(data))
     word = np.concatenate([w for w, _ in found])
     order = np.argsort(word, kind="stable")
-    bucket = np.concatenate([b for _, b in found])[order].astype(np.int32)
+    bucket = np.concatenate([b for _, b in found])[order]
     sizes = np.bincount(word, minlength=len(vocabulary))[:len(vocabulary)]
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     has = sizes > 0
@@ -258,7 +258,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 out = np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return through_arrow(docs, run, [T.StructField(name, T.DoubleType())])
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
