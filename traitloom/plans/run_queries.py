@@ -392,6 +392,29 @@ def stream_finalize(spark: SparkSession, sf: str) -> DataFrame:
     return newest.select("line_id", "attempted", "answered", "version")
 
 
+@query("stream_records", over("merged", """
+SELECT run_no, line_id, group_name, trait_name, raw, num FROM merged"""))
+def stream_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Merged records as the stream gives them out; at the end they equal the batch merge."""
+    store, out, state = scratch(spark, "answers"), scratch(spark, "records"), scratch(spark, "state")
+    rank = ["is_fresh", *src.DELIVERY]
+
+    def newest(lines: DataFrame) -> DataFrame:
+        known = spark.read.parquet(store).join(lines, src.RUN_LINE, "left_semi")
+        return rs.latest(known, [*src.RUN_LINE, "shard_id"], rank, ["text"]).withColumn("obj", F.try_parse_json(tx.strip_code_fence(F.col("text"))))
+
+    def start(calls: DataFrame) -> StreamingQuery:
+        live.drain(live.intake(calls.where(F.col("status") == "ok"), store, scratch_state))
+        return live.hand_out_records(live.finalize(calls, 3, src.RUN_LINE), newest, src.traits(spark), src.RUN_LINE, ["shard_id"], out, state)
+
+    scratch_state = scratch(spark, "intake-state")
+    calls = src.parsed(spark, sf).select(
+        *src.RUN_LINE, "shard_id", "status", "text", (F.col("source") == "fresh").alias("is_fresh"), *src.DELIVERY,
+        F.col("l_shipdate").cast("timestamp").alias("ts"))
+    _fed(spark, calls, "deliveries", start)
+    return live.handed_out(spark, out, src.RUN_LINE).select("run_no", "line_id", "group_name", "trait_name", "raw", "num")
+
+
 @query("stream_monitor", over("samp", """+ w AS (SELECT date_trunc('hour', ts) AS s, * FROM samp), top AS (SELECT max(ts) AS t FROM samp)
 SELECT epoch_us(s) AS w_start, CAST(count(*) AS BIGINT) AS samples, min(gauge) AS low, CAST(count(*) FILTER (gauge < 1) AS BIGINT) AS below,
   count(*) FILTER (gauge < 1) > 0 AS alarm FROM w, top GROUP BY s, t HAVING s + INTERVAL 1 HOUR <= t - INTERVAL 10 MINUTE"""))
