@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, minhash, mixing, pii, quality, substrings, suffixes, toxicity, vectors
+from . import bpe, chat, minhash, mixing, pii, quality, substrings, suffixes, toxicity, vectors
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -83,6 +83,17 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+@query
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a transcript, its roles found again, and its canonical text."""
+    turns = table(spark, sf_dir, "conversations")
+    parsed = chat.parse(chat.transcripts(turns), chat.fit(turns))
+    roles = F.transform("turns", lambda t: t["role"])
+    return parsed.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.array_join(roles, ",").alias("roles"), (roles == F.col("roles")).alias("as_given"),
+        F.sha2(chat.rendered(F.col("turns")).cast("binary"), 256).alias("rendered_sha256"))
+
+
 @query
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements, failure bits and verdict of every document."""
