@@ -46,8 +46,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its token ids and the text they decode to."""
-    ids = bpe.encode(docs, VOCABULARY)
-    return bpe.decode(ids, VOCABULARY, ids.columns[-1])
+    return bpe.encode(docs, VOCABULARY, decoded=True)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -182,6 +182,8 @@ def test_bpe_equals_the_library(spark):
         assert bytes(x.ids_) == b"".join(i.to_bytes(4, "little") for i in want) and x.n_tokens == len(want)
         assert x.decoded == library.decode(want, skip_special_tokens=False)
     assert bpe.encode(docs.limit(0), queries.VOCABULARY).count() == 0
+    at_once = bpe.encode(docs, queries.VOCABULARY, decoded=True).select("doc_id", "ids", "decoded").collect()
+    assert sorted(map(tuple, at_once), key=str) == sorted(((x.doc_id, x.ids_, x.decoded) for x in done.collect()), key=str)
 
 
 def test_bpe_cuts_and_merges():

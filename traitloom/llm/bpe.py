@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame, types as T
 from .common import free_name, steps, texts, through_arrow
 
 #: Entries a worker's caches hold before they start anew, and the longest word kept.
-CACHE_WORDS = 250_000
-CACHE_PIECES = 300_000
-CACHE_FRAGMENTS = 100_000
+CACHE_WORDS = 100_000
+CACHE_PIECES = 150_000
+CACHE_FRAGMENTS = 30_000
 LONGEST_KEPT = 48
 #: Fragments beyond this length are merged through a heap instead of rescans.
 RESCAN_LIMIT = 24
@@ -230,22 +230,27 @@ def vocabulary(path: str) -> str:
     return Path(path).read_text(encoding="utf-8")
 
 
-def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", decoded: bool = False) -> DataFrame:
     """Adds ``n_tokens`` (long) and ``ids`` (binary, little-endian unsigned 32 bits).
 
-    Where the table already has such a column, the added name gets underscores.
+    With *decoded* also ``decoded``, what the ids decode to, in the same pass and
+    by the same workers.  Where the table already has such a column, the added
+    name gets underscores.
     """
     blob = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
-    n_name, ids_name = free_name(docs, "n_tokens"), free_name(docs, "ids")
+    kinds = {"n_tokens": T.LongType(), "ids": T.BinaryType(), **({"decoded": T.StringType()} if decoded else {})}
+    names = [free_name(docs, n) for n in kinds]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(blob.value)
         for batch in steps(batches, text):
             packed = [own.encode(t) for t in texts(batch, text)]
-            yield _with_columns(batch, {
-                n_name: pa.array([len(p) // 4 for p in packed], pa.int64()), ids_name: pa.array(packed, pa.binary())})
+            added = [pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary())]
+            if decoded:
+                added.append(pa.array([own.decode(p) for p in packed], pa.string()))
+            yield _with_columns(batch, dict(zip(names, added)))
 
-    return through_arrow(docs, run, [T.StructField(n_name, T.LongType()), T.StructField(ids_name, T.BinaryType())])
+    return through_arrow(docs, run, [T.StructField(n, k) for n, k in zip(names, kinds.values())])
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:

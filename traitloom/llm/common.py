@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Characters of text that one step inside a task handles together.
-STEP_CHARS = 4_000_000
+STEP_CHARS = 1_000_000
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
@@ -54,6 +54,7 @@ def steps(batches: Iterable[pa.RecordBatch], text: str, limit: int = STEP_CHARS)
             size += n or 0
         if len(lengths) > start:
             yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # what this task no longer needs goes back before the next one
 
 
 def texts(batch: pa.RecordBatch, text: str) -> list[str]:

@@ -48,6 +48,8 @@ MARGIN = 0.17
 #: Members of a bucket, and bytes of their shortened sets, that one side of a tile holds on average.
 TILE = 640
 TILE_BYTES = 32 << 20
+#: Characters of text that a task hashes at a time.
+STEP = 400_000
 _EMPTY = 0xFFFF
 
 
@@ -108,7 +110,7 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, digest, registers`` of every row; digest is null for empty sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, text, 1_500_000):
+        for batch in steps(batches, text, STEP):
             sets = list(shingle_sets(texts(batch, text)))
             regs = registers(sets)
             yield pa.RecordBatch.from_arrays([
@@ -123,7 +125,7 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
 def _sets(rows: DataFrame) -> DataFrame:
     """``node, registers, shingles`` of rows ``node, text``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "text", 1_500_000):
+        for batch in steps(batches, "text", STEP):
             sets = list(shingle_sets(texts(batch, "text")))
             regs = [r.tobytes() for r in registers(sets)]
             yield pa.RecordBatch.from_arrays([

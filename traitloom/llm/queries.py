@@ -78,8 +78,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
-    encoded = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), VOCABULARY).drop("text")
-    return bpe.decode(encoded, VOCABULARY).select(
+    done = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), VOCABULARY, decoded=True)
+    return done.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

@@ -33,7 +33,7 @@ DIM = 12
 SIZES = (3, 4, 5, 6)
 ROUNDS = 40
 #: Bytes of text that one vectorised step works on.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _SPACE = 32
 
 
@@ -155,12 +155,15 @@ def train(rows: list[tuple[str, int]], seed: int = 11) -> Model:
     y = np.array(labels)
     if len(set(labels)) < 2:
         return nothing
-    data = np.frombuffer(b" " + b" ".join(vocabulary) + b" ", np.uint8)
-    found = list(grams(data))
-    word = np.concatenate([w for w, _ in found])
-    order = np.argsort(word, kind="stable")
-    bucket = np.concatenate([b for _, b in found])[order]
-    sizes = np.bincount(word, minlength=len(vocabulary))[:len(vocabulary)]
+    every, bucket_parts, size_parts = list(vocabulary), [], []
+    for at in range(0, len(every), 20_000):  # a block of words at a time, so that memory follows the n-grams kept
+        part = every[at:at + 20_000]
+        found = list(grams(np.frombuffer(b" " + b" ".join(part) + b" ", np.uint8)))
+        word = np.concatenate([w for w, _ in found])
+        bucket_parts.append(np.concatenate([b for _, b in found])[np.argsort(word, kind="stable")])
+        size_parts.append(np.bincount(word, minlength=len(part))[:len(part)])
+    bucket, sizes = np.concatenate(bucket_parts), np.concatenate(size_parts)
+    del every, bucket_parts, size_parts
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     has = sizes > 0
     flat = np.concatenate(bags)
