@@ -123,6 +123,29 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixed_documents_hold_the_words_drawn(spark):
+    """Each word is its own number, so the output shows which words of which block came."""
+    block = mixing.BLOCK
+    long, other = " ".join(f"a{k}" for k in range(100 * block + 7)), "  " + " \n".join(f"b{k}" for k in range(20 * block))
+    rows = [(1, long, "big")] + [(10 + i, other, "more") for i in range(2)] + [(10, other, "more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
+    sources = mixing.targets(sizes)
+    drawn = [(m.sid, m.block * block + k) for m in mixing.slots(sources).collect() for k in range(m.take)]
+    sid = {s.source: s.sid for s in sources.collect()}
+    out = mixing.mixed_documents(docs).collect()
+    (big,) = [x.text for x in out if x.source == "big"]
+    want = sorted(n for s, n in drawn if s == sid["big"])
+    assert 0 < len(want) < 100 * block and want != list(range(len(want)))
+    assert big == " ".join(f"a{n}" for n in want)
+    # the other source comes in whole and partial passes; numbers in the source run over its three rows
+    got = collections.Counter(w for x in out if x.source == "more" for w in x.text.split())
+    assert got == collections.Counter(f"b{n % (20 * block)}" for s, n in drawn if s == sid["more"])
+    assert sum(x.text == other for x in out if x.source == "more") >= 3
+    # a repeated row has words of its own draws, and no piece runs into the next
+    assert all(re.fullmatch(r"(  )?b\d+( \nb\d+)*", x.text) for x in out if x.source == "more")
+
+
 def test_mixing_slots_are_permutations(spark):
     sizes = spark.createDataFrame([("a", 64 * 500 + 3), ("b", 10), ("c", 64 * 900)], "source string, size long")
     mix = mixing.slots(mixing.targets(sizes)).collect()

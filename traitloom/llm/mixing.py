@@ -37,6 +37,8 @@ RUN_ROWS = 4096
 #: Slots that one row unfolds to.
 SLOT_RUN = 16384
 ROUNDS = 10
+#: A document at its place in its source; repeated rows differ in place.
+KEY = ["sid", "start", "doc_id", "source", "tie", "size"]
 
 
 def n_words(text: Column) -> Column:
@@ -97,10 +99,11 @@ def placed(sizes: DataFrame, sources: DataFrame, n_docs: int) -> DataFrame:
 
 
 def slots(sources: DataFrame, seed: int = 7) -> DataFrame:
-    """Every slot of the mix: ``sid, slot, block, take, shard, place``.
+    """Every slot of the mix: ``sid, slot, block, take, whole, shard, place``.
 
     ``take`` words from the start of block ``block`` of source ``sid`` go to
-    place ``place`` of output shard ``shard``.
+    place ``place`` of output shard ``shard``.  ``whole`` says that the slot
+    belongs to a pass that takes every block of the source.
     """
     per = sources.where("source_size > 0 and target > 0").select(
         "sid", F.col("source_size").alias("words"), F.ceil(F.col("source_size") / BLOCK).alias("n"),
@@ -121,7 +124,8 @@ def slots(sources: DataFrame, seed: int = 7) -> DataFrame:
     take = F.when(F.col("pass") < F.col("passes"), full).otherwise(F.least(full, F.greatest(F.lit(0), F.col("rest") - had)))
     out = out.withColumn("take", take).where("take > 0").withColumn("number", F.col("first_slot") + F.col("slot")).withColumn("all_seed", F.lit(seed))
     out = out.withColumn("at", permuted("number", "all_slots", ["all_seed"]))
-    return out.select("sid", "slot", "block", "take", F.expr(f"at div {SHARD_SLOTS}").alias("shard"), F.expr(f"at % {SHARD_SLOTS}").alias("place"))
+    whole = (F.col("pass") < F.col("passes")).alias("whole")
+    return out.select("sid", "slot", "block", "take", whole, F.expr(f"at div {SHARD_SLOTS}").alias("shard"), F.expr(f"at % {SHARD_SLOTS}").alias("place"))
 
 
 def shard_counts(mix: DataFrame) -> DataFrame:
@@ -129,11 +133,12 @@ def shard_counts(mix: DataFrame) -> DataFrame:
     return mix.groupBy("shard", "sid").agg(F.count("*").alias("n_slots"), F.sum("take").alias("words"))
 
 
-def mix(docs: DataFrame, text: str = "text", seed: int = 7) -> DataFrame:
-    """``doc_id, source, tie, size, source_size, target, taken`` for every document.
+def _pieces(docs: DataFrame, text: str, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents cut at block borders with what slots take of each piece, documents without words, and sources.
 
-    ``tie`` is a hash of the text.  Texts are read once; all further work is on
-    narrow rows kept in the shared folder.
+    A piece has one row for every slot that draws its block, or one without a
+    slot.  Words ``begin`` to ``begin + used - 1`` of the document, counted from
+    0, are those that the slot takes.
     """
     spark = docs.sparkSession
     path = scratch(spark, "mix-sizes")
@@ -145,41 +150,71 @@ def mix(docs: DataFrame, text: str = "text", seed: int = 7) -> DataFrame:
     n_docs = sources.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
 
     rows = placed(sizes, sources, n_docs)
-    per_source = bounded(sources.select("sid", "source_size", "target"))
     pieces = rows.where("size > 0").withColumn(
         "block", F.explode(F.expr(f"sequence(start div {BLOCK}, (start + size - 1) div {BLOCK})")))
-    drawn = slots(sources, seed).select("sid", "block", "take")
+    drawn = slots(sources, seed).select("sid", "block", "take", "whole")
+    begin = F.greatest(F.col("start"), F.col("block") * BLOCK)
     stop = F.least(F.col("start") + F.col("size"), F.col("block") * BLOCK + F.col("take"))
-    used = F.when(F.col("take").isNotNull(), F.greatest(F.lit(0), stop - F.greatest(F.col("start"), F.col("block") * BLOCK)))
-    key = ["sid", "start", "doc_id", "source", "tie", "size"]
+    used = F.when(F.col("take").isNotNull(), F.greatest(F.lit(0), stop - begin)).otherwise(F.lit(0))
     # both sides grow with the input, which the planner cannot see through the unfolding
-    taken = pieces.hint("merge").join(drawn, ["sid", "block"], "left").groupBy(*key).agg(F.coalesce(F.sum(used), F.lit(0)).alias("taken"))
-    empty = rows.where("size = 0").select(*key, F.lit(0).cast("long").alias("taken"))
+    met = pieces.hint("merge").join(drawn, ["sid", "block"], "left")
+    return met.select(*KEY, "whole", (begin - F.col("start")).alias("begin"), used.cast("long").alias("used")), rows.where("size = 0"), sources
+
+
+def mix(docs: DataFrame, text: str = "text", seed: int = 7) -> DataFrame:
+    """``doc_id, source, tie, size, source_size, target, taken`` for every document.
+
+    ``tie`` is a hash of the text.  Texts are read once; all further work is on
+    narrow rows kept in the shared folder.
+    """
+    pieces, empty, sources = _pieces(docs, text, seed)
+    per_source = bounded(sources.select("sid", "source_size", "target"))
+    taken = pieces.groupBy(*KEY).agg(F.sum("used").alias("taken"))
+    empty = empty.select(*KEY, F.lit(0).cast("long").alias("taken"))
     return taken.unionByName(empty).join(per_source, "sid").select("doc_id", "source", "tie", "size", "source_size", "target", "taken")
 
 
+def cut(words: Column, ranges: Column) -> Column:
+    """The *ranges* (``begin, used``) of *words*, each with the blanks before it, joined; no blanks begin it unless they begin the text."""
+    one = lambda r: F.array_join(F.slice(words, (r["begin"] + 1).cast("int"), r["used"].cast("int")), "")
+    joined = F.array_join(F.transform(ranges, one), "")
+    return F.when(ranges[0]["begin"] > 0, F.regexp_replace(joined, r"\A[\x20\x09-\x0D]+", "")).otherwise(joined)
+
+
 def mixed_documents(docs: DataFrame, text: str = "text", seed: int = 7) -> DataFrame:
     """The mix as documents with the columns of *docs*.
 
-    A document that is taken more than once comes that many times; where only
-    some of its words are taken, its text is as many words from its beginning.
-    Documents of which nothing is taken, empty ones included, are left out.
+    A document comes once for every pass over its source that draws some of its
+    words.  A pass that takes all blocks gives it whole; from the last pass it
+    has the words of exactly the blocks drawn, in the order of the text.
+    Documents of which nothing is drawn, empty ones included, are left out.
     ``n_chars``, if there, follows the text.
     """
     name = lambda x: free_name(docs, x)
-    k1, k2, nth, taken, size, copy, words = map(name, ("_k1", "_k2", "_nth", "_taken", "_size", "_copy", "_words"))
+    k1, k2, nth, drawn, cuts, words = map(name, ("_k1", "_k2", "_nth", "_drawn", "_cuts", "_words"))
     key = lambda tie: [F.xxhash64(F.lit(n), "doc_id", "source", tie).alias(k) for n, k in ((1, k1), (2, k2))]
-    wanted = mix(docs, text, seed).where("taken > 0").groupBy(*key(F.col("tie"))).agg(F.sum("taken").alias(taken), F.first("size").alias(size))
-    # rows that repeat as a whole share one row of *wanted*, whose words are those of all of them;
+    pieces, _, _ = _pieces(docs, text, seed)
+    # the ranges of a document are a small part of its text; a document drawn as a whole needs none
+    part, last = F.struct("begin", "used"), ~F.col("whole")
+    wanted = pieces.where("used > 0").groupBy(*KEY).agg(
+        F.sum(F.when(F.col("whole"), F.col("used")).otherwise(0)).alias("in_whole"), F.sum(F.when(last, F.col("used")).otherwise(0)).alias("in_last"),
+        F.array_sort(F.collect_list(F.when(last, part))).alias("parts"))
+    kind = "array<struct<begin:bigint,used:bigint>>"
+    copies = F.transform(F.expr("sequence(1L, in_whole div size)"), lambda _: F.lit(None).cast(kind))
+    copies = F.when(F.expr("in_whole >= size"), copies).otherwise(F.expr(f"cast(array() as array<{kind}>)"))
+    rest = F.when(F.col("in_last") == F.col("size"), F.array(F.lit(None).cast(kind))).when(
+        F.col("in_last") > 0, F.array(F.col("parts").cast(kind))).otherwise(F.expr(f"cast(array() as array<{kind}>)"))
+    wanted = wanted.select(*key(F.col("tie")), F.concat(copies, rest).alias(drawn))
+    # rows that repeat as a whole share one text, which meets the ranges of each of them;
     # numbering and join use one partitioning, so the texts move once
     rows = docs.select(*map(col, docs.columns), *key(F.xxhash64(text))).repartition(k1, k2)
     number = F.row_number().over(Window.partitionBy(k1, k2).orderBy(F.lit(0)))
     rows = rows.withColumn(nth, number).where(F.col(nth) == 1).drop(nth).join(wanted, [k1, k2])
-    rows = rows.withColumn(copy, F.explode(F.expr(f"sequence(0L, ({taken} - 1) div {size})")))
-    rows = rows.withColumn(words, F.least(F.col(size), F.col(taken) - F.col(copy) * F.col(size)))
-    begin = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col(words).cast("int")), "")
-    partly = F.col(words) < F.col(size)
-    out = rows.withColumn(text, F.when(partly, begin).otherwise(F.col(text)))
+    rows = rows.withColumn(cuts, F.explode(drawn))
+    found = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    partly = F.col(cuts).isNotNull()
+    rows = once(rows, words, F.when(partly, found))
+    out = rows.withColumn(text, F.when(partly, cut(F.col(words), F.col(cuts))).otherwise(F.col(text)))
     if "n_chars" in docs.columns and text != "n_chars":
         out = out.withColumn("n_chars", F.when(partly, F.char_length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*map(col, docs.columns))
