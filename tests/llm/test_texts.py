@@ -83,6 +83,23 @@ def test_personal_data_added_spans_and_redaction(spark):
     assert pii.redact(docs.limit(0)).count() == 0
 
 
+def test_personal_data_numbers_side_by_side(spark):
+    """Neighbouring numbers are candidates of their own, whatever stands beside them."""
+    lists = "call 555-123-4567 / 555-123-9999 / 555-123-8888 / 555-123-7777"
+    rows = [(1, "call 10.0.0.1 (555) 123-4567", ["555) 123-4567"]), (2, "his ssn 192.168.0.1 078-05-1120 there", ["078-05-1120"]),
+            (3, "phone 2024-01-05 555-123-4567 now", ["555-123-4567", "2024-01-05"]), (4, lists, lists[5:].split(" / ")),
+            (5, "\U0001F600 x12-345-6789 1234567890123 9" + "1" * 50, ["1234567890123"]), (6, "12 34 56 78 90 12 34", ["12 34 56 78 90", "34 56 78", "12 34 56 78 90 12 34"])]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got, _, more = pii.with_candidates(docs, "text")
+    seen = {r.doc_id: {r.text[c.start:c.stop] for c in r[more] if c.kind == pii.KINDS.index("number")} for r in got.collect()}
+    for i, _, want in rows:
+        assert set(want) <= seen[i], (i, seen[i])
+    assert not any("10.0.0.1" in x or x.startswith("1 ") for x in seen[1]) and all(len(x) <= 41 for x in seen[5])
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert clean[1] == "call [IP] ([NUMBER]" and clean[2] == "his ssn [IP] [NUMBER] there" and clean[3] == "phone 2024-01-05 [NUMBER] now"
+    assert clean[4] == "call [NUMBER] / [NUMBER] / [NUMBER] / [NUMBER]" and clean[6] == rows[5][1]
+
+
 # --- mixing --------------------------------------------------------------------------
 
 def wanted_targets(sizes):

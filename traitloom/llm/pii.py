@@ -4,11 +4,13 @@ Everything runs inside DataFrame functions, row by row, without a shuffle.
 
 * Base spans come from strict patterns with their checks (address parts, Luhn,
   number of digits).  They are always kept.
-* High-recall generators propose more, partly overlapping, spans: digit groups,
-  values after ``=`` or ``:``, and mail addresses written out.  Boosted trees
-  look at format and at the words before a span; a threshold for each kind,
-  calibrated on candidates that did not train the trees, selects what is added.
-  Candidates that touch a base span add nothing and are left out.
+* High-recall generators propose more, partly overlapping, spans: from every
+  digit group on, the runs of one to five neighbouring groups and the longest
+  run of 41 signs at most; values after ``=`` or ``:``; and mail addresses
+  written out.  Boosted trees look at format, at the words before a span and at
+  the numbers beside it; a threshold for each kind, calibrated on candidates
+  that did not train the trees, selects what is added.  Candidates that
+  themselves touch a base span add nothing and are left out.
 
 The trees are fitted anew in every session from a fixed list of made-up example
 lines (``examples``), whose features are computed by the same expressions.
@@ -41,9 +43,18 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "secret": r"[=:][\x20]{0,3}[\"']?[A-Za-z0-9+/_-]{8,}+",
-    "number": r"[0-9](?<![A-Za-z0-9][0-9])[0-9().\x20/-]{5,40}(?<=[0-9])(?![A-Za-z0-9])",
     "contact": r"[A-Za-z0-9._%+-]{1,64}\x20?[(\[]\x20?(?:at|AT)\x20?[)\]]\x20?[A-Za-z0-9-]{1,63}(?:\x20?[(\[]\x20?(?:dot|DOT)\x20?[)\]]\x20?[A-Za-z0-9-]{2,63}|\.[A-Za-z]{2,24})+",
 }
+#: A digit group that begins a number, and the same with what follows it captured: enough for the longest run and the signs after it.
+GROUP = r"(?<![A-Za-z0-9])[0-9]++"
+WINDOW = r"(?<![A-Za-z0-9])(?=([0-9().\x20/-]{1,41}+[\x00-\x{10FFFF}]{0,4}))[0-9]++"
+#: Runs of one to five neighbouring groups, and the longest run, at the beginning of a window.
+RUNS = (*(rf"^[0-9]++(?:[().\x20/-]++[0-9]++){{{n}}}(?![A-Za-z0-9])" for n in range(5)), r"^[0-9][0-9().\x20/-]{5,40}(?<=[0-9])(?![A-Za-z0-9])")
+RUN_SIGNS = (6, 41)
+#: Numbers beside a candidate: written as one with it, or only near.
+TIED = r"(?:[-.]|\)[\x20-]?)"
+NEAR = r"[().\x20/-]+"
+BESIDE = ("tied_before", "near_before", "tied_after", "near_after")
 #: Characters before a candidate that the trees may look at.
 CONTEXT = 28
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
@@ -97,10 +108,47 @@ def _with_spans(df: DataFrame, text: str, kind: str, possible: Column) -> tuple[
     return df.withColumn(spans, F.coalesce(placed, F.expr(f"cast(array() as array<{SPAN}>)"))).drop(found, gaps), spans
 
 
+def _with_numbers(df: DataFrame, text: str, possible: Column) -> tuple[DataFrame, str]:
+    """Adds all runs of digit groups, overlapping ones too, each with the signs before and after it."""
+    groups, windows, gaps, spans = (free_name(df, f"_number_{x}") for x in ("groups", "windows", "gaps", "spans"))
+    every = lambda pattern, group: F.when(possible, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group)))
+    df = df.withColumn(groups, every(GROUP, 0)).withColumn(windows, every(WINDOW, 1))
+    df = df.withColumn(gaps, F.when(F.size(groups) > 0, F.split(F.col(text), GROUP, -1)))
+    kind = "struct<start:bigint,before:string,close:string,window:string>"
+
+    def place(state: Column, x: Column) -> Column:
+        start, close = state["at"] + F.char_length(x["gap"]), F.right(F.concat(state["tail"], x["gap"]), F.lit(CONTEXT))
+        # the words before the first number of a list are those of its other numbers too
+        before = F.when((state["at"] > 0) & x["gap"].rlike(f"^{NEAR}$"), state["before"]).otherwise(close)
+        one = F.struct(start.alias("start"), before.alias("before"), close.alias("close"), x["window"].alias("window"))
+        return F.struct(
+            (start + F.char_length(x["group"])).alias("at"), F.right(F.concat(close, x["group"]), F.lit(CONTEXT)).alias("tail"), before.alias("before"),
+            F.concat(state["out"], F.array(one)).alias("out"))
+
+    def runs(x: Column) -> Column:
+        hits = F.array_distinct(F.array(*(F.regexp_extract(x["window"], pattern, 0) for pattern in RUNS)))
+        return F.transform(F.filter(hits, lambda h: F.char_length(h).between(*RUN_SIGNS)), lambda h: F.struct(
+            x["start"].alias("start"), (x["start"] + F.char_length(h)).alias("stop"), h.alias("found"), x["before"].alias("before"), x["close"].alias("close"),
+            F.substr(x["window"], F.char_length(h) + 1, F.lit(4)).alias("after")))
+
+    met = F.zip_with(F.col(groups), F.col(windows), lambda g, w: F.struct(g.alias("group"), w.alias("window")))
+    met = F.zip_with(met, F.slice(F.col(gaps), F.lit(1), F.size(groups)), lambda x, g: F.struct(x["group"].alias("group"), x["window"].alias("window"), g.alias("gap")))
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("tail"), F.lit("").alias("before"), F.expr(f"cast(array() as array<{kind}>)").alias("out"))
+    placed = F.aggregate(met, begin, place, lambda s: s["out"])
+    none = F.expr("cast(array() as array<struct<start:bigint,stop:bigint,found:string,before:string,close:string,after:string>>)")
+    found = F.when(F.size(groups) > 0, F.flatten(F.transform(placed, runs)))
+    return df.withColumn(spans, F.coalesce(found, none)).drop(groups, windows, gaps), spans
+
+
 def _features(kind: str, text: Column, span: Column) -> Column:
     """Format and context of a candidate."""
     hit = span["found"]
-    before = F.substr(text, F.greatest(F.lit(1), span["start"] - CONTEXT + 1).cast("int"), F.least(F.lit(CONTEXT), span["start"]).cast("int"))
+    if kind == "number":
+        before = span["before"]
+        beside = [span["close"].rlike(f"[0-9]{TIED}$"), span["close"].rlike(f"[0-9]{NEAR}$"), span["after"].rlike(f"^{TIED}[0-9]"), span["after"].rlike(f"^{NEAR}[0-9]")]
+    else:
+        before = F.substr(text, F.greatest(F.lit(1), span["start"] - CONTEXT + 1).cast("int"), F.least(F.lit(CONTEXT), span["start"]).cast("int"))
+        beside = [F.lit(False)] * len(BESIDE)
     n = F.char_length(hit)
     n_digits, n_letters = F.length(_digits(hit)), F.length(F.regexp_replace(hit, "[^A-Za-z]", ""))
     made = {
@@ -109,11 +157,12 @@ def _features(kind: str, text: Column, span: Column) -> Column:
         "hex": hit.rlike("^[0-9a-fA-F]+$").cast("int"), "turns": F.size(F.regexp_extract_all(hit, F.lit("[A-Za-z][0-9]|[0-9][A-Za-z]"), F.lit(0))),
         "dotted": F.instr(hit, "."), "slashed": F.instr(hit, "/"), "bracket": F.instr(hit, "("),
         **{name: before.rlike(pattern).cast("int") for name, pattern in WORDS_BEFORE.items()},
+        **{name: there.cast("int") for name, there in zip(BESIDE, beside)},
     }
     return F.struct(span["start"].alias("start"), span["stop"].alias("stop"), *(F.coalesce(v, F.lit(0)).cast("double").alias(k) for k, v in made.items()))
 
 
-FEATURES = ["kind", "length", "digits", "letters", "signs", "groups", "upper", "hex", "turns", "dotted", "slashed", "bracket", *WORDS_BEFORE]
+FEATURES = ["kind", "length", "digits", "letters", "signs", "groups", "upper", "hex", "turns", "dotted", "slashed", "bracket", *WORDS_BEFORE, *BESIDE]
 
 
 def with_candidates(df: DataFrame, text: str) -> tuple[DataFrame, dict[str, str], str]:
@@ -121,12 +170,12 @@ def with_candidates(df: DataFrame, text: str) -> tuple[DataFrame, dict[str, str]
     source = F.col(text)
     digit, at, plus = source.rlike("[0-9]"), F.instr(source, "@") > 0, F.instr(source, "+") > 0
     possible = {
-        "email": at, "ip": digit, "card": digit, "phone": plus, "number": digit,
+        "email": at, "ip": digit, "card": digit, "phone": plus,
         "secret": (F.instr(source, "=") > 0) | (F.instr(source, ":") > 0), "contact": source.rlike(r"(?i)[(\[] ?at ?[)\]]"),
     }
     names = {}
     for kind in KINDS:
-        df, names[kind] = _with_spans(df, text, kind, possible[kind])
+        df, names[kind] = _with_numbers(df, text, digit) if kind == "number" else _with_spans(df, text, kind, possible[kind])
     for kind in BASE:
         check = CHECKS[kind]
         df = df.withColumn(names[kind], F.filter(names[kind], lambda s: check(s["found"])))  # noqa: B023 - applied at once
@@ -145,23 +194,36 @@ def with_candidates(df: DataFrame, text: str) -> tuple[DataFrame, dict[str, str]
 
 
 def examples(seed: int = 5, each: int = 120) -> list[tuple[int, str]]:
-    """Made-up lines, each with one candidate: 1 where it is personal or secret, 0 where not."""
+    """Made-up lines: 1 where they hold something personal or secret, 0 where not.
+
+    Numbers that are personal as a whole stand between ``<`` and ``>``; other
+    runs of groups in such a line are parts of them, or more than them.
+    """
     r = random.Random(seed)
     digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
     mixed = lambda n: "".join(r.choice("abcdefghkmnpqrstuvwxyzABCDEFGHKMNPQRSTUVWXYZ0123456789") for _ in range(n))
     word = lambda: "".join(r.choice(("an", "er", "the", "on", "ti", "re", "st", "ou", "is", "le")) for _ in range(r.randint(2, 4)))
     some = lambda: " ".join(word() for _ in range(r.randint(2, 5)))
+    phone, social = lambda: f"{digits(3)}-{digits(3)}-{digits(4)}", lambda: f"{digits(3)}-{digits(2)}-{digits(4)}"
+    day, address = lambda: f"{r.randint(1900, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}", lambda: ".".join(str(r.randint(0, 255)) for _ in range(4))
+    call, id_ = lambda: r.choice(("call", "tel", "phone", "fax", "mobile", "cell")), lambda: r.choice(("ssn", "social security number"))
+    many = lambda one: r.choice((" / ", " ", "/", " - ")).join(f"<{one()}>" for _ in range(r.randint(2, 5)))
     yes = [
         lambda: f"{some()} {r.choice(['token', 'api_key', 'secret', 'auth token', 'access_key'])} = \"{hexes(r.randint(16, 40))}\"",
         lambda: f"{some()} {r.choice(['password', 'passwd', 'pwd', 'secret'])}={r.choice([hexes, mixed])(r.randint(10, 32))}",
         lambda: f"{some()} {r.choice(['key', 'token', 'bearer'])}: {mixed(r.randint(16, 40))}",
-        lambda: f"{some()} {r.choice(['call', 'tel', 'phone', 'fax', 'mobile'])} {r.choice(['', 'me on ', 'at '])}({digits(3)}) {digits(3)}-{digits(4)}",
-        lambda: f"{some()} {r.choice(['phone', 'tel', 'cell'])}: {digits(3)}-{digits(3)}-{digits(4)} {some()}",
-        lambda: f"{some()} {r.choice(['ssn', 'social security number'])} {digits(3)}-{digits(2)}-{digits(4)} {some()}",
-        lambda: f"{some()} {r.choice(['passport', 'account', 'iban', 'tax id'])} {digits(r.randint(8, 12))} {some()}",
+        lambda: f"{some()} {r.choice(['call', 'tel', 'phone', 'fax', 'mobile'])} {r.choice(['', 'me on ', 'at '])}(<{digits(3)}) {digits(3)}-{digits(4)}>",
+        lambda: f"{some()} {r.choice(['phone', 'tel', 'cell'])}: <{digits(3)}-{digits(3)}-{digits(4)}> {some()}",
+        lambda: f"{some()} {r.choice(['ssn', 'social security number'])} <{digits(3)}-{digits(2)}-{digits(4)}> {some()}",
+        lambda: f"{some()} {r.choice(['passport', 'account', 'iban', 'tax id'])} <{digits(r.randint(8, 12))}> {some()}",
         lambda: f"{some()} {word()}{digits(2)} (at) {word()} (dot) {r.choice(['com', 'org', 'net'])} {some()}",
         lambda: f"{some()} {word()}.{word()} [at] {word()}.{r.choice(['com', 'org', 'net'])} {some()}",
+        lambda: f"{some()} {call()} {r.choice([day, address])()} (<{digits(3)}) {digits(3)}-{digits(4)}>",
+        lambda: f"{some()} {call()} {r.choice([day, address])()} <{phone()}> {some()}",
+        lambda: f"{some()} {id_()} {r.choice([day, address])()} <{social()}> {some()}",
+        lambda: f"{some()} {call()}: {many(phone)} {some()}",
+        lambda: f"{some()} {id_()} {many(social)} {some()}",
     ]
     no = [
         lambda: f"{some()} on {r.randint(1900, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)} {some()}",
@@ -174,6 +236,9 @@ def examples(seed: int = 5, each: int = 120) -> list[tuple[int, str]]:
         lambda: f"{some()} {digits(r.randint(2, 5))}{r.choice([' ', '.', ' .', '. ', '(', ')', '/'])}{digits(r.randint(2, 5))} {some()}",
         lambda: f"{some()} {digits(r.randint(1, 3))}{r.choice([' ', '-'])}{digits(r.randint(4, 8))}{r.choice(['', ' ', '-'])}{digits(r.randint(1, 4))} {some()}",
         lambda: f"{some()} {digits(3)}-{digits(3)}-{digits(4)} {some()}",
+        lambda: f"{some()} {day()} {r.choice([day, address, phone])()} {some()}",
+        lambda: f"{some()} {call()} {r.choice([day, address])()} {day()} {some()}",
+        lambda: f"{some()} " + " ".join(digits(r.randint(1, 6)) for _ in range(r.randint(3, 9))) + f" {some()}",
         lambda: f"{some()} {word()}: {word()}{word()}{word()}",
         lambda: f"{some()} {word()}={word()}{word()}{word()} {some()}",
         lambda: f"{some()} key: {word()}{word()}{word()} {some()}",
@@ -188,12 +253,15 @@ def train(spark: SparkSession) -> tuple[list[boosting.Tree], dict[str, float]]:
     """Trees and the threshold of each added kind."""
     lines = "\n".join(f"{label}\t{line}" for label, line in examples())
     made = spark.range(1).select(F.explode(F.split(F.lit(lines), "\n")).alias("line"))
-    made = made.select(F.substring_index("line", "\t", 1).cast("int").alias("label"), F.substring_index("line", "\t", -1).alias("text"))
+    marked = F.substring_index("line", "\t", -1)
+    whole = F.regexp_extract_all(marked, F.lit("<([^>]*)>"), F.lit(1))
+    made = made.select(F.substring_index("line", "\t", 1).cast("int").alias("label"), F.translate(marked, "<>", "").alias("text"), whole.alias("whole"))
     made, _, more = with_candidates(made, "text")
-    rows = made.select("label", "text", F.explode(more).alias("c")).select("label", "text", "c.*").collect()  # a few thousand
-    rows.sort(key=lambda r: (r.text, r.kind, r.start))
+    rows = made.select("label", "text", "whole", F.explode(more).alias("c")).select("label", "text", "whole", "c.*").collect()  # a few thousand
+    rows.sort(key=lambda r: (r.text, r.kind, r.start, r.stop))
     x = np.array([[r[f] for f in FEATURES] for r in rows])
-    y = np.array([r.label for r in rows])
+    number = KINDS.index("number")
+    y = np.array([int(r.text[r.start:r.stop] in r.whole) if r.whole and r.kind == number else r.label for r in rows])
     aside = np.arange(len(rows)) % 4 == 0
     trees = boosting.fit(x[~aside], y[~aside], FEATURES)
     p, truth, kind = boosting.predict(trees, x[aside], FEATURES), y[aside], x[aside, 0]
