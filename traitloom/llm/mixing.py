@@ -7,9 +7,11 @@ pass over the source), and slots meet documents by joining on the block number.
 The last slot of a source takes only the words that its target still lacks, so
 the words taken equal the rounded target.
 
-Slots of all sources are dealt to output shards by a pseudorandom permutation of
-all slots.  The counts of sources in a shard are thus a multinomial draw given
-the totals, and the totals are the targets, not a sample of them.
+Slots of all sources are numbered by output shard and place through a
+pseudorandom permutation of all slots, so counts of sources in a shard are drawn
+without replacement from totals that are the targets, not by multinomial draws.
+``mix`` and ``mixed_documents`` do not use shard and place: their rows are
+documents, not laid out in shards.
 
 Targets: sources in order of their code points, null last, weigh 1, 2, 3,
 1, 2, 3, ... and share all words; a target stops at three times its source's
