@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from traitloom.constants import SNAKE_CASE_PATTERN
 from traitloom.functions import sql as sql_names, stats, text as tx, values as vl
 
 
@@ -147,3 +148,33 @@ def test_student_t_for_any_size():
     near, far = t_two_sided(2.0, 99_999), t_two_sided(2.0, 100_001)
     assert 0 < near - far < 1e-9 and abs(t_two_sided(1.96, 1e9) - 0.04999579) < 1e-7
     assert abs(t_quantile(0.95, 9) - 2.2621571628) < 1e-8
+
+
+LONG = 1_000_000
+
+
+@pytest.mark.parametrize("text,f,length", [
+    ("1" + "_1" * (LONG // 2), lambda c: vl.number(c).isNotNull().cast("string"), 4),
+    ("1" * LONG + "x", lambda c: vl.number(c).isNull().cast("string"), 4),
+    ("1." + "1_" * (LONG // 2), lambda c: vl.number(c).isNull().cast("string"), 4),
+    ("a" + "_a" * (LONG // 2), lambda c: c.rlike(SNAKE_CASE_PATTERN).cast("string"), 4),
+    ("support" + " " * LONG, lambda c: F.size(tx.find_leakage(c)).cast("string"), 1),
+    ("1" * LONG, lambda c: F.size(tx.find_leakage(c)).cast("string"), 1),
+    ("".join(f"<a{i}>" for i in range(LONG // 8)), lambda c: F.substring(tx.ensure_all_tags_closed(c), -9, 9), 9),
+    ("<report>" * (LONG // 8), lambda c: tx.parse_tag_content(c, "report"), 0),
+    ("\n " * (LONG // 2) + "x", tx.clean_text, 1),
+    ("```\n" + ("\n" + " " * 50) * (LONG // 50) + "x", tx.strip_code_fence, 1),
+])
+def test_long_texts_of_the_worst_kind(spark, text, f, length):
+    # no pattern recurses once for each repeat, or tries a run again from each of its places
+    assert len(one(spark, text, f)) == length
+
+
+def test_parse_tag_content_takes_the_first(spark):
+    for text, want in [("<t>a</t><t>b</t>", "a"), ("</t><t> a\n</t>", "a"), ("<t>a<t>b</t>", "a<t>b"), ("<t>a", ""), ("", ""), (None, None)]:
+        assert one(spark, text, lambda c: tx.parse_tag_content(c, "t")) == want
+
+
+def test_find_leakage_takes_digits_as_before(spark):
+    got = one(spark, "x12 of the plants, 3  of  cases; support: 12, Support =  7, support count", tx.find_leakage, "string")
+    assert got == ["12 of the plants", "3  of  cases", "support =  7", "support count", "support: 12"]

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from traitloom.operators import merge, planning, provenance as prov, responses as rs, table as tb
+from traitloom.session import once
 
 TRAITS = "group_ord int, group_name string, trait_ord int, trait_name string, scale_type string, unit string, levels array<struct<level:int,label:string,definition:string>>"
 
@@ -261,3 +262,9 @@ def test_store_identity():
 def test_record_block(spark):
     df = spark.createDataFrame([('{"_provenance":{"provider":"p"}}',), ('{"_provenance":3}',), ("{}",)], "body string")
     assert [r.block and r.block.provider for r in prov.record_block(df).collect()] == ["p", None, None]
+
+
+def test_once_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, 2, 3, 4)], ["a.b", "c d", "e`f", "g"])
+    got = once(df, "h", F.col("g") + 1)
+    assert got.columns == ["a.b", "c d", "e`f", "g", "h"] and tuple(got.first()) == (1, 2, 3, 4, 5)

@@ -58,7 +58,7 @@ POPULATION_PATTERNS = (
     r"\bfrequen\w*",
     r"\bprevalen\w*",
     r"\bcultivars?\b",
-    r"\bsupport(?:\s+count|\s*[:=]?\s*\d+)",
+    r"\bsupport(?:\s+count|\s*(?:[:=]\s*)?\d+)",
     r"\d+\s+of\s+(?:the\s+)?(?:described|cases|specimens|plants)",
     r"\bin\s+this\s+(?:material|dataset)",
     r"\bdo(?:es)?\s+not\s+occur",
@@ -74,7 +74,7 @@ ABSENCE_CATEGORIES = ("absent", "none", "absent/none")
 MAX_NOMINAL_CATEGORIES = 7
 MAX_ORDINAL_LEVELS = 7
 ORDINAL_LEVELS_WITHOUT_NOTE = 5
-SNAKE_CASE_PATTERN = r"^[a-z][a-z0-9]*(_[a-z0-9]+)*$"
+SNAKE_CASE_PATTERN = r"^[a-z][a-z0-9]*+(?:_[a-z0-9]++)*+$"
 
 # Request file guard and limit in bytes; batch discount; cache warning.
 REQUEST_FILE_LIMIT = 200 * 1024 * 1024

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from ..constants import POPULATION_PATTERNS
-from .text import SECTION_HEADER
+from .text import LEAKAGE_PATTERN, SECTION_HEADER
 
 
 def _text(pattern: str) -> str:
@@ -17,10 +16,9 @@ def register_functions(spark: SparkSession) -> None:
 
     Both are SQL bodies, so queries that use them stay in generated code.
     """
-    pattern = "(?iU)(" + "|".join(POPULATION_PATTERNS) + ")"
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION find_leakage(x STRING) RETURNS ARRAY<STRING> RETURN "
-        f"array_sort(array_distinct(transform(regexp_extract_all(coalesce(x, ''), {_text(pattern)}, 0), "
+        f"array_sort(array_distinct(transform(regexp_extract_all(coalesce(x, ''), {_text(LEAKAGE_PATTERN)}, 0), "
         "h -> lower(h))))")
     header = _text(SECTION_HEADER)
     ids = f"regexp_extract_all(x, {header}, 1)"

@@ -9,7 +9,8 @@ from ..constants import POPULATION_PATTERNS
 #: ``### <id>`` header lines of a grouped text.
 SECTION_HEADER = r"(?md)^###[ \t]+(.+?)[ \t]*$"
 SECTION_SEPARATOR = "\n\n---\n\n"
-LEAKAGE_PATTERN = "(?iU)(" + "|".join(POPULATION_PATTERNS) + ")"
+#: A run of digits is tried from its first digit only, so a long one costs one look.
+LEAKAGE_PATTERN = "(?iU)(" + "|".join(r"(?<!\d)" * p.startswith(r"\d") + p for p in POPULATION_PATTERNS) + ")"
 
 
 #: Every character that counts as white space at the ends of a text.
@@ -48,15 +49,22 @@ def text_parts(blocks: Column, sep: str = "\n") -> Column:
 
 
 def parse_tag_content(text: Column, tag: str) -> Column:
-    """Inner text of the first ``<tag>..</tag>``, stripped; empty when absent."""
-    return strip(F.regexp_extract(text, f"(?s)<{tag}>(.*?)</{tag}>", 1))
+    """Inner text of the first ``<tag>..</tag>``, stripped; empty when absent.
+
+    Plain searches: what follows the first opening tag holds a closing one, or
+    no later opening tag is followed by one either.
+    """
+    opening, closing = f"<{tag}>", f"</{tag}>"
+    at = F.instr(text, opening)
+    rest = F.substring(text, at + len(opening), F.length(text))
+    inner = F.when((at > 0) & F.contains(rest, F.lit(closing)), F.substring_index(rest, closing, 1)).otherwise("")
+    return F.when(text.isNotNull(), strip(inner))
 
 
 def ensure_all_tags_closed(text: Column) -> Column:
     """Append one closing tag per plain tag that never closes, in first-seen order."""
-    tags = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?U)<(\w+)>"), F.lit(1)))
-    still_open = F.filter(tags, lambda t: ~F.contains(text, F.concat(F.lit("</"), t, F.lit(">"))))
-    closers = F.transform(still_open, lambda t: F.concat(F.lit("</"), t, F.lit(">")))
+    named = lambda opening: F.regexp_extract_all(text, F.lit(rf"(?U){opening}(\w+)>"), F.lit(1))
+    closers = F.transform(F.array_except(named("<"), named("</")), lambda t: F.concat(F.lit("</"), t, F.lit(">")))
     return F.concat(text, F.array_join(closers, ""))
 
 

@@ -10,8 +10,10 @@ from ..constants import (
 )
 from .text import strip
 
-_DIGITS = r"\d+(_\d+)*"
-NUMBER_PATTERN = rf"^[+-]?({_DIGITS}\.?({_DIGITS})?|\.{_DIGITS})([eE][+-]?{_DIGITS})?$"
+# Possessive groups over atoms that loop: a plain group with alternatives of
+# length recurses once for each repeat, which a long value turns into a lost JVM.
+_DIGITS = r"\d++(?:_\d++)*+"
+NUMBER_PATTERN = rf"^[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
 
 
 def number(text: Column) -> Column:

@@ -93,13 +93,18 @@ def opened(df: DataFrame, node: str, key: str, value: str, keep: list[str], oute
     return entries if outer else entries.where(F.col(key).isNotNull())
 
 
+def exact(name: str) -> Column:
+    """A column by its exact name; dots, blanks and backticks are part of it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a column that is costly to compute and used more than once.
 
     Filters on a plain column move below its projection and take a copy of the
     expression with them; one unfolded from a single-item list stays put.
     """
-    keep = [c for c in df.columns if c != name]
+    keep = [exact(c) for c in df.columns if c != name]
     return df.select(*keep, F.explode(F.array(value)).alias(name))
 
 
