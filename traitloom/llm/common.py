@@ -86,3 +86,23 @@ def groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
             last = key
     if held:
         yield pa.Table.from_batches(held)
+
+
+def finite(vector: str) -> Column:
+    """Whether a vector is there and holds finite numbers only."""
+    sound = F.forall(vector, lambda x: F.coalesce((x > float("-inf")) & (x < float("inf")) & ~F.isnan(x), F.lit(False)))
+    return F.coalesce(sound, F.lit(False))
+
+
+def whole(vector: str, scale: float) -> Column:
+    """``floor(scale * x)`` of each component as a long, held at a long's ends."""
+    return F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x).cast("long"))
+
+
+def narrowest(df: DataFrame, codes: str) -> DataFrame:
+    """The same rows with *codes* (longs) in the smallest type that holds them all; reads the rows once."""
+    ends = df.select(F.min(F.array_min(codes)).alias("lo"), F.max(F.array_max(codes)).alias("hi")).first()
+    for name, bits in (("tinyint", 7), ("smallint", 15), ("int", 31)):
+        if ends.lo is None or (ends.lo >= -(1 << bits) and ends.hi < 1 << bits):
+            return df.withColumn(codes, F.col(codes).cast(f"array<{name}>"))
+    return df

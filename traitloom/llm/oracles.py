@@ -73,6 +73,11 @@ z AS (SELECT *, {_covered(35)} AS gone FROM y),
 a AS (SELECT doc_id, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (gone = 0) AS kept FROM z GROUP BY 1)
 SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN a USING (doc_id)""",
+    "op11_topk": """WITH v AS (SELECT row_number() OVER () AS i, vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(64 * x)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, q.i, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.i <> c.i AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 20""",
     "op10_minhash": f"""WITH RECURSIVE {_words(_LOWER)},
 s AS (SELECT DISTINCT doc_id, part FROM (SELECT doc_id, pos, n, {_window(5)} AS part FROM w) WHERE pos <= greatest(1, n - 4)),
 size AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, minhash, mixing, pii, quality, substrings, suffixes, toxicity, vectors
+from . import bpe, chat, minhash, mixing, pii, quality, substrings, suffixes, topk, toxicity, vectors
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -115,3 +115,9 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies among all documents."""
     return minhash.near_copies(documents(spark, sf_dir))
+
+
+@query
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best candidates of every twentieth vector, among all."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
