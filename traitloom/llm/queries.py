@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, minhash, mixing, pii, quality, substrings, suffixes, topk, toxicity, vectors
+from . import bpe, chat, minhash, mixing, pii, quality, substrings, suffixes, topk, toxicity, vectors, whitening
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -121,3 +121,9 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best candidates of every twentieth vector, among all."""
     return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the four leading components, whitened."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
