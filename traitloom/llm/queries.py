@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, minhash, mixing, pii, quality, substrings, suffixes, topk, toxicity, vectors, whitening
+from . import bpe, chat, minhash, mixing, pii, quality, substrings, suffixes, topk, toxicity, variants, vectors, whitening
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -127,3 +127,9 @@ def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector on the four leading components, whitened."""
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent long word with its near words' count, form and root."""
+    return variants.spelling_variants(documents(spark, sf_dir))
