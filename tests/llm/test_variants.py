@@ -66,8 +66,10 @@ def test_variants(spark):
     rows = texts(1, 120)
     want = plain(rows)
     assert found(spark, rows) == want
-    assert any(w[1] and w[1] != w[2] for w in want) and sum(w[4] for w in want) > 1000
-    assert found(spark, rows, least=5, often=1, times=2) == plain(rows, 5, 1, 2)
+    assert any(w[1] for w in want) and sum(w[4] for w in want) > 100
+    want = plain(rows, 5, 1, 2)
+    assert found(spark, rows, least=5, often=1, times=2) == want
+    assert any(w[1] and w[1] != w[2] for w in want)
 
 
 def test_variants_in_small_parts(spark, monkeypatch):

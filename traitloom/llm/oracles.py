@@ -97,8 +97,8 @@ a AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-zÀ-ÿ]+')) AS r
 w AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
   FROM a JOIN c USING (doc_id, run)),
 v AS (SELECT word, count(*) AS n FROM w WHERE length(word) >= 7 GROUP BY 1 HAVING count(*) >= 2),
-x AS (SELECT word, n, at, substr(word, 1, at - 1) || substr(word, at + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS at FROM v)),
-p AS (SELECT a.word, b.word AS other FROM x a JOIN x b ON a.at = b.at AND a.rest = b.rest AND a.word <> b.word
+x AS (SELECT word, n, pos, substr(word, 1, pos - 1) || substr(word, pos + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS pos FROM v)),
+p AS (SELECT a.word, b.word AS other FROM x a JOIN x b ON a.pos = b.pos AND a.rest = b.rest AND a.word <> b.word
   UNION SELECT x.word, v.word FROM x JOIN v ON x.rest = v.word UNION SELECT v.word, x.word FROM x JOIN v ON x.rest = v.word),
 q AS (SELECT p.word, count(*) AS n_near, arg_min(p.other, (-v.n, p.other)) AS best, max(v.n) AS best_n FROM p JOIN v ON v.word = p.other GROUP BY 1),
 f AS (SELECT v.word, CASE WHEN best_n >= 10 * n THEN best END AS form, n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near,
