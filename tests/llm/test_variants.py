@@ -92,7 +92,7 @@ def test_variants_of_odd_rows(spark):
 def test_close_pairs_hold_all_single_edits(seed):
     rng = np.random.default_rng(seed)
     words = sorted({"".join(rng.choice(list("abc"), rng.integers(7, 9))) for _ in range(150)})
-    i, j = variants.near_rows(words, np.full(len(words), -1), np.zeros(len(words), int), np.array([0]))
+    i, j = variants.near_rows(words, np.full(len(words), -1), np.zeros(len(words), int), np.zeros(len(words), bool), np.array([0]))
     apart = lambda a, b: any(a[:k] + a[k + 1:] == b for k in range(len(a))) or any(b[:k] + b[k + 1:] == a for k in range(len(b))) or (
         len(a) == len(b) and sum(x != y for x, y in zip(a, b)) == 1)
     assert {frozenset(x) for x in zip(i.tolist(), j.tolist())} == {frozenset((a, b)) for a in range(len(words)) for b in range(a) if apart(words[a], words[b])}

@@ -98,13 +98,13 @@ def close_pairs(counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield i[i < j] + start, j[i < j] + start
 
 
-def near_rows(words: list[str], lost: np.ndarray, part: np.ndarray, tiles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def near_rows(words: list[str], lost: np.ndarray, part: np.ndarray, across: np.ndarray, tiles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of all pairs one edit apart that some whole tiles are to find; *tiles* are the rows they begin at.
 
     *lost* is -1 for words whose own block names the cell, else the group that
     lost a letter.  Words that lost a letter of the same group have equal blocks
-    and meet in the cell of that block.  Where a tile has two parts, only pairs
-    across are compared.
+    and meet in the cell of that block.  In a tile of two parts (*across*) only
+    pairs of different *part* are compared.
     """
     codes = [np.frombuffer(w.encode("latin-1"), np.uint8) for w in words]  # no letter lies beyond
     lengths = np.array([len(c) for c in codes])
@@ -117,11 +117,10 @@ def near_rows(words: list[str], lost: np.ndarray, part: np.ndarray, tiles: np.nd
     found = [(np.zeros(0, np.int64),) * 2]
     for start, stop in zip(tiles, [*tiles[1:], len(words)]):
         if stop - start > 1:
-            two_parts = part[start] != part[start:stop].min() or part[start] != part[start:stop].max()
             for i, j in close_pairs(counts[start:stop]):
                 i, j = i + start, j + start
                 keep = (lost[i] != lost[j]) | (lost[i] < 0)
-                if two_parts:
+                if across[start]:
                     keep &= part[i] != part[j]
                 found.append((i[keep], j[keep]))
     i, j = (np.concatenate(x) for x in zip(*found))
@@ -180,7 +179,8 @@ def near_words(words: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, begins in whole_tiles(batches, keys):
-            i, j = near_rows(batch.column("word").to_pylist(), np.array(batch.column("lost")), np.array(batch.column("part")), begins)
+            lost, part, lo, hi = (np.array(batch.column(c)) for c in ("lost", "part", "lo", "hi"))
+            i, j = near_rows(batch.column("word").to_pylist(), lost, part, lo != hi, begins)
             both, others = pa.array(np.concatenate([i, j])), pa.array(np.concatenate([j, i]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c).take(at) for at in (both, others) for c in ("word", "n")], ["word", "n", "other", "other_n"])
