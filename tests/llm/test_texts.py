@@ -384,3 +384,27 @@ def test_registers_estimate_similarity():
 def test_shingle_hashes_follow_words():
     a, b, c, d = shingles.shingle_sets(["A b  c\td e f", "a b c d e f", "a b", ""])
     assert (a == b).all() and len(a) == 2 and len(c) == 1 and len(d) == 0
+
+
+@pytest.mark.parametrize("text,found", [
+    ("me (at) a" + ".bb" * 300_000, {"contact"}),  # 900 KB of one repeated group
+    ("1 " * 20_000, set()), ("1.2.3.4 call 555-123-4567 " * 2_000, {"ip", "number"}), ("token: abcdefgh12345678 " * 2_000, {"secret"}),
+    ("+1" + " (" * 100_000, set()), ("a@" * 200_000, set()), ("x=" + "a" * 500_000, None),
+])
+def test_personal_data_in_long_texts_of_the_worst_kind(spark, text, found):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = pii.find(df).select(pii.redacted(F.col("text"), F.col("spans")).alias("clean"), F.transform("spans", lambda s: s["kind"]).alias("kinds")).first()
+    assert found is None or set(row.kinds) == found
+    assert ("[" in row.clean) == bool(row.kinds)
+
+
+def test_long_lists_grow_in_chunks(spark):
+    # more items than a chunk holds, and texts longer than a block: places and pieces as in a plain walk
+    rows = [(i, "".join(f"{'x' * (k * i % 7)}é mail{k}@site{i}.org, 10.{k % 256}.0.{i} or +1 555 123 45{k % 90 + 10}; " for k in range(60 * i))) for i in (1, 5, 9)]
+    for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("clean", pii.redacted(F.col("text"), F.col("spans"))).collect():
+        base = [s for s in r.spans if s.base]
+        assert len(base) == 3 * 60 * r.doc_id and all({"email": "mail", "ip": "10.", "phone": "+1 "}[s.kind] == r.text[s.start:s.start + len("+1 ") + (s.kind == "email")] for s in base)
+        at, want = 0, ""
+        for s in sorted(r.spans, key=lambda s: (s.start, s["rank"], s.stop)):
+            want, at = want + (r.text[at:s.start] + f"[{s.kind.upper()}]" if s.start >= at else ""), max(at, s.stop)
+        assert r.clean == want + r.text[at:]

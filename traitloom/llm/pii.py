@@ -23,6 +23,7 @@ results; an empty table gives an empty result.
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -43,7 +44,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "secret": r"[=:][\x20]{0,3}[\"']?[A-Za-z0-9+/_-]{8,}+",
-    "contact": r"[A-Za-z0-9._%+-]{1,64}\x20?[(\[]\x20?(?:at|AT)\x20?[)\]]\x20?[A-Za-z0-9-]{1,63}(?:\x20?[(\[]\x20?(?:dot|DOT)\x20?[)\]]\x20?[A-Za-z0-9-]{2,63}|\.[A-Za-z]{2,24})+",
+    "contact": r"[A-Za-z0-9._%+-]{1,64}\x20?[(\[]\x20?(?:at|AT)\x20?[)\]]\x20?[A-Za-z0-9-]{1,63}(?:\x20?[(\[]\x20?(?:dot|DOT)\x20?[)\]]\x20?[A-Za-z0-9-]{2,63}|\.[A-Za-z]{2,24})++",
 }
 #: A digit group that begins a number, and the same with what follows it captured: enough for the longest run and the signs after it.
 GROUP = r"(?<![A-Za-z0-9])[0-9]++"
@@ -64,7 +65,9 @@ WORDS_BEFORE = {
     "id_word": r"(?i)\b(?:ssn|social|passport|iban|account|acct|card|driver|tax|licen[cs]e)\b",
     "other_word": r"(?i)\b(?:version|order|page|pages|chapter|isbn|total|price|from|between|year|date|on|section|ratio|score)\b",
 }
-SPAN = "struct<start:bigint,stop:bigint,found:string>"
+SPAN = "struct<start:bigint,stop:bigint,found:string,close:string>"
+#: Items of an array that grow together, and signs of a text that are cut out together.
+CHUNK, BLOCK = 128, 4096
 PRECISION = 0.98
 
 
@@ -89,41 +92,83 @@ CHECKS = {
 }
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def scan(items: Column, kind: str, zero: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column]) -> Column:
+    """``emit(state before, item)`` of every item of an array (as ``array<kind>``), where ``step(state, item)`` carries the state on.
+
+    Growing one array copies it for every item, so chunks of bounded size grow
+    on their own: a first walk finds the state at the head of each chunk.
+    """
+    none = F.expr(f"cast(array() as array<{kind}>)")
+
+    def head(state: Column, chunk: Column) -> Column:
+        now = F.aggregate(chunk, F.element_at(state, -1), step)
+        return F.concat(state, F.array(now))
+
+    def grown(chunk: Column, start: Column) -> Column:
+        begin = F.struct(start.alias("now"), none.alias("out"))
+        add = lambda a, x: F.struct(step(a["now"], x).alias("now"), F.concat(a["out"], F.array(emit(a["now"], x))).alias("out"))
+        return F.aggregate(chunk, begin, add, lambda a: a["out"])
+
+    def cut(all_: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / CHUNK).cast("int")), lambda i: F.slice(all_, i * CHUNK + 1, F.lit(CHUNK)))
+
+    def walked(chunks: Column) -> Column:
+        # the last chunk has no follower
+        starts = F.aggregate(F.slice(chunks, F.lit(1), F.size(chunks) - 1), F.array(zero), head)
+        return F.flatten(F.zip_with(chunks, starts, grown))
+
+    return let(items, lambda all_: F.when(F.size(all_) > 0, let(cut(all_), walked)).otherwise(none))
+
+
 def _with_spans(df: DataFrame, text: str, kind: str, possible: Column) -> tuple[DataFrame, str]:
-    """Adds all matches of a kind with their places; an empty list where *possible* is false."""
-    found, gaps, spans = (free_name(df, f"_{kind}_{x}") for x in ("found", "gaps", "spans"))
+    """Adds all matches of a kind with their places and the signs before; an empty list where *possible* is false."""
+    pairs, spans = (free_name(df, f"_{kind}_{x}") for x in ("pairs", "spans"))
     pattern = PATTERNS[kind]
-    df = df.withColumn(found, F.when(possible, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))))
-    df = df.withColumn(gaps, F.when(F.size(found) > 0, F.split(F.col(text), pattern, -1)))
+    found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
+    met = F.zip_with(found, F.split(F.col(text), pattern, -1), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
+    df = df.withColumn(pairs, F.when(possible, F.filter(met, lambda x: x["hit"].isNotNull())))  # the last gap has no match
+    base = kind in BASE
 
-    def place(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.char_length(pair["gap"])
-        stop = start + F.char_length(pair["hit"])
-        span = F.struct(start.alias("start"), stop.alias("stop"), pair["hit"].alias("found"))
-        return F.struct(stop.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+    def after(state: Column, x: Column) -> Column:
+        at = state["at"] + F.char_length(x["gap"]) + F.char_length(x["hit"])
+        return F.struct(at.alias("at"), (F.lit("") if base else F.right(F.concat(state["tail"], x["gap"], x["hit"]), F.lit(CONTEXT))).alias("tail"))
 
-    pairs = F.zip_with(F.col(found), F.slice(F.col(gaps), F.lit(1), F.size(found)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out"))
-    placed = F.when(F.size(found) > 0, F.aggregate(pairs, begin, place, lambda s: s["out"]))
-    return df.withColumn(spans, F.coalesce(placed, F.expr(f"cast(array() as array<{SPAN}>)"))).drop(found, gaps), spans
+    def span(state: Column, x: Column) -> Column:
+        start = state["at"] + F.char_length(x["gap"])
+        close = F.lit("") if base else F.right(F.concat(state["tail"], x["gap"]), F.lit(CONTEXT))
+        return F.struct(start.alias("start"), (start + F.char_length(x["hit"])).alias("stop"), x["hit"].alias("found"), close.alias("close"))
+
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("tail"))
+    placed = scan(F.coalesce(pairs, F.expr("cast(array() as array<struct<hit:string,gap:string>>)")), SPAN, zero, after, span)
+    return df.withColumn(spans, placed).drop(pairs), spans
 
 
 def _with_numbers(df: DataFrame, text: str, possible: Column) -> tuple[DataFrame, str]:
     """Adds all runs of digit groups, overlapping ones too, each with the signs before and after it."""
-    groups, windows, gaps, spans = (free_name(df, f"_number_{x}") for x in ("groups", "windows", "gaps", "spans"))
-    every = lambda pattern, group: F.when(possible, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group)))
-    df = df.withColumn(groups, every(GROUP, 0)).withColumn(windows, every(WINDOW, 1))
-    df = df.withColumn(gaps, F.when(F.size(groups) > 0, F.split(F.col(text), GROUP, -1)))
-    kind = "struct<start:bigint,before:string,close:string,window:string>"
-
-    def place(state: Column, x: Column) -> Column:
-        start, close = state["at"] + F.char_length(x["gap"]), F.right(F.concat(state["tail"], x["gap"]), F.lit(CONTEXT))
+    items, spans = (free_name(df, f"_number_{x}") for x in ("items", "spans"))
+    every = lambda pattern, group: F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group))
+    met = F.zip_with(every(GROUP, 0), every(WINDOW, 1), lambda g, w: F.struct(g.alias("group"), w.alias("window")))
+    met = F.zip_with(met, F.split(F.col(text), GROUP, -1), lambda x, g: F.struct(x["group"].alias("group"), x["window"].alias("window"), g.alias("gap")))
+    df = df.withColumn(items, F.when(possible, F.filter(met, lambda x: x["group"].isNotNull())))
+    close = lambda state, x: F.right(F.concat(state["tail"], x["gap"]), F.lit(CONTEXT))
+
+    def before(state: Column, x: Column) -> Column:
         # the words before the first number of a list are those of its other numbers too
-        before = F.when((state["at"] > 0) & x["gap"].rlike(f"^{NEAR}$"), state["before"]).otherwise(close)
-        one = F.struct(start.alias("start"), before.alias("before"), close.alias("close"), x["window"].alias("window"))
+        return F.when((state["at"] > 0) & x["gap"].rlike(f"^{NEAR}$"), state["before"]).otherwise(close(state, x))
+
+    def after(state: Column, x: Column) -> Column:
+        return F.struct(
+            (state["at"] + F.char_length(x["gap"]) + F.char_length(x["group"])).alias("at"),
+            F.right(F.concat(close(state, x), x["group"]), F.lit(CONTEXT)).alias("tail"), before(state, x).alias("before"))
+
+    def head(state: Column, x: Column) -> Column:
         return F.struct(
-            (start + F.char_length(x["group"])).alias("at"), F.right(F.concat(close, x["group"]), F.lit(CONTEXT)).alias("tail"), before.alias("before"),
-            F.concat(state["out"], F.array(one)).alias("out"))
+            (state["at"] + F.char_length(x["gap"])).alias("start"), before(state, x).alias("before"), close(state, x).alias("close"), x["window"].alias("window"))
 
     def runs(x: Column) -> Column:
         hits = F.array_distinct(F.array(*(F.regexp_extract(x["window"], pattern, 0) for pattern in RUNS)))
@@ -131,23 +176,48 @@ def _with_numbers(df: DataFrame, text: str, possible: Column) -> tuple[DataFrame
             x["start"].alias("start"), (x["start"] + F.char_length(h)).alias("stop"), h.alias("found"), x["before"].alias("before"), x["close"].alias("close"),
             F.substr(x["window"], F.char_length(h) + 1, F.lit(4)).alias("after")))
 
-    met = F.zip_with(F.col(groups), F.col(windows), lambda g, w: F.struct(g.alias("group"), w.alias("window")))
-    met = F.zip_with(met, F.slice(F.col(gaps), F.lit(1), F.size(groups)), lambda x, g: F.struct(x["group"].alias("group"), x["window"].alias("window"), g.alias("gap")))
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("tail"), F.lit("").alias("before"), F.expr(f"cast(array() as array<{kind}>)").alias("out"))
-    placed = F.aggregate(met, begin, place, lambda s: s["out"])
-    none = F.expr("cast(array() as array<struct<start:bigint,stop:bigint,found:string,before:string,close:string,after:string>>)")
-    found = F.when(F.size(groups) > 0, F.flatten(F.transform(placed, runs)))
-    return df.withColumn(spans, F.coalesce(found, none)).drop(groups, windows, gaps), spans
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("tail"), F.lit("").alias("before"))
+    kind = "struct<start:bigint,before:string,close:string,window:string>"
+    placed = scan(F.coalesce(items, F.expr("cast(array() as array<struct<group:string,window:string,gap:string>>)")), kind, zero, after, head)
+    return df.withColumn(spans, F.flatten(F.transform(placed, runs))).drop(items), spans
 
 
-def _features(kind: str, text: Column, span: Column) -> Column:
+def _free(spans: Column, base: Column) -> Column:
+    """Those *spans* that touch none of *base*, in one walk over the sorted ends of both.
+
+    A base span lies over a span if it begins before the span's end and does not
+    end by its start; so the base starts before the one, less the base stops by
+    the other, are the base spans over it.
+    """
+    mark = lambda at, turn, place: F.struct(at.cast("long").alias("at"), F.lit(turn).alias("turn"), place.cast("int").alias("place"))
+    nowhere = F.lit(-1)
+    ends = F.concat(
+        # of marks at one place: stops, questions by start, questions by stop, starts
+        F.transform(base, lambda b: mark(b["stop"], 0, nowhere)), F.transform(spans, lambda s, i: mark(s["start"], 1, i)),
+        F.transform(spans, lambda s, i: mark(s["stop"], 2, i)), F.transform(base, lambda b: mark(b["start"], 3, nowhere)))
+    step = lambda n, x: F.struct((n["ended"] + (x["turn"] == 0).cast("long")).alias("ended"), (n["begun"] + (x["turn"] == 3).cast("long")).alias("begun"))
+    told = lambda n, x: F.struct(x["place"].alias("place"), x["turn"].alias("turn"), F.when(x["turn"] == 1, n["ended"]).otherwise(n["begun"]).alias("n"))
+    zero = F.struct(F.lit(0).cast("long").alias("ended"), F.lit(0).cast("long").alias("begun"))
+    counts = scan(F.sort_array(ends), "struct<place:int,turn:int,n:bigint>", zero, step, told)
+    # by place: what has ended by the start, then what has begun before the stop
+    def untouched(answers: Column) -> Column:
+        ended, begun = (F.filter(answers, lambda c: c["turn"] == turn) for turn in (1, 2))  # noqa: B023 - applied at once
+        touched = F.zip_with(ended, begun, lambda e, b: b["n"] > e["n"])
+        kept = F.filter(F.zip_with(spans, touched, lambda s, t: F.struct(s.alias("span"), t.alias("touched"))), lambda x: ~x["touched"])
+        return F.transform(kept, lambda x: x["span"])
+
+    answers = F.sort_array(F.filter(counts, lambda c: c["place"] >= 0))
+    return F.when((F.size(base) == 0) | (F.size(spans) == 0), spans).otherwise(let(answers, untouched))
+
+
+def _features(kind: str, span: Column) -> Column:
     """Format and context of a candidate."""
     hit = span["found"]
     if kind == "number":
         before = span["before"]
         beside = [span["close"].rlike(f"[0-9]{TIED}$"), span["close"].rlike(f"[0-9]{NEAR}$"), span["after"].rlike(f"^{TIED}[0-9]"), span["after"].rlike(f"^{NEAR}[0-9]")]
     else:
-        before = F.substr(text, F.greatest(F.lit(1), span["start"] - CONTEXT + 1).cast("int"), F.least(F.lit(CONTEXT), span["start"]).cast("int"))
+        before = span["close"]
         beside = [F.lit(False)] * len(BESIDE)
     n = F.char_length(hit)
     n_digits, n_letters = F.length(_digits(hit)), F.length(F.regexp_replace(hit, "[^A-Za-z]", ""))
@@ -183,12 +253,16 @@ def with_candidates(df: DataFrame, text: str) -> tuple[DataFrame, dict[str, str]
     df = df.withColumn(base, F.concat(*(F.col(names[k]) for k in BASE)))
     # the value alone, without the sign before it
     value = lambda s: F.regexp_extract(s["found"], "[A-Za-z0-9+/_-]+$", 0)
-    bare = lambda s: F.struct((s["stop"] - F.char_length(value(s))).alias("start"), s["stop"].alias("stop"), value(s).alias("found"))
+    signs = lambda s: F.left(s["found"], F.char_length(s["found"]) - F.char_length(value(s)))
+    bare = lambda s: F.struct(
+        (s["stop"] - F.char_length(value(s))).alias("start"), s["stop"].alias("stop"), value(s).alias("found"),
+        F.right(F.concat(s["close"], signs(s)), F.lit(CONTEXT)).alias("close"))
     lists = []
     for kind in KINDS[4:]:
-        spans = F.transform(names[kind], bare) if kind == "secret" else F.col(names[kind])
-        free = F.filter(spans, lambda s: ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-        lists.append(F.transform(free, lambda s: _features(kind, F.col(text), s)))  # noqa: B023 - applied at once
+        if kind == "secret":
+            df = df.withColumn(names[kind], F.transform(names[kind], bare))
+        df = df.withColumn(names[kind], _free(F.col(names[kind]), F.col(base)))
+        lists.append(F.transform(names[kind], lambda s: _features(kind, s)))  # noqa: B023 - applied at once
     df = df.withColumn(more, F.concat(*lists)).drop(base, *(names[k] for k in KINDS[4:]))
     return df, {k: names[k] for k in BASE}, more
 
@@ -273,9 +347,20 @@ def train(spark: SparkSession) -> tuple[list[boosting.Tree], dict[str, float]]:
     return trees, limits
 
 
+_MODELS: dict[str, tuple[list[boosting.Tree], dict[str, float]]] = {}
+
+
+def model(spark: SparkSession) -> tuple[list[boosting.Tree], dict[str, float]]:
+    """The trees and thresholds, fitted once in an application."""
+    app = spark.sparkContext.applicationId
+    if app not in _MODELS:
+        _MODELS[app] = train(spark)
+    return _MODELS[app]
+
+
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``spans``: ``array<struct<start,rank,stop,kind,base>>`` by start, then kind."""
-    trees, limits = train(docs.sparkSession)
+    trees, limits = model(docs.sparkSession)
     name = free_name(docs, "spans")
     df, base, more = with_candidates(docs, text)
     span = lambda s, kind, is_base: F.struct(
@@ -296,18 +381,22 @@ def listed(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column) -> Column:
     """The text with every span, or run of overlapping spans, replaced by its first kind."""
-    piece = lambda start, stop: F.substr(text, (start + 1).cast("int"), (stop - start).cast("int"))
-
-    def step(state: Column, s: Column) -> Column:
-        mark = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        fresh = s["start"] >= state["at"]
-        return F.struct(
-            F.greatest(state["at"], s["stop"]).alias("at"),
-            F.when(fresh, F.concat(state["out"], F.array(piece(state["at"], s["start"]), mark))).otherwise(state["out"]).alias("out"))
-
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-    rest = lambda s: F.concat(F.array_join(s["out"], ""), piece(s["at"], F.char_length(text).cast("long")))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, begin, step, rest)).otherwise(text)
+    # cutting out of a long text walks it from its beginning, so pieces are cut out of blocks
+    last = F.floor(F.greatest(F.char_length(text) - 1, F.lit(0)) / BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.substr(text, i * BLOCK + 1, F.lit(BLOCK)))
+
+    def piece(all_: Column, start: Column, stop: Column) -> Column:
+        first = F.floor(start / BLOCK).cast("int")
+        some = F.slice(all_, first + 1, F.greatest(F.floor((stop - 1) / BLOCK).cast("int") - first + 1, F.lit(0)))
+        return F.when(stop > start, F.substr(F.array_join(some, ""), (start - first * BLOCK + 1).cast("int"), (stop - start).cast("int"))).otherwise("")
+
+    def whole(all_: Column) -> Column:
+        mark = lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        emit = lambda at, s: F.when(s["start"] >= at, F.concat(piece(all_, at, s["start"]), mark(s))).otherwise("")
+        pieces = scan(spans, "string", F.lit(0).cast("long"), lambda at, s: F.greatest(at, s["stop"]), emit)
+        return F.concat(F.array_join(pieces, ""), piece(all_, F.array_max(F.transform(spans, lambda s: s["stop"])), F.char_length(text).cast("long")))
+
+    return F.when(F.size(spans) > 0, let(blocks, whole)).otherwise(text)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
