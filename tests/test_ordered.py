@@ -115,6 +115,27 @@ def test_packing(spark, seed):
     assert {(r.key, r.grp, r.item): r.bin for r in got} == want
 
 
+def test_packing_of_one_key_over_many_ranges(spark):
+    # a budget that holds few items, one that holds more than a range, and one that holds all
+    rng = random.Random(9)
+    costs = [rng.choice([0, 1, 2, 3, 5, 8, 30]) for _ in range(4000)]
+    df = spark.createDataFrame([(None, i, c, rng.random() < 0.002) for i, c in enumerate(costs)], "key string, at int, cost int, force boolean")
+    forced = {r["at"] for r in df.where("force").collect()}
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        for budget in (31, 3000, 10**6):
+            got = {r["at"]: r.bin for r in planning.pack_items(df, "key", ["at"], "cost", "force", budget).collect()}
+            bins, filled, want = 1, 0, {}
+            for i, c in enumerate(costs):
+                if i and (i in forced or filled + c > budget):
+                    bins, filled = bins + 1, 0
+                filled, want[i] = filled + c, bins
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
 def test_texts_of_a_key_keep_one_order(spark):
     df = spark.createDataFrame([("k", i, f"t{i:03d}") for i in range(100)] + [("s", 1, "x")], "k string, i int, t string").repartition(5)
     whole = {r.k: r.text for r in assemble_text(df, ["k"], ["i"], "t", "\n").collect()}

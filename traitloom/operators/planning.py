@@ -6,11 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..constants import REQUEST_FILE_GUARD
 from ..functions.values import custom_id
-from ..session import blocks_of, bounded, small_rows, sql_literal
+from ..session import blocks_of, bounded, scratch, small_rows, sql_literal
 from .ordered import BLOCK, in_blocks, scan
 
 
@@ -142,30 +142,93 @@ def _summaries(budget: float, order: list[str]) -> Callable:
         reach = min(reach, n)
         return pd.DataFrame({
             "_key": [pdf["_key"].iloc[0]], BLOCK: [int(pdf[BLOCK].iloc[0])],
-            "upto": [total[:reach].tolist()], "forced": [forced[:reach].tolist()],
+            "upto": [total[:reach].tolist()], "forced": [bool(forced[reach - 1])],
             "bins": [bins[:reach].tolist()], "carry": [carry[:reach].tolist()],
             "total": [float(total[-1])],
         })
     return one_block
 
 
-def _chain(budget: float) -> Callable:
-    def one_key(pdf: pd.DataFrame) -> pd.DataFrame:
-        open_cost, used, rows = None, 0, []
-        for r in pdf.sort_values(BLOCK).to_dict("records"):
-            rows.append((r["_key"], r[BLOCK], open_cost, used))
-            if open_cost is None:
-                at = 0
-            else:
-                first = (i for i, (upto, begins) in enumerate(zip(r["upto"], r["forced"]))
-                         if begins or open_cost + upto > budget)
-                at = next(first, None)
-            if at is None:
-                open_cost = open_cost + r["total"]
-            else:
-                used, open_cost = used + int(r["bins"][at]), float(r["carry"][at])
-        return pd.DataFrame(rows, columns=["_key", BLOCK, "open_cost", "used"])
-    return one_key
+#: How a stretch of ranges turns what is open before it into what is open after it.  Item e begins
+#: a new bin if it is the first with ``open + upto[e] > budget``, or the last one and *forced*; then
+#: ``bins[e]`` begin and ``carry[e]`` stays open.  If none does, ``total`` is added to what is open.
+STRETCH = "upto array<double>, forced boolean, bins array<bigint>, carry array<double>, total double"
+
+
+def _passed(stretch: dict, budget: float, opened: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What is open after a stretch, and how many bins begin in it, for each amount open before it."""
+    upto, bins, carry = (np.asarray(stretch[c]) for c in ("upto", "bins", "carry"))
+    at = np.searchsorted(upto, budget - opened, side="right")
+    if stretch["forced"]:
+        at = np.minimum(at, len(upto) - 1)
+    none = at == len(upto)
+    at = np.minimum(at, len(upto) - 1)
+    return np.where(none, opened + stretch["total"], carry[at]), np.where(none, 0, bins[at])
+
+
+def _joined(first: dict, then: dict, budget: float) -> dict:
+    """Two stretches in a row as one; no longer than what fits one bin from the beginning on."""
+    carry, more = _passed(then, budget, np.asarray(first["carry"]))
+    upto, bins, forced = np.asarray(first["upto"]), np.asarray(first["bins"]) + more, first["forced"]
+    if not forced:
+        upto = np.concatenate([upto, first["total"] + np.asarray(then["upto"])])
+        bins, carry = np.concatenate([bins, then["bins"]]), np.concatenate([carry, then["carry"]])
+        reach = int(np.searchsorted(upto, budget, side="right")) + 1
+        forced = then["forced"] and reach >= len(upto)
+        upto, bins, carry = upto[:reach], bins[:reach], carry[:reach]
+    return {"upto": upto.tolist(), "forced": bool(forced), "bins": bins.astype(int).tolist(), "carry": carry.tolist(), "total": first["total"] + then["total"]}
+
+
+def _composed(budget: float, fields: list[str]) -> Callable:
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_dict("records"):
+                first = {c: r[f"before_{c}"] for c in fields}
+                if pd.isna(r["before_bins_used"]):
+                    rows.append({"_key": r["_key"], "nth": r["nth"], "open_cost": None, "bins_used": None, **_joined(first, r, budget)})
+                else:  # all that comes before is known
+                    carry, more = _passed(r, budget, np.array([r["before_open_cost"]]))
+                    rows.append({
+                        "_key": r["_key"], "nth": r["nth"], "open_cost": float(carry[0]), "bins_used": int(r["before_bins_used"] + more[0]),
+                        "upto": [], "forced": False, "bins": [], "carry": [], "total": 0.0})
+            yield pd.DataFrame(rows, columns=["_key", "nth", "open_cost", "bins_used", *fields])
+    return pairs
+
+
+def _states(answers: DataFrame, budget: float) -> DataFrame:
+    """``_key, block, open_cost, used``: what is open, and how many bins began, before each range of a key.
+
+    Stretches of 1, 2, 4, ... ranges are joined pair by pair, so a key with many
+    ranges takes as many rounds as its number of ranges has bits, and a task
+    holds two stretches at a time.  The state after the first range needs
+    nothing from before; all that is joined to a known state is known.
+    """
+    spark = answers.sparkSession
+    fields = ["upto", "forced", "bins", "carry", "total"]
+    kind = answers.schema["_key"].dataType.simpleString()
+
+    def kept(df: DataFrame) -> DataFrame:
+        path = scratch(spark, "packing")
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    answers = kept(answers)
+    places = answers.select("_key", BLOCK).withColumn("nth", F.row_number().over(Window.partitionBy("_key").orderBy(BLOCK)))
+    places = places.withColumn("ranges", F.max("nth").over(Window.partitionBy("_key")))
+    start = answers.join(places.where("ranges > 1").withColumnRenamed("_key", "_k"), F.col("_k").eqNullSafe(F.col("_key")) & (answers[BLOCK] == places[BLOCK])).select(
+        "_key", "nth", F.when(F.col("nth") == 1, F.col("carry")[0]).alias("open_cost"),
+        F.when(F.col("nth") == 1, F.col("bins")[0]).alias("bins_used"), *fields)
+    state, step = kept(start), 1
+    while not state.where("bins_used is null").isEmpty():
+        earlier = state.select(
+            F.col("_key").alias("_k"), (F.col("nth") + step).alias("_n"), *[F.col(c).alias(f"before_{c}") for c in ("open_cost", "bins_used", *fields)])
+        met = state.where("bins_used is null").join(earlier, F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_n") == F.col("nth")))
+        moved = met.drop("_k", "_n").mapInPandas(_composed(budget, fields), f"_key {kind}, nth int, open_cost double, bins_used bigint, {STRETCH}")
+        state, step = kept(state.where("bins_used is not null").unionByName(moved)), step * 2
+    after = state.select(F.col("_key").alias("_k"), (F.col("nth") + 1).alias("_n"), "open_cost", F.col("bins_used").alias("used"))
+    return places.join(after, F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_n") == F.col("nth")), "left").select(
+        "_key", BLOCK, "open_cost", F.coalesce("used", F.lit(0)).cast("long").alias("used"))
 
 
 def _assign(budget: float, order: list[str]) -> Callable:
@@ -194,8 +257,9 @@ def pack_items(df: DataFrame, key: str, order: list[str], cost: str, forced: str
     ``forced`` items always begin a bin.  Filling is a chain over the items of
     a key, yet no key is gathered: each range of items answers, for every item
     that can begin a bin in it, how many bins follow and what stays open at its
-    end.  Those answers are chained per key (a few numbers per range), then all
-    ranges fill their bins side by side.
+    end.  Answers of neighbouring ranges are composed in a logarithmic number of
+    rounds, then all ranges fill their bins side by side.  Sums of whole costs
+    are exact up to 2**53.
     """
     rows = in_blocks(
         df.withColumn("_key", F.col(key)).withColumn("_cost", F.col(cost).cast("double"))
@@ -205,14 +269,11 @@ def pack_items(df: DataFrame, key: str, order: list[str], cost: str, forced: str
     kind = rows.schema["_key"].dataType.simpleString()
     answers = rows.select("_key", BLOCK, "_cost", "_forced", *[c for c in order]).groupBy("_key", BLOCK).applyInPandas(
         _summaries(budget, order),
-        f"_key {kind}, {BLOCK} int, upto array<double>, forced array<boolean>, "
-        "bins array<bigint>, carry array<double>, total double",
-    )
-    state = answers.groupBy("_key").applyInPandas(
-        _chain(budget), f"_key {kind}, {BLOCK} int, open_cost double, used bigint"
-    )
+        f"_key {kind}, {BLOCK} int, {STRETCH}")
+    state = _states(answers, budget)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    placed = rows.join(state, ["_key", BLOCK]).drop("_key").groupBy(key, BLOCK).applyInPandas(
+    placed = rows.join(
+        state.withColumnsRenamed({"_key": "_k", BLOCK: "_b"}), F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_b") == F.col(BLOCK))).drop("_key", "_k", "_b").groupBy(key, BLOCK).applyInPandas(
         _assign(budget, order), f"{fields}, bin bigint"
     )
     return placed
