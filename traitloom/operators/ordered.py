@@ -1,28 +1,62 @@
 """Ordered passes (running totals, previous row, exact ranks) that bear hot keys.
 
 A plain window puts every row of one key into one task.  Here the rows are first
-range-partitioned by key *and* order, so a key with a third of the data covers
+cut into ranges by key *and* order, so a key with a third of the data covers
 many ranges.  Windows then run inside one range, and only the last state of each
 range is carried to the next.  The carried state is one row per range at most.
+Nothing is written on the way.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
-from ..session import blocks_of, bounded, settle
+from ..session import blocks_of, bounded, sql_literal
 
 BLOCK = "_block"
 
 
+#: Rows that the split points of a range come from, about.
+SAMPLED = 64
+
+
+def split_points(df: DataFrame, columns: list[str], n: int) -> list[Row]:
+    """At most *n* - 1 rows that cut the rows, ordered by *columns*, into ranges of about equal size.
+
+    They come from a sample by hash, so every run over the same rows gives the
+    same ones.  Its size follows *n*, not the rows: some ``SAMPLED`` a range
+    reach the driver.
+    """
+    count, wanted = df.count(), n * SAMPLED
+    # the upper 63 bits of a hash are spread evenly
+    below = min((1 << 63) - 1, (wanted << 63) // max(1, count))
+    some = df.select(*columns).where(F.shiftrightunsigned(F.xxhash64(*columns), 1) < F.lit(below)) if count > wanted else df.select(*columns)
+    rows = some.distinct().orderBy(*columns).collect()
+    return [rows[len(rows) * i // n] for i in range(1, n)] if len(rows) >= n else rows[1:]
+
+
 def in_blocks(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Rows with the number of the range they fall in, fixed by a checkpoint.
+    """Rows with the number of the range they fall in.
 
-    Without the checkpoint each use of the result would sample its own range
-    bounds, and the carried state would not fit the rows.
+    Ranges are cut at fixed points, which stand in the plan as literals, so each
+    use of the result finds a row in the same range without any copy of the
+    rows.  A row searches its range among the points by halving.
     """
-    ranged = df.repartitionByRange(blocks_of(df.sparkSession), *key, *order)
-    return settle(ranged.withColumn(BLOCK, F.spark_partition_id()))
+    columns = list(dict.fromkeys([*key, *order]))
+    points = split_points(df, columns, blocks_of(df.sparkSession))
+    if not points:
+        return df.withColumn(BLOCK, F.lit(0))
+    kind = ",".join(f"c{i}:{df.schema[c].dataType.simpleString()}" for i, c in enumerate(columns))
+    literal = lambda row: F.struct(*[sql_literal(v).alias(f"c{i}") for i, v in enumerate(row)])
+    cuts = F.array_sort(F.array(*map(literal, points)).cast(f"array<struct<{kind}>>"))
+    own = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(points).bit_length()))])
+
+    def halve(at: Column, step: Column) -> Column:
+        there = at + step
+        return F.when((there <= len(points)) & (F.get(cuts, there - 1) <= own), there).otherwise(at)
+
+    return df.withColumn(BLOCK, F.aggregate(steps, F.lit(0), halve))
 
 
 def scan(

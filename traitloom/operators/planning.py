@@ -303,9 +303,11 @@ def pack_by_budget(
     marked = scan(items, [key], ["_group_ord", "_item"],
                   sums={"_at": F.lit(1).cast("long")}, previous={"_before": "_tag"})
     forced = ~F.col("_tag").eqNullSafe(F.col("_before")) & (F.col("_at") > 1)
-    marked = marked.withColumn("_force", forced)
+    # narrow rows, one for each group that stays whole; several passes read them
+    path = scratch(df.sparkSession, "packing-items")
+    marked.select(key, group, "_group_ord", "_item", "_c", "_big", forced.alias("_force")).write.parquet(path)
     packed = pack_items(
-        marked.select(key, group, "_group_ord", "_item", "_c", "_big", "_force"),
+        df.sparkSession.read.parquet(path),
         key, ["_group_ord", "_item"], "_c", "_force", budget,
     )
     bins = packed.select(key, group, "_item", "_big", "bin")
