@@ -212,6 +212,30 @@ def test_late_delivery_finalizes_again(spark, tmp_path):
     assert [r.line_id for r in live.finalize_rest(every, finals).collect()] == ["b"]
 
 
+def test_hand_out_removes_the_state_of_a_line(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.ROCKSDB)
+    try:
+        def run(slices):
+            stream = feed(spark, f"{tmp_path}/in", slices, CALL).withColumn("ts", F.timestamp_seconds("t"))
+            query = live.append(live.hand_out(stream, 2, ["line_id"], "10 minutes", "1 second"), f"{tmp_path}/out", f"{tmp_path}/state")
+            live.drain(query)
+            rows = spark.read.parquet(f"{tmp_path}/out").collect()
+            return sorted(((r.line_id, r.attempted, r.answered, r.complete) for r in rows), key=str), query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+        a = ("a", 2, 1, True)
+        given, _ = run([[("a", "1", "ok", 10), ("b", "1", "ok", 20), (None, "1", "ok", 25)], [("a", "2", "api error", 30)]])
+        assert given == [a]
+        # started again from its checkpoint: a re-delivery changes nothing, the lines left open come when they were idle
+        given, _ = run([[("a", "2", "ok", 40), ("c", None, "ok", 40)], [("z", "1", "ok", 5000)]])
+        assert [g for g in given if g[0] == "a"] == [a]
+        given, rows = run([[("z", "2", "ok", 9000)], [("y", "1", "ok", 20000)], [("y", "1", "ok", 20001)]])
+        assert given == sorted([a, ("b", 1, 1, False), (None, 1, 1, False), ("z", 2, 2, True)], key=str)
+        few, many = rows, run([[(f"l{i}", s, "ok", 30000 + i) for i in range(50) for s in "12"], [("y", "1", "ok", 90000)], [("y", "1", "ok", 90001)]])[1]
+        assert many == few  # one open line, whatever was given out before
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
 def test_first_delivery_wins_within_the_watermark(spark, tmp_path):
     slices = [[("a", "1", "ok", 100)], [("a", "1", "api error", 101), ("a", "2", "ok", 102)]]
     stream = feed(spark, f"{tmp_path}/in", slices, CALL).withColumn("ts", F.timestamp_seconds("t"))

@@ -392,6 +392,22 @@ def stream_finalize(spark: SparkSession, sf: str) -> DataFrame:
     return newest.select("line_id", "attempted", "answered", "version")
 
 
+@query("stream_hand_out", over("prog", """
+SELECT line_id, count(DISTINCT shard_id) >= 3 AS complete FROM prog GROUP BY 1"""))
+def stream_hand_out(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines given out once, their state dropped after it; at the end of the run the rest."""
+    store, state, kind = scratch(spark, "given"), scratch(spark, "state"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(kind, None)
+    spark.conf.set(kind, live.ROCKSDB)
+    try:
+        _fed(spark, src.progress(spark, sf), "calls", lambda calls: live.append(live.hand_out(calls, 3, ["line_id"], "100000 days"), store, state))
+    finally:
+        spark.conf.unset(kind) if before is None else spark.conf.set(kind, before)
+    given = spark.read.parquet(store).select("line_id", "complete")
+    rest = live.finalize_rest(src.progress(spark, sf), given)
+    return given.unionByName(rest.withColumn("complete", F.lit(False)))
+
+
 @query("stream_records", over("merged", """
 SELECT run_no, line_id, group_name, trait_name, raw, num FROM merged"""))
 def stream_records(spark: SparkSession, sf: str) -> DataFrame:
