@@ -268,3 +268,13 @@ def test_once_keeps_columns_of_any_name(spark):
     df = spark.createDataFrame([(1, 2, 3, 4)], ["a.b", "c d", "e`f", "g"])
     got = once(df, "h", F.col("g") + 1)
     assert got.columns == ["a.b", "c d", "e`f", "g", "h"] and tuple(got.first()) == (1, 2, 3, 4, 5)
+
+
+def test_gaps_over_many_bitmaps(spark):
+    names = [("g", f"t{i:03d}") for i in range(150)]
+    declared = spark.createDataFrame([(1, g, i, t, "nominal", None, None) for i, (g, t) in enumerate(names)], TRAITS)
+    has = [(line, *n) for line, step in (("a", 1), ("b", 2), ("c", 63), ("x", 5)) for n in names[::step]] + [("b", "g", "unknown")]
+    records = spark.createDataFrame(has * 2, "line_id string, group_name string, trait_name string")
+    got = merge.gaps(lines(spark, "a", "b", "c", "d", "d"), records, declared, ["line_id"]).collect()
+    assert sorted((r.line_id, r.trait_name) for r in got) == sorted((line, t) for line in "abcd" for g, t in names if (line, g, t) not in has)
+    assert {r.trait_name: r.trait_ord for r in got if r.line_id == "d"} == {t: i for i, (_, t) in enumerate(names)}

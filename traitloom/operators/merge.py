@@ -55,9 +55,10 @@ def merged_text(records: DataFrame) -> Column:
 def gaps(lines: DataFrame, records: DataFrame, traits: DataFrame, keys: list[str]) -> DataFrame:
     """Declared traits a requested line has no value for.
 
-    With a schema of proven size the lines and the traits they have meet in one
-    grouping (the set per line is bounded by the schema), and the missing ones
-    are unfolded from it.  A larger schema goes through an anti join.
+    With a schema of proven size the traits are numbered, and the lines and the
+    traits they have meet in one grouping whose state is a few bitmaps; the
+    missing ones are the bits that are not set.  A larger schema goes through an
+    anti join.
     """
     columns = ["group_ord", "trait_ord", *TRAIT_KEY]
     declared = traits.select(*columns)
@@ -65,16 +66,18 @@ def gaps(lines: DataFrame, records: DataFrame, traits: DataFrame, keys: list[str
     asked = lines.select(*keys).distinct()
     if rows is None:
         return each_with(asked, declared).join(records.select(*keys, *TRAIT_KEY), [*keys, *TRAIT_KEY], "left_anti")
-    at = F.to_json(F.array(*TRAIT_KEY))  # one text for each trait, so sets are compared by hashing
-    has = records.select(*keys, at.alias("_t"), F.lit(False).alias("_asked"))
-    want = lines.select(*keys, F.lit(None).cast("string").alias("_t"), F.lit(True).alias("_asked"))
-    per_line = has.unionByName(want).groupBy(*keys).agg(
-        F.collect_set("_t").alias("_have"), F.bool_or("_asked").alias("_asked")).where("_asked")
     if not rows:
         return each_with(asked, declared)
-    every = F.transform(F.array(*[sql_literal(r) for r in rows]), lambda d: F.to_json(F.array(*[d[k] for k in TRAIT_KEY])))
-    missing = per_line.select(*keys, F.explode(F.array_except(every, F.col("_have"))).alias("_t"))
-    return missing.join(F.broadcast(declared.withColumn("_t", at)), "_t").select(*keys, *columns)
+    kind = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in declared.schema)
+    numbered = F.array(*map(sql_literal, rows)).cast(f"array<struct<{kind}>>")
+    numbers = lines.sparkSession.range(1).select(F.posexplode(numbered).alias("_no", "_t")).select("_no", *[F.col(f"_t.{k}").alias(k) for k in TRAIT_KEY])
+    has = records.select(*keys, *TRAIT_KEY).join(F.broadcast(numbers), TRAIT_KEY).select(*keys, "_no", F.lit(False).alias("_asked"))
+    want = lines.select(*keys, F.lit(None).cast("int").alias("_no"), F.lit(True).alias("_asked"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_no") % 64)
+    maps = [F.coalesce(F.bit_or(F.when(F.expr("_no div 64") == w, bit)), F.lit(0).cast("long")) for w in range((len(rows) + 63) // 64)]
+    per_line = has.unionByName(want).groupBy(*keys).agg(F.array(*maps).alias("_have"), F.bool_or("_asked").alias("_asked")).where("_asked")
+    unset = F.filter(F.sequence(F.lit(0), F.lit(len(rows) - 1)), lambda i: F.getbit(F.get("_have", F.floor(i / 64).cast("int")), i % 64) == 0)
+    return per_line.select(*keys, F.explode(unset).alias("_no")).select(*keys, F.get(numbered, F.col("_no")).alias("_t")).select(*keys, "_t.*")
 
 
 def gap_errors(errors: DataFrame, missing: DataFrame, keys: list[str]) -> DataFrame:
