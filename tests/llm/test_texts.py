@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -408,3 +409,53 @@ def test_long_lists_grow_in_chunks(spark):
         for s in sorted(r.spans, key=lambda s: (s.start, s["rank"], s.stop)):
             want, at = want + (r.text[at:s.start] + f"[{s.kind.upper()}]" if s.start >= at else ""), max(at, s.stop)
         assert r.clean == want + r.text[at:]
+
+
+def test_mixing_draws_counts_of_each_shard(spark, monkeypatch):
+    """Multinomial counts, closed at the end: every slot of a source once, every place of a shard once."""
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 500)
+    sizes = spark.createDataFrame([(s, mixing.BLOCK * n) for s, n in (("a", 30000), ("b", 9000), ("c", 6000), (None, 700))], "source string, size long")
+    sources = mixing.targets(sizes)
+    rows = mixing.slots(sources).collect()
+    wanted = {r.sid: round(r.target) for r in sources.collect()}
+    taken, shards, spots, seen = (collections.Counter(), collections.defaultdict(collections.Counter), collections.defaultdict(list), collections.defaultdict(list))
+    for r in rows:
+        taken[r.sid] += r.take
+        shards[r.shard][r.sid] += 1
+        spots[r.shard].append(r.place)
+        seen[r.sid].append(r.slot)
+    assert dict(taken) == wanted and all(sorted(s) == list(range(len(s))) for s in seen.values())
+    assert all(len(set(p)) == len(p) and min(p) >= 0 for p in spots.values())
+    n = len(shards)
+    whole = [shards[k] for k in range(n // 2)]  # the totals close far behind these
+    assert all(sum(c.values()) == 500 for c in whole)
+    for sid in wanted:
+        p = len(seen[sid]) / len(rows)
+        counts = np.array([c[sid] for c in whole])
+        assert abs(counts.mean() - 500 * p) < 5 * np.sqrt(500 * p * (1 - p) / len(counts))
+        assert 0.5 < counts.var() / (500 * p * (1 - p)) < 1.8  # spread as drawn, not dealt evenly
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.slots(sources).collect()))
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_copies_of_tiny_texts(spark, percent):
+    """Texts of 4 to 10 shingles, where few registers are filled: no link of equal buckets is lost."""
+    rows = []
+    for k in range(150):
+        words = [f"w{k}x{j}" for j in range(8 + k % 7)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:-1]))]
+    got = {r.doc_id: r.component_id for r in minhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()}
+    for k in range(150):
+        n = 4 + k % 7  # shingles of the longer text, all but one in both
+        assert got[2 * k + 1] == (2 * k if 100 * (n - 1) >= percent * n else 2 * k + 1)
+
+
+def test_codecs_of_like_vocabularies_differ():
+    blob = bpe.vocabulary(queries.VOCABULARY)
+    other = blob[:-1] + " "
+    assert other != blob and len(other) == len(blob)
+    assert bpe.codec(blob) is bpe.codec(blob)
+    try:
+        assert bpe.codec(other) is not bpe.codec(blob)
+    except ValueError:
+        pass  # not taken for the first one, and no vocabulary

@@ -7,11 +7,11 @@ pass over the source), and slots meet documents by joining on the block number.
 The last slot of a source takes only the words that its target still lacks, so
 the words taken equal the rounded target.
 
-Slots of all sources are numbered by output shard and place through a
-pseudorandom permutation of all slots, so counts of sources in a shard are drawn
-without replacement from totals that are the targets, not by multinomial draws.
-``mix`` and ``mixed_documents`` do not use shard and place: their rows are
-documents, not laid out in shards.
+How many slots of which source stand in which output shard is a multinomial
+draw, closed so that the totals are the targets; these counts make the slots.
+A slot's place in its shard comes from a permutation of the shard's places.
+``slots`` gives the blocks so laid out; the rows of ``mix`` and
+``mixed_documents`` are documents, whose blocks stand in many shards.
 
 Targets: sources in order of their code points, null last, weigh 1, 2, 3,
 1, 2, 3, ... and share all words; a target stops at three times its source's
@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import bounded, once, scratch
+from ..session import blocks_of, bounded, once, scratch
 from .common import WORD, col, free_name
 
 #: Words in a block, slots in an output shard, times a source may be repeated.
@@ -36,8 +36,10 @@ REPEATS = 3
 WEIGHTS = (1, 2, 3)
 #: Documents whose offsets one window numbers together.
 RUN_ROWS = 4096
-#: Slots that one row unfolds to.
+#: Slots that one row unfolds to, draws of a task, and marks by which a draw finds its source.
 SLOT_RUN = 16384
+DRAWS = 1 << 20
+DRAW_MARKS = 1024
 ROUNDS = 10
 #: A document at its place in its source; repeated rows differ in place.
 KEY = ["sid", "start", "doc_id", "source", "tie", "size"]
@@ -100,6 +102,35 @@ def placed(sizes: DataFrame, sources: DataFrame, n_docs: int) -> DataFrame:
     return rows.join(base, ["sid", "run"]).withColumn("start", F.col("base") + F.col("inside")).drop("base", "inside", "run")
 
 
+def _drawn_counts(per: DataFrame, all_slots: int, seed: int) -> DataFrame:
+    """``sid, shard, from, to``: which slots of each source stand in which output shard.
+
+    Each of a shard's places draws a source with the chance that the source has
+    in the mix, so counts of sources in a shard are a multinomial draw.  A
+    source gives its slots to shard after shard as drawn, until it has no more;
+    what it has left then goes to the last shard, which closes the totals.
+    """
+    spark = per.sparkSession
+    n_shards, width = -(-all_slots // SHARD_SLOTS), -(-all_slots // DRAW_MARKS)
+    ends = per.withColumn("high", F.sum("n_slots").over(Window.orderBy("sid"))).withColumn("low", F.col("high") - F.col("n_slots"))
+    # a draw finds its source among those of its mark
+    marks = ends.select("sid", "low", "high", F.explode(F.expr(f"sequence(low div {width}, (high - 1) div {width})")).alias("mark"))
+    draws = spark.range(0, all_slots, 1, max(blocks_of(spark), all_slots // DRAWS)).select(
+        F.expr(f"id div {SHARD_SLOTS}").alias("shard"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(all_slots)).alias("u"))
+    draws = draws.withColumn("mark", F.expr(f"u div {width}")).join(bounded(marks), "mark").where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
+    counts = draws.groupBy("sid", "shard").agg(F.count("*").alias("drawn"))
+    upto = counts.withColumn("to", F.sum("drawn").over(Window.partitionBy("sid").orderBy("shard")))
+    upto = upto.join(bounded(per.select("sid", "n_slots")), "sid").select(
+        "sid", "shard", F.least(F.col("to") - F.col("drawn"), "n_slots").alias("from"), F.least("to", "n_slots").alias("to"))
+    path = scratch(spark, "mix-draws")
+    upto.where("from < to").write.parquet(path)
+    upto = spark.read.parquet(path)
+    given = upto.groupBy("sid").agg(F.max("to").alias("given"))
+    left = per.select("sid", "n_slots").join(given, "sid", "left").select(
+        "sid", F.lit(n_shards - 1).cast("long").alias("shard"), F.coalesce("given", F.lit(0)).cast("long").alias("from"), F.col("n_slots").alias("to"))
+    return upto.unionByName(left.where("from < to"))
+
+
 def slots(sources: DataFrame, seed: int = 7) -> DataFrame:
     """Every slot of the mix: ``sid, slot, block, take, whole, shard, place``.
 
@@ -107,27 +138,32 @@ def slots(sources: DataFrame, seed: int = 7) -> DataFrame:
     place ``place`` of output shard ``shard``.  ``whole`` says that the slot
     belongs to a pass that takes every block of the source.
     """
+    spark = sources.sparkSession
     per = sources.where("source_size > 0 and target > 0").select(
         "sid", F.col("source_size").alias("words"), F.ceil(F.col("source_size") / BLOCK).alias("n"),
         F.round("target").cast("long").alias("wanted"))
     per = per.withColumn("passes", F.expr("wanted div words")).withColumn("rest", F.expr("wanted % words"))
     per = per.withColumn("last_block", F.col("n") - 1).withColumn("last_words", F.col("words") - F.col("last_block") * BLOCK)
     per = per.withColumn("n_slots", F.col("passes") * F.col("n") + F.when(F.col("rest") > 0, F.least("n", F.expr(f"rest div {BLOCK} + 2"))).otherwise(0))
-    per = per.withColumn("seed", F.xxhash64("sid", F.lit(seed)))
+    per = per.where("n_slots > 0").withColumn("seed", F.xxhash64("sid", F.lit(seed)))
     per = per.withColumn("last_at", permuted("last_block", "n", ["seed", "passes"], inverse=True))
-    per = per.withColumn("first_slot", F.sum("n_slots").over(Window.orderBy("sid")) - F.col("n_slots"))
-    per = per.withColumn("all_slots", F.sum("n_slots").over(Window.partitionBy()))
-    runs = per.withColumn("from", F.explode(F.expr(f"sequence(0L, greatest(n_slots - 1, 0L), {SLOT_RUN}L)"))).repartition("sid", "from")
-    out = runs.withColumn("slot", F.explode(F.expr(f"sequence(from, least(from + {SLOT_RUN}, n_slots) - 1)"))).where("n_slots > 0")
+    all_slots = per.agg(F.coalesce(F.sum("n_slots"), F.lit(0))).first()[0]
+    counts = _drawn_counts(per, max(all_slots, 1), seed)
+    in_shard = Window.partitionBy("shard")
+    counts = counts.withColumn("count", F.col("to") - F.col("from")).withColumn("shard_slots", F.sum("count").over(in_shard)).withColumn(
+        "first_place", F.sum("count").over(in_shard.orderBy("sid", "from")) - F.col("count")).drop("count")
+    runs = counts.withColumn("begin", F.explode(F.expr(f"sequence(from, to - 1, {SLOT_RUN}L)")))
+    # the number is stated: Spark would put rows as small as these into one task, which then unfolds every slot
+    runs = runs.join(bounded(per), "sid").repartition(max(blocks_of(spark), all_slots // DRAWS), "sid", "begin")
+    out = runs.withColumn("slot", F.explode(F.expr(f"sequence(begin, least(begin + {SLOT_RUN}, to) - 1)")))
     out = out.withColumn("pass", F.expr("slot div n")).withColumn("in_pass", F.expr("slot % n"))
     out = once(out, "block", permuted("in_pass", "n", ["seed", "pass"]))
     full = F.when(F.col("block") == F.col("last_block"), F.col("last_words")).otherwise(F.lit(BLOCK))
     had = F.col("in_pass") * BLOCK - F.when(F.col("last_at") < F.col("in_pass"), BLOCK - F.col("last_words")).otherwise(0)
     take = F.when(F.col("pass") < F.col("passes"), full).otherwise(F.least(full, F.greatest(F.lit(0), F.col("rest") - had)))
-    out = out.withColumn("take", take).where("take > 0").withColumn("number", F.col("first_slot") + F.col("slot")).withColumn("all_seed", F.lit(seed))
-    out = out.withColumn("at", permuted("number", "all_slots", ["all_seed"]))
+    out = out.withColumn("take", take).where("take > 0").withColumn("at", F.col("first_place") + F.col("slot") - F.col("from")).withColumn("all_seed", F.lit(seed))
     whole = (F.col("pass") < F.col("passes")).alias("whole")
-    return out.select("sid", "slot", "block", "take", whole, F.expr(f"at div {SHARD_SLOTS}").alias("shard"), F.expr(f"at % {SHARD_SLOTS}").alias("place"))
+    return out.select("sid", "slot", "block", "take", whole, "shard", permuted("at", "shard_slots", ["all_seed", "shard"]).alias("place"))
 
 
 def shard_counts(mix: DataFrame) -> DataFrame:
