@@ -14,9 +14,10 @@ fixed sequence, so small sets keep the collision rate of their similarity.
    different components are compared in tiles of bounded size, each pair in the
    first band that it shares.  Only pairs that pass go on to the full sets.
 
-So no link that the bands bring together is lost, and no list of all pairs is
-made.  A link with similarity of at least 0.85 is missed by all 32 bands with a
-probability of 6e-11, and by the estimate's margin with about 5e-8.
+So no list of all pairs is made.  A link with similarity of at least 0.85 is
+missed by all 32 bands with a probability of 6e-11 (0.8: 5e-8).  The estimate may
+fall short by eight standard deviations, more for small sets, before it drops a
+pair, so it loses fewer still.
 
 Null and empty texts have no shingles and link with nothing.  A row without id
 links with nothing and stays.  Repeated rows get equal results; rows that share
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import scratch
@@ -43,8 +45,8 @@ ROWS = 4
 MANTISSA = 10
 #: Chance that registers of different smallest values agree.
 COLLISION = 0.17 * 2.0 ** -MANTISSA
-#: Five standard deviations of the estimate below a similarity of 0.85.
-MARGIN = 0.17
+#: Standard deviations by which an estimate may fall short before a pair is dropped unseen.
+DEVIATIONS = 8
 #: Members of a bucket, and bytes of their shortened sets, that one side of a tile holds on average.
 TILE = 640
 TILE_BYTES = 32 << 20
@@ -99,6 +101,15 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b).mean(axis=-1) - COLLISION) / (1 - COLLISION)
 
 
+def slack(n: np.ndarray) -> np.ndarray:
+    """How far the estimate may fall short of the similarity (0.8 or more) of sets with *n* shingles.
+
+    Small sets fill few registers, which the others borrow, so fewer count; the
+    estimate of sets of some 12 shingles or less drops nothing.
+    """
+    return DEVIATIONS * np.sqrt(0.16 / (REGISTERS * -np.expm1(-np.maximum(n, 1) / REGISTERS)))
+
+
 def _jaccard(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """Sizes of intersection and union of sorted sets."""
     both = np.concatenate([a, b])
@@ -137,15 +148,14 @@ def _sets(rows: DataFrame) -> DataFrame:
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs ``a, b`` whose estimate and then full sets reach *percent*."""
     side = lambda x: sets.select(F.col("node").alias(x), F.col("registers").alias(f"r{x}"), F.col("shingles").alias(f"s{x}"))
-    least = percent / 100 - MARGIN
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             regs = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb")]
+            sizes = np.minimum(*(np.array(pc.binary_length(batch.column(c))) // 8 for c in ("sa", "sb")))
             keep = []
-            for i in np.flatnonzero(estimate(*regs) >= least):
+            for i in np.flatnonzero(estimate(*regs) >= percent / 100 - slack(sizes)):
                 a, b = (np.frombuffer(batch.column(c)[int(i)].as_buffer(), np.uint64) for c in ("sa", "sb"))
                 common, union = _jaccard(a, b)
                 if 100 * common >= percent * union:
@@ -163,6 +173,8 @@ def _tile_pairs(table: pa.Table, percent: int) -> list[tuple[int, int]]:
     regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(len(node), REGISTERS)
     bands = np.ascontiguousarray(regs).view(np.uint64)
     sets = [np.frombuffer(x, np.uint32) for x in table.column("short").to_pylist()]
+    sizes = np.array([len(x) for x in sets])
+    short_by = slack(sizes)
     found: list[tuple[float, int, int]] = []
     left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
     for i in left:
@@ -170,9 +182,13 @@ def _tile_pairs(table: pa.Table, percent: int) -> list[tuple[int, int]]:
         others = others[comp[others] != comp[i]]
         if band and len(others):
             others = others[~(bands[others, :band] == bands[i, :band]).any(axis=1)]
+        # sets whose sizes are too far apart can't be similar enough; shortened ones may be a little smaller
+        fewer, more = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
+        others = others[101 * (fewer + 1) >= percent * more]
         if len(others):
             near = estimate(regs[others], regs[i])
-            found += [(float(e), int(i), int(j)) for e, j in zip(near, others) if e >= percent / 100 - MARGIN]
+            good = near >= percent / 100 - np.maximum(short_by[others], short_by[i])
+            found += [(float(e), int(i), int(j)) for e, j in zip(near[good], others[good])]
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
