@@ -13,6 +13,7 @@ their names.  Repeated rows give repeated results, empty tables empty ones.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import re
@@ -215,7 +216,7 @@ class Codec:
 
 def codec(blob: str) -> Codec:
     """One codec per worker and vocabulary."""
-    key = (blob[:4096], len(blob))
+    key = hashlib.blake2b(blob.encode(), digest_size=16).digest()  # of the whole vocabulary
     if key not in _CODECS:
         _CODECS[key] = Codec(blob)
     return _CODECS[key]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, chat, minhash, mixing, pii, quality, substrings, suffixes, topk, toxicity, variants, vectors, whitening
@@ -14,7 +15,7 @@ __all__ = ["ORACLES", "QUERIES"]
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Place of the public vocabulary that encoding uses by default.
-VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 QUERIES: dict[str, Query] = {}
 
