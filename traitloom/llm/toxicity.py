@@ -131,7 +131,8 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED)
     """At most *limit* training rows of each class: ``text`` and ``toxic``.
 
     Chosen by a hash of the id, so the choice does not depend on the order of
-    rows; held-out ids are left out.
+    rows; held-out ids are left out.  Of rows that share an id one counts, that
+    of the smallest text.
     """
     key = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
@@ -139,7 +140,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED)
         .select("doc_id", "toxic", F.xxhash64("doc_id").alias("_order")))
     chosen = [key.where(F.col("toxic") == c).orderBy("_order", "doc_id").limit(limit) for c in (0, 1)]
     ids = chosen[0].unionAll(chosen[1]).drop("_order")
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic")
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
 
 
 def train(rows: list[tuple[str, int]], seed: int = 11) -> Model:
