@@ -15,9 +15,9 @@ fixed sequence, so small sets keep the collision rate of their similarity.
    first band that it shares.  Only pairs that pass go on to the full sets.
 
 So no list of all pairs is made.  A link with similarity of at least 0.85 is
-missed by all 32 bands with a probability of 6e-11 (0.8: 5e-8).  The estimate may
-fall short by eight standard deviations, more for small sets, before it drops a
-pair, so it loses fewer still.
+missed by all 32 bands with a probability of 6e-11 (0.8: 5e-8), and by the
+estimate's margin with about 5e-8; for sets of fewer than ``FEW`` shingles the
+margin is eight standard deviations.
 
 Null and empty texts have no shingles and link with nothing.  A row without id
 links with nothing and stays.  Repeated rows get equal results; rows that share
@@ -45,8 +45,10 @@ ROWS = 4
 MANTISSA = 10
 #: Chance that registers of different smallest values agree.
 COLLISION = 0.17 * 2.0 ** -MANTISSA
-#: Standard deviations by which an estimate may fall short before a pair is dropped unseen.
-DEVIATIONS = 8
+#: How far the estimate of sets that fill most registers may fall short: five standard deviations at 0.85.
+MARGIN = 0.17
+#: Shingles below which sets fill few registers, and standard deviations that their estimate may fall short.
+FEW, DEVIATIONS = 32, 8
 #: Members of a bucket, and bytes of their shortened sets, that one side of a tile holds on average.
 TILE = 640
 TILE_BYTES = 32 << 20
@@ -107,7 +109,7 @@ def slack(n: np.ndarray) -> np.ndarray:
     Small sets fill few registers, which the others borrow, so fewer count; the
     estimate of sets of some 12 shingles or less drops nothing.
     """
-    return DEVIATIONS * np.sqrt(0.16 / (REGISTERS * -np.expm1(-np.maximum(n, 1) / REGISTERS)))
+    return np.where(n < FEW, DEVIATIONS * np.sqrt(0.16 / (REGISTERS * -np.expm1(-np.maximum(n, 1) / REGISTERS))), MARGIN)
 
 
 def _jaccard(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
