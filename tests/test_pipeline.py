@@ -94,6 +94,15 @@ def test_versions_stop_below_a_difference(spark):
     assert sorted(("/".join(r.path), r.problem) for r in found) == [("a", "names or order differ"), ("l/[]", "type differs")]
 
 
+def test_enums_are_sets_over_all_versions(spark):
+    def version(v, **enums):
+        return docs(spark, {"properties": {k: {"enum": e} for k, e in enums.items()}}).withColumn("version", F.lit(v))
+    three = version("1", a=["p", "q", "p"], b=[1, 2], c=[], gone=["x"]).unionByName(
+        version("2", a=["q", "p"], b=[1, 2], c=[])).unionByName(version("3", a=["p", "q"], b=[1, "2"], c=[], new=["y"]))
+    found = {r.path[0]: (r.same, r.members) for r in sc.enum_sets(three, ["1", "2", "3"]).collect()}
+    assert found == {"a": (True, 2), "b": (False, 2), "c": (True, 0), "gone": (False, 1), "new": (False, None)}
+
+
 def test_definitions_are_cut_at_sentence_ends(spark):
     note = "semi_erect = leans, 5.5 deg. Next. erect = upright (e.g. a stake); flat = on the ground."
     df = spark.createDataFrame([(note, ["erect", "semi_erect", "flat", "gone"])], "note string, categories array<string>")

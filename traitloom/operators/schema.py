@@ -371,3 +371,19 @@ def schema_diff(docs: DataFrame, versions: list[str], body: str = "body", max_de
     below = bad.where(F.size("path") > 0).select("doc_id", "path", F.explode(parents).alias("_up")).join(
         above, ["doc_id", "_up"], "left_semi").select("doc_id", "path").distinct()
     return bad.join(below, ["doc_id", "path"], "left_anti")
+
+
+def enum_sets(docs: DataFrame, versions: list[str], body: str = "body", max_depth: int | None = None) -> DataFrame:
+    """Every enum of a schema over its versions: ``(doc_id, path, same, members)``.
+
+    Members are compared as sets, so order and repeats don't matter.  An enum
+    that some version lacks is not the same; ``members`` counts the set of the
+    first of *versions* and is NULL where that one has no enum there.  All
+    versions meet in one aggregate per place, of which tasks keep the smallest
+    and the largest set.
+    """
+    enums = constraint_nodes(docs, body, max_depth).where("kind = 'enum'")
+    payload = F.coalesce("payload", F.array().cast("array<string>"))
+    return enums.groupBy("doc_id", "path").agg(
+        ((F.size(F.collect_set("version")) == len(versions)) & F.min(payload).eqNullSafe(F.max(payload))).alias("same"),
+        F.max(F.when(F.col("version") == versions[0], F.size(payload))).alias("members"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import values as vl
 from ..operators import planning, runs, schema as sc, table as tb
@@ -120,6 +120,22 @@ def trait_diff(spark: SparkSession, sf: str) -> DataFrame:
 _VERSIONS = ["raw", "typed", "edited"]
 
 
+def _versions(spark: SparkSession, sf: str) -> DataFrame:
+    """All versions of all constrained schemas; document and shard number make the id."""
+    docs = None
+    for v in _VERSIONS:
+        one = src.shard_docs(spark, sf, v).select(
+            F.concat_ws("/", F.col("doc_id").cast("string"), F.col("shard_no").cast("string")).alias("doc_id"),
+            F.lit(v).alias("version"), "body")
+        docs = one if docs is None else docs.unionByName(one)
+    return docs
+
+
+def _shard_of(name: str = "doc_id") -> list[Column]:
+    ids = F.split(name, "/")
+    return [ids[0].cast("long").alias("doc_id"), ids[1].cast("int").alias("shard_no")]
+
+
 @query("schema_diff", """
 SELECT p_partkey AS doc_id, 1 AS shard_no, 'properties.whole.form.value' AS place, 'enum members differ' AS problem
 FROM part WHERE p_partkey % 16 = 0
@@ -128,29 +144,20 @@ WHERE p_partkey % 17 = 0 AND (s.n = 1 OR p_partkey % 15 = 0)
 UNION ALL SELECT p_partkey, 1, 'properties.leaf', 'names or order differ' FROM part WHERE p_partkey % 18 = 0""")
 def schema_diff(spark: SparkSession, sf: str) -> DataFrame:
     """Three versions of each constrained schema; the typed one must not count as different."""
-    docs = None
-    for v in _VERSIONS:
-        one = src.shard_docs(spark, sf, v).select(
-            F.concat_ws("/", F.col("doc_id").cast("string"), F.col("shard_no").cast("string")).alias("doc_id"),
-            F.lit(v).alias("version"), "body")
-        docs = one if docs is None else docs.unionByName(one)
-    found = sc.schema_diff(docs, _VERSIONS)
-    ids = F.split("doc_id", "/")
-    return found.select(
-        ids[0].cast("long").alias("doc_id"), ids[1].cast("int").alias("shard_no"),
-        F.concat(F.lit("properties."), F.array_join("path", ".")).alias("place"), "problem")
+    found = sc.schema_diff(_versions(spark, sf), _VERSIONS)
+    return found.select(*_shard_of(), F.concat(F.lit("properties."), F.array_join("path", ".")).alias("place"), "problem")
 
 
 @query("enum_equal", over("part_doc", """
-SELECT doc_id, p % 16 <> 0 AS same, CAST(k + 1 AS INTEGER) AS members FROM part_doc"""))
+SELECT doc_id, 1 AS shard_no, 'whole.form.value' AS place, p % 16 <> 0 AS same, k + 1 AS members FROM part_doc
+UNION ALL SELECT doc_id, 1, 'leaf.hue.value', p % 18 <> 0, 4 FROM part_doc
+UNION ALL SELECT doc_id, 1, 'leaf.hues.value', false, NULL FROM part_doc WHERE p % 18 = 0
+UNION ALL SELECT doc_id, 1, 'leaf.' || x.name || '.value', true, x.n FROM part_doc, (VALUES ('extra_code', 4), ('extra_name', 3)) x(name, n) WHERE p % 8 = 0
+UNION ALL SELECT doc_id, 2, 'stem.vigor.value', true, m + 1 FROM part_doc WHERE p % 14 <> 0"""))
 def enum_equal(spark: SparkSession, sf: str) -> DataFrame:
-    """Members of one enum in two versions, compared as sets."""
-    def members(version: str) -> DataFrame:
-        docs = src.shard_docs(spark, sf, version).where("shard_no = 1")
-        text = F.get_json_object("body", "$.properties.whole.properties.form.properties.value.enum")
-        return docs.select("doc_id", F.from_json(text, "array<string>").alias(version))
-    both = members("raw").join(members("edited"), "doc_id")
-    return both.select("doc_id", vl.enum_equal(F.col("raw"), F.col("edited")).alias("same"), F.size("raw").alias("members"))
+    """All enums of both shards, compared as sets over three versions."""
+    found = sc.enum_sets(_versions(spark, sf), _VERSIONS)
+    return found.select(*_shard_of(), F.array_join("path", ".").alias("place"), "same", "members")
 
 
 @query("trait_counts", over("tr", """
