@@ -51,6 +51,23 @@ def test_quantiles(spark, by):
             assert ranked[(*key, q)] == values[int(round((len(values) - 1) * q))]
 
 
+@pytest.mark.parametrize("kind", ["double", "int", "bigint", "decimal(12,3)"])
+def test_quantiles_of_groups_larger_than_their_sketch(spark, kind, monkeypatch):
+    monkeypatch.setattr("traitloom.operators.ordered.ACCURACY", 200)
+    rng = np.random.default_rng(4)
+    values = np.concatenate([rng.integers(-4000, 4000, 9000), np.full(6000, 17), rng.integers(0, 3, 3000)])
+    pdf = pd.DataFrame({"k": ["hot"] * 15000 + ["k"] * 2999 + [None], "v": rng.permutation(values)})
+    df = spark.createDataFrame(pdf, "k string, v bigint").repartition(6).select("k", F.col("v").cast(kind).alias("v"))
+    qs = [0.0, 0.01, 0.5, 0.501, 0.93, 1.0]
+    for interpolate in (True, False):
+        found = quantiles(df, "v", qs, [], interpolate).collect()
+        want = np.quantile(pdf.v, qs, method="linear" if interpolate else "nearest")
+        assert [float(r.value) for r in sorted(found, key=lambda r: r.q)] == pytest.approx(want.tolist())
+        by_key = {(r.k, r.q): float(r.value) for r in quantiles(df.where("k is not null"), "v", qs, ["k"], interpolate).collect()}
+        for k, part in pdf.dropna().groupby("k"):
+            assert [by_key[k, q] for q in qs] == pytest.approx(np.quantile(part.v, qs, method="linear" if interpolate else "nearest").tolist())
+
+
 def test_failure_runs_span_ranges(spark):
     rows = [("hot", i, i, "api error" if 100 <= i < 900 else "ok") for i in range(1000)] + [("x", 1, 1, "api error"), ("x", 2, 2, "api error")]
     df = spark.createDataFrame(rows, "run string, line_id int, i int, status string").withColumn("ts", F.timestamp_seconds("i"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
-from ..session import blocks_of, bounded, sql_literal
+from ..session import blocks_of, bounded, settle, small_rows, sql_literal
 
 BLOCK = "_block"
 
@@ -129,22 +129,61 @@ def row_numbers(df: DataFrame, key: list[str], order: list[str], name: str = "rn
     return scan(df, key, order, sums={name: F.lit(1).cast("long")})
 
 
+#: Relative error of the sketch that encloses a rank, as one over this number.
+ACCURACY = 10_000
+#: Types whose values a sketch of doubles keeps as they are.
+_EXACT = ("double", "float", "int", "smallint", "tinyint")
+
+
+def _around_ranks(rows: DataFrame, group: list[str], value: str, qs: list[float]) -> DataFrame | None:
+    """Rows counted by value near the ranks *qs* and by stretch elsewhere, or None.
+
+    A sketch gives each rank two values that enclose it, so only about four in
+    ``ACCURACY`` rows keep their value.  All between two enclosures count as one
+    entry, ``_out``, placed after the last bound below.  Groups so small that a
+    bound could be off by one rank keep all values.  Only for few groups, and
+    types that the sketch keeps exactly.
+    """
+    if rows.schema[value].dataType.simpleString() not in _EXACT:
+        return None
+    margin = 2 / ACCURACY
+    ends = [min(1.0, max(0.0, q + d)) for q in sorted(set(qs)) for d in (-margin, margin)]
+    bounds = rows.groupBy(*group).agg(
+        (F.count(F.lit(1)) <= 2 * ACCURACY).alias("_all_in"), F.min(value).alias("_least"),
+        F.percentile_approx(value, [float(e) for e in ends], ACCURACY).alias("_ends"))
+    few = small_rows(bounds)
+    if not few:
+        return None
+    bounds = rows.sparkSession.createDataFrame(few, bounds.schema)
+    v = F.col(value)
+    near = F.col("_all_in")
+    for i in range(0, len(ends), 2):
+        near = near | v.between(F.col("_ends")[i], F.col("_ends")[i + 1])
+    below = F.coalesce(F.array_max(F.filter("_ends", lambda e: e <= v)), F.col("_least"))
+    found = rows.select(*group, value).join(F.broadcast(bounds), [rows[g].eqNullSafe(bounds[g]) for g in group])
+    return settle(found.select(*[rows[g] for g in group], F.when(near, v).otherwise(below).alias("_v"), (~near).alias("_out"))
+                  .groupBy(*group, "_v", "_out").agg(F.count(F.lit(1)).alias("_c")))
+
+
 def quantiles(
     df: DataFrame, value: str, qs: list[float], by: list[str], interpolate: bool
 ) -> DataFrame:
     """Exact quantiles per group as ``(by.., n, q, value)``.
 
     Nearest rank takes position ``round_half_even((n - 1) * q)``; with
-    *interpolate* the two neighbours are mixed.  Rows are first counted per
-    distinct value, so repeats never leave their map task; the ranked rows are
-    spread over ranges, so no group is gathered anywhere.
+    *interpolate* the two neighbours are mixed.  With few groups, two passes over
+    the rows leave only what lies near the ranks (``_around_ranks``); otherwise
+    rows are counted per distinct value, so repeats never leave their map task.
+    What is ranked is spread over ranges, so no group is gathered anywhere.
     """
     group = by or ["_all"]
     rows = df.where(F.col(value).isNotNull())
     if not by:
         rows = rows.withColumn("_all", F.lit(0))
-    counts = rows.groupBy(*group, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    ranked = scan(counts, group, ["_v"], sums={"_upto": F.col("_c")})
+    counts = _around_ranks(rows, group, value, qs)
+    if counts is None:
+        counts = rows.groupBy(*group, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"), F.lit(False).alias("_out"))
+    ranked = scan(counts, group, ["_v", "_out"], sums={"_upto": F.col("_c")})
     # The last running count of a group is its size; few groups are broadcast,
     # many are joined by a shuffle that Spark splits where a group is hot.
     totals = bounded(ranked.groupBy(*group).agg(F.max("_upto").alias("n")))
@@ -159,9 +198,11 @@ def quantiles(
     covers_lo = (F.col("_lo") >= first) & (F.col("_lo") < F.col("_upto"))
     covers_hi = (F.col("_hi") >= first) & (F.col("_hi") < F.col("_upto"))
     hits = ranked.join(wanted, group).where(covers_lo | covers_hi)
+    # Not a filter, which would move below the join and meet all rows.
+    held = F.when(F.col("_out"), F.raise_error(F.lit("a rank lies outside its bounds")).cast(df.schema[value].dataType)).otherwise(F.col("_v"))
     out = hits.groupBy(*group, "n", "q").agg(
-        F.max(F.when(covers_lo, F.col("_v"))).alias("_a"),
-        F.max(F.when(covers_hi, F.col("_v"))).alias("_b"),
+        F.max(F.when(covers_lo, held)).alias("_a"),
+        F.max(F.when(covers_hi, held)).alias("_b"),
     )
     share = position - F.floor(position)
     mixed = F.col("_a") + (F.col("_b") - F.col("_a")) * share if interpolate else F.col("_a")
