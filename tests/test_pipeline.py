@@ -69,6 +69,26 @@ def test_published_statistics(spark):
     assert (r.positive, round(r.p, 4)) == (7, 0.0143)
 
 
+def test_support_of_growing_runs(spark):
+    def run(n, lines):
+        return spark.range(*lines).select(
+            F.lit(n).alias("run_no"), F.concat(F.lit("l"), "id").alias("line_id"), F.lit("g").alias("group_name"),
+            F.lit("t").alias("trait_name"), F.lit("nominal").alias("scale_type"),
+            F.when(F.col("id") % 10 == 0, "not_assessable").when(F.col("id") % 3 == 0, "a").when(F.col("id") % 7 == 0, F.lit(None)).otherwise("b").alias("raw"))
+    first, second = run(1, (0, 40_000)), run(2, (20_000, 70_000))
+    exact = {r.value: r.support for r in cp.support(first.unionByName(second)).collect()}
+    coarse = cp.support_sketches(second, ["run_no"], lg_k=10)
+    for later, error in ((cp.support_sketches(second, ["run_no"]), 1.04 / 64), (coarse, 1.04 / 32)):
+        found = cp.merged_support(cp.support_sketches(first, ["run_no"]).unionByName(later)).collect()
+        assert {r.value for r in found} == set(exact) == {"a", "b"}
+        for r in found:
+            assert r.error == pytest.approx(error) and abs(r.support - exact[r.value]) <= 4 * error * exact[r.value]
+    by_run = cp.merged_support(cp.support_sketches(first.unionByName(second), ["run_no"]), ["run_no"])
+    assert by_run.count() == 4
+    assert cp.support(first, approx=True).columns == cp.support(first).columns
+    assert cp.merged_support(cp.support_sketches(first.limit(0))).count() == 0
+
+
 def docs(spark, *bodies):
     return spark.createDataFrame([(i, json.dumps(b)) for i, b in enumerate(bodies)], "doc_id int, body string")
 
