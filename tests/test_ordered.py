@@ -167,3 +167,27 @@ def test_large_dimension_goes_through_slices(spark, monkeypatch):
     shards = spark.createDataFrame([(i, f"s{i}") for i in range(7)], "shard_ord int, shard_id string")
     got = planning.plan_requests(lines, shards)
     assert got.count() == 350 and got.select("custom_id").distinct().count() == 350
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_split_points_are_not_sorted_for_each_row(spark):
+    df = scan(spark.createDataFrame(hot()), ["k"], ["at"], {"total": F.col("v")})
+    assert "array_sort" not in plan_of(df)
+
+
+def test_only_keys_cut_by_a_point_are_carried(spark):
+    rows = spark.createDataFrame([(None if i < 900 else i, i) for i in range(2000)], "k bigint, at int")
+    df = row_numbers(rows, ["k"], ["at"])
+    assert "LeftSemi" in plan_of(df)
+    got = {r["at"]: r.rn for r in df.collect()}
+    assert got == {i: i + 1 if i < 900 else 1 for i in range(2000)}
+
+
+def test_first_positions_are_reduced_once(spark):
+    rows = spark.createDataFrame([(1, "b", 2), (1, "a", 2), (1, "a", 5), (2, "c", 1)], "k int, n string, at int")
+    df = runs.first_seen_order(rows, ["k"], "n", "at")
+    assert "min(at" not in plan_of(df)
+    assert sorted(tuple(r)[:2] + (r.ord,) for r in df.select("k", "n", "ord").collect()) == [(1, "a", 1), (1, "b", 2), (2, "c", 1)]

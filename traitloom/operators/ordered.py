@@ -36,19 +36,24 @@ def split_points(df: DataFrame, columns: list[str], n: int) -> list[Row]:
 
 
 def in_blocks(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Rows with the number of the range they fall in.
+    """Rows with the number of the range they fall in."""
+    columns = list(dict.fromkeys([*key, *order]))
+    return between_points(df, columns, split_points(df, columns, blocks_of(df.sparkSession)))
+
+
+def between_points(df: DataFrame, columns: list[str], points: list[Row]) -> DataFrame:
+    """Rows with the number of the range between *points* that they fall in.
 
     Ranges are cut at fixed points, which stand in the plan as literals, so each
     use of the result finds a row in the same range without any copy of the
     rows.  A row searches its range among the points by halving.
     """
-    columns = list(dict.fromkeys([*key, *order]))
-    points = split_points(df, columns, blocks_of(df.sparkSession))
     if not points:
         return df.withColumn(BLOCK, F.lit(0))
     kind = ",".join(f"c{i}:{df.schema[c].dataType.simpleString()}" for i, c in enumerate(columns))
     literal = lambda row: F.struct(*[sql_literal(v).alias(f"c{i}") for i, v in enumerate(row)])
-    cuts = F.array_sort(F.array(*map(literal, points)).cast(f"array<struct<{kind}>>"))
+    # in order as they come; a sort here would run again for each row and step
+    cuts = F.array(*map(literal, points)).cast(f"array<struct<{kind}>>")
     own = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
     steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(points).bit_length()))])
 
@@ -77,7 +82,9 @@ def scan(
     rows = df
     for name, c in {**sums, **mins}.items():
         rows = rows.withColumn(f"_in_{name}", c)
-    rows = in_blocks(rows, key, order)
+    columns = list(dict.fromkeys([*key, *order]))
+    points = split_points(df, columns, blocks_of(df.sparkSession))
+    rows = between_points(rows, columns, points)
 
     upto = Window.partitionBy(*key, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     step = Window.partitionBy(*key, BLOCK).orderBy(*order)
@@ -90,7 +97,11 @@ def scan(
     )
 
     last = F.struct(*[F.col(c) for c in order])
-    per_block = rows.groupBy(*key, BLOCK).agg(
+    # A key in several ranges is that of a point between them: one row per range at most.
+    cut = df.sparkSession.createDataFrame(
+        list(dict.fromkeys(tuple(p[c] for c in key) for p in points)), df.select(*[F.col(k).alias(f"_cut_{i}") for i, k in enumerate(key)]).schema)
+    crossing = rows.join(F.broadcast(cut), [rows[k].eqNullSafe(cut[f"_cut_{i}"]) for i, k in enumerate(key)], "left_semi")
+    per_block = crossing.groupBy(*key, BLOCK).agg(
         F.count(F.lit(1)).alias("_rows"),
         *[F.sum(f"_in_{n}").alias(f"_b_{n}") for n in sums],
         *[F.min(f"_in_{n}").alias(f"_b_{n}") for n in mins],

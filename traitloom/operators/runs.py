@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..constants import (
     BATCH_DISCOUNT, FAILURE_RUN_LENGTH, STATUS_CACHED, STATUS_OK, WARM_HIT_WARN_PCT,
 )
-from ..session import bounded
+from ..session import bounded, settle
 from .ordered import quantiles, row_numbers, scan
 
 
@@ -166,5 +166,5 @@ def first_seen_order(df: DataFrame, key: list[str], name: str, pos: str) -> Data
     Names are reduced to their first position before they are numbered, so the
     numbering runs over the names of a key only.
     """
-    first = df.groupBy(*key, name).agg(F.min(pos).alias("first_pos"))
+    first = settle(df.groupBy(*key, name).agg(F.min(pos).alias("first_pos")))  # read several times
     return row_numbers(first, key, ["first_pos", name], "ord")
