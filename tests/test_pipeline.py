@@ -313,3 +313,39 @@ def test_only_needed_columns_are_read(spark):
     from traitloom.operators import runs as ops
     text = plan_of(ops.status_counts(src.progress(spark, SF), ["line_id"]))
     assert "ReadSchema: struct<user_id:bigint,event_type:string>" in text
+
+
+# -- size -----------------------------------------------------------------------
+
+
+def test_estimates_broadcast_nothing(spark):
+    """The rows that unfolding gives are no part of an estimate, so only sizes measured at run time count."""
+    from traitloom.operators import table as tb
+    doc = docs(spark, {"trait_groups": {"g": {"traits": [{"trait_name": "t", "scale_type": "nominal", "values": ["a"]}]}}})
+    traits = sc.read_traits(doc)
+    paths = traits.select("doc_id", F.array("group_name", "trait_name").alias("path"), "scale_type", "unit")
+    frames = [sc.trait_diff(traits, traits.withColumn("trait_name", F.lit("u")))]
+    frames += [tb.resolve_names(paths, mode, table=["doc_id"]) for mode in ("prefix_collided", "prefix_all", "error")]
+    for df in frames:
+        assert "BroadcastExchange" not in df._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().sparkPlan().toString()
+    assert sorted((r.trait_name, r.side) for r in frames[0].collect()) == [("t", "missing"), ("u", "extra")]
+
+
+def test_pages_of_one_address_are_images_of_their_own(spark, tmp_path):
+    from traitloom.plans import run_queries
+    pages = [(1, "http://h/a"), (2, "http://h/a"), (9, "http://h/a"), (9, "http://h/b#3")]
+    spark.createDataFrame(pages, "page_id bigint, url string").withColumn("html", F.lit("")).write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(tuple(r) for r in run_queries.split_uploads(spark, str(tmp_path)).select("path", "is_cached", "file_id").collect())
+    assert got == [("http://h/a", False, None), ("http://h/a", True, "file-1"), ("http://h/a", True, "file-2"), ("http://h/b#3", False, None)]
+
+
+def test_constraint_nodes_of_odd_schemas(spark):
+    texts = ['{"properties":{"b":{"enum":[2,1,2]},"a":null,"c":{"items":{"type":["string","null"]}}}}', '[1]', '"x"', '{"type":"object","enum":[1', '{"enum":[1],"type":']
+    one = spark.createDataFrame(list(enumerate(texts)), "doc_id int, body string").withColumn("version", F.lit("1"))
+    found = {(r.doc_id, *r.path): (r.kind, r.payload) for r in sc.constraint_nodes(one).collect()}
+    assert found == {
+        (0,): ("properties", ["b", "a", "c"]), (0, "b"): ("enum", ["1", "2"]), (0, "a"): ("type", [None]), (0, "c"): ("items", []),
+        (0, "c", "[]"): ("type", ['["string","null"]']), (1,): ("type", [None]), (2,): ("type", [None]),
+        (3,): ("type", [None]), (4,): ("type", [None])}
+    assert "get_json_object(body" not in sc.constraint_nodes(one, max_depth=1)._jdf.queryExecution().analyzed().toString()

@@ -18,12 +18,16 @@ def configure(spark: SparkSession) -> SparkSession:
 
     Duplicate keys in an answer keep the last one, as JSON readers do; the two
     AQE settings let Spark split hot join keys and merge small partitions.
+    Estimates don't know how many rows an unfolding gives, so a side is broadcast
+    by its size only where that was measured at run time.
     """
     for key, value in {
         "spark.sql.variant.allowDuplicateKeys": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
     }.items():
         spark.conf.set(key, value)
     return spark
