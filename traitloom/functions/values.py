@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import (
     CUSTOM_ID_SEPARATOR, MEDIA_TYPES, NOMINAL, ORDINAL, QUANTITATIVE, SENTINEL,
@@ -172,17 +172,34 @@ def json_kind(v: Column) -> Column:
     return F.lower(F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1))
 
 
-def json_depth(text: Column) -> Column:
-    """How deep objects and lists of a JSON text are nested; 0 for a bare value."""
+def json_brackets(text: Column) -> Column:
+    """The braces of a JSON text, objects and lists alike; strings don't count."""
     bare = F.regexp_replace(text, r'"(?:[^"\\]++|\\.)*+"', "")
-    signs = F.split(F.translate(F.regexp_replace(bare, r"[^{}\[\]]+", ""), "[]", "{}"), "")
+    return F.translate(F.regexp_replace(bare, r"[^{}\[\]]+", ""), "[]", "{}")
+
 
+def bracket_depth(brackets: Column) -> Column:
+    """How deep the braces are nested."""
     def step(state: Column, sign: Column) -> Column:
         now = state["now"] + F.when(sign == "{", 1).when(sign == "}", -1).otherwise(0)
         return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
 
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-    return F.coalesce(F.aggregate(signs, start, step, lambda s: s["most"]), F.lit(0))
+    return F.coalesce(F.aggregate(F.split(brackets, ""), start, step, lambda s: s["most"]), F.lit(0))
+
+
+def json_depth(text: Column) -> Column:
+    """How deep objects and lists of a JSON text are nested; 0 for a bare value."""
+    return bracket_depth(json_brackets(text))
+
+
+def deepest(df: DataFrame, text: Column) -> int:
+    """How many levels the deepest JSON text of a column has, 1 at least.
+
+    Texts of one shape have the same braces, which are followed once for each shape.
+    """
+    shapes = df.select(json_brackets(text).alias("_b")).distinct()
+    return max(1, shapes.agg(F.max(bracket_depth(F.col("_b")))).first()[0] or 1)
 
 
 def is_number(kind: Column) -> Column:

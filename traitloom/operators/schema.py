@@ -9,8 +9,8 @@ from ..constants import (
     ORDINAL, ORDINAL_LEVELS_WITHOUT_NOTE, QUANTITATIVE, SENTINEL, SNAKE_CASE_PATTERN,
 )
 from ..functions.text import strip
-from ..functions.values import categories, json_depth, json_kind, trait_cost
-from ..session import bounded, once
+from ..functions.values import categories, deepest, json_kind, trait_cost
+from ..session import bounded, once, settle
 from .table import LEVELS
 
 TRAIT = (
@@ -137,11 +137,6 @@ def traits_from_shards(shards: DataFrame, master: DataFrame, body: str = "body",
 # -- checks -----------------------------------------------------------------
 
 
-def deepest(docs: DataFrame, body: str) -> int:
-    """How many levels the deepest document has."""
-    return max(1, docs.agg(F.max(json_depth(F.col(body)))).first()[0] or 1)
-
-
 def nodes(docs: DataFrame, body: str = "body", max_depth: int | None = None) -> DataFrame:
     """Every keyed node of a JSON document: ``(doc_id, path, key)``.
 
@@ -149,7 +144,7 @@ def nodes(docs: DataFrame, body: str = "body", max_depth: int | None = None) ->
     place, as many as the documents have; where the caller gives *max_depth*, a
     deeper document fails the query rather than losing nodes.
     """
-    max_depth = max_depth or deepest(docs, body)
+    max_depth = max_depth or deepest(docs, F.col(body))
 
     def children(path: Column, node: Column) -> Column:
         keyed = F.transform(
@@ -249,11 +244,14 @@ def coverage(master: DataFrame, shards: DataFrame) -> DataFrame:
 
 
 def trait_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Set difference both ways: traits only in *a* and only in *b*."""
+    """Set difference both ways: traits only in *a* and only in *b*.
+
+    Both sides meet in one grouping, so none is held whole anywhere.
+    """
     key = ["doc_id", "group_name", "trait_name"]
-    left, right = a.select(*key), b.select(*key)
-    return left.subtract(right).withColumn("side", F.lit("missing")).unionByName(
-        right.subtract(left).withColumn("side", F.lit("extra")))
+    sides = a.select(*key, F.lit("missing").alias("side")).unionByName(b.select(*key, F.lit("extra").alias("side")))
+    return sides.groupBy(*key).agg(F.min("side").alias("side"), F.max("side").alias("_other")).where(
+        F.col("side") == F.col("_other")).drop("_other")
 
 
 def trait_counts(traits: DataFrame, by: list[str]) -> DataFrame:
@@ -298,50 +296,62 @@ def extract_defs(notes: DataFrame) -> DataFrame:
 
 # -- versions ---------------------------------------------------------------
 
-NODE = "struct<path:array<string>,node:string,kind:string,payload:array<string>>"
+NODE = "struct<path:array<string>,kind:string,payload:array<string>,node:string>"
+#: What is read of a schema node, by one pass over its text.
+MEMBERS = "enum string, properties string, items string, type string"
 
 
-def _described(path: Column, node: Column) -> Column:
-    """What one schema node constrains: members, named parts, items or a type."""
-    enum = F.get_json_object(node, "$.enum")
-    props = F.get_json_object(node, "$.properties")
-    items = F.get_json_object(node, "$.items")
-    members = F.array_sort(F.array_distinct(F.transform(
-        F.try_variant_get(F.try_parse_json(enum), "$", "array<variant>"), lambda v: F.to_json(v))))
+def _described(rows: DataFrame) -> DataFrame:
+    """What the nodes without a ``kind`` constrain: members, named parts, items or a type.
+
+    ``_properties`` and ``_items`` hold what is below a node, as text.
+    """
+    new = F.col("_n.kind").isNull()
+    read = once(rows, "_f", F.when(new, F.from_json("_n.node", MEMBERS)))
+    names = [m.split()[0] for m in MEMBERS.split(", ")]
+    # a text that is broken further on still gives the members before that
+    broken = F.coalesce(*[F.col(f"_f.{m}") for m in names]).isNull()
+    enum, props, items, kept = (
+        F.coalesce(F.col(f"_f.{m}"), F.when(new & broken, F.get_json_object("_n.node", f"$.{m}"))) for m in names)
     kind = F.when(enum.startswith("["), "enum").when(props.startswith("{"), "properties").when(
         items.startswith("{"), "items").otherwise("type")
-    payload = F.when(kind == "enum", members).when(kind == "properties", F.json_object_keys(props)).when(
-        kind == "items", F.array().cast("array<string>")).otherwise(F.array(F.get_json_object(node, "$.type")))
-    return F.struct(path.alias("path"), node.alias("node"), kind.alias("kind"), payload.alias("payload"))
+    known = once(read, "_k", F.struct(kind.alias("kind"), enum.alias("enum"), props.alias("properties"), items.alias("items")))
+    kind = F.when(new, F.col("_k.kind"))
+    members = F.array_sort(F.array_distinct(F.transform(
+        F.try_variant_get(F.try_parse_json("_k.enum"), "$", "array<variant>"), lambda v: F.to_json(v))))
+    payload = F.when(kind == "enum", members).when(kind == "properties", F.json_object_keys("_k.properties")).when(
+        kind == "items", F.array().cast("array<string>")).otherwise(F.array(F.get_json_object("_n.node", "$.type")))
+    node = F.struct(
+        F.col("_n.path").alias("path"), F.coalesce("_n.kind", "_k.kind").alias("kind"),
+        F.when(new, payload).otherwise(F.col("_n.payload")).alias("payload"), F.lit(None).cast("string").alias("node"))
+    return known.select(
+        "doc_id", "version", node.alias("_n"), F.when(kind == "properties", F.col("_k.properties")).alias("_properties"),
+        F.when(kind == "items", F.col("_k.items")).alias("_items"))
 
 
 def constraint_nodes(docs: DataFrame, body: str = "body", max_depth: int | None = None) -> DataFrame:
     """Every node of a constrained-output schema with its kind and payload.
 
     Enum members are a sorted set, part names keep their order, and the type of
-    an enum node is not looked at.
+    an enum node is not looked at.  Each level opens its nodes once and hands the
+    texts of their parts on; a described node passes without its text.
     """
-    max_depth = max_depth or deepest(docs, body)
-    empty = F.array().cast(f"array<{NODE}>")
-
-    def children(n: Column) -> Column:
-        props = F.transform(
-            F.map_entries(F.from_json(F.get_json_object(n["node"], "$.properties"), "map<string,string>")),
-            lambda e: _described(F.concat(n["path"], F.array(e["key"])), e["value"]))
-        items = F.array(_described(F.concat(n["path"], F.array(F.lit("[]"))), F.get_json_object(n["node"], "$.items")))
-        return F.when(n["kind"] == "properties", props).when(n["kind"] == "items", items).otherwise(empty)
-
-    rows = docs.select("doc_id", "version", _described(F.array().cast("array<string>"), F.col(body)).alias("_n"),
-                       F.lit(True).alias("_open"))
+    max_depth = max_depth or deepest(docs, F.col(body))
+
+    def below(path: Column, node: Column) -> Column:
+        return F.struct(path.alias("path"), F.lit(None).cast("string").alias("kind"),
+                        F.lit(None).cast("array<string>").alias("payload"), node.alias("node"))
+    start = below(F.array().cast("array<string>"), F.col(body))
+    rows = _described(docs.select("doc_id", "version", start.alias("_n")))
+    path = F.col("_n.path")
     for _ in range(max_depth):
-        step = F.concat(
-            F.array(F.struct(F.col("_n").alias("n"), F.lit(False).alias("open"))),
-            F.when(F.col("_open"), F.transform(
-                children(F.col("_n")), lambda c: F.struct(c.alias("n"), F.lit(True).alias("open")))
-            ).otherwise(F.array().cast(f"array<struct<n:{NODE},open:boolean>>")))
-        rows = rows.select("doc_id", "version", F.explode(step).alias("_s")).select(
-            "doc_id", "version", F.col("_s.n").alias("_n"), F.col("_s.open").alias("_open"))
-    more = F.col("_open") & F.col("_n.kind").isin("properties", "items")
+        props = F.transform(
+            F.map_entries(F.from_json("_properties", "map<string,string>")), lambda e: below(F.concat(path, F.array(e["key"])), e["value"]))
+        items = F.array(below(F.concat(path, F.array(F.lit("[]"))), F.col("_items")))
+        parts = F.when(F.col("_properties").isNotNull(), props).when(F.col("_items").isNotNull(), items)
+        step = F.concat(F.array("_n"), F.coalesce(parts, F.array().cast(f"array<{NODE}>")))
+        rows = _described(rows.select("doc_id", "version", F.explode(step).alias("_n")))
+    more = F.col("_properties").isNotNull() | F.col("_items").isNotNull()
     guard = F.when(more, F.raise_error(F.lit("schema nested too deep; raise max_depth")).cast("boolean")).otherwise(True)
     return rows.where(guard).select(
         "doc_id", "version", F.col("_n.path").alias("path"), F.col("_n.kind").alias("kind"),
@@ -365,7 +375,7 @@ def schema_diff(docs: DataFrame, versions: list[str], body: str = "body", max_de
         .when((F.size("_payloads") > 1) & (F.col("_kinds")[0] == "properties"), "names or order differ")
         .when(F.size("_payloads") > 1, "type differs")
     )
-    bad = placed.select("doc_id", "path", problem.alias("problem")).where(F.col("problem").isNotNull())
+    bad = settle(placed.select("doc_id", "path", problem.alias("problem")).where(F.col("problem").isNotNull()))  # few, met three times
     above = bad.select("doc_id", F.col("path").alias("_up"))
     parents = F.transform(F.sequence(F.lit(0), F.size("path") - 1), lambda n: F.slice("path", F.lit(1), n))
     below = bad.where(F.size("path") > 0).select("doc_id", "path", F.explode(parents).alias("_up")).join(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import NOMINAL, ORDINAL, QUANTITATIVE, RESERVED_COLUMNS
 from ..functions.values import (
-    column_name, conversion_problem, convert_number, convert_text, is_reserved, json_depth, json_kind,
+    column_name, conversion_problem, convert_number, convert_text, deepest, is_reserved, json_kind,
 )
 from ..session import bounded, opened, settle
 
@@ -32,7 +32,7 @@ def flatten_leaves(records: DataFrame, keys: list[str], body: str = "obj", max_d
     the query instead of losing leaves.
     """
     if max_depth is None:
-        max_depth = max(1, records.agg(F.max(json_depth(F.to_json(body)))).first()[0] or 1)
+        max_depth = deepest(records, F.to_json(body))
 
     def is_leaf(node: Column) -> Column:
         return F.try_variant_get(node, "$.value", "variant").isNotNull()
