@@ -278,3 +278,26 @@ def test_gaps_over_many_bitmaps(spark):
     got = merge.gaps(lines(spark, "a", "b", "c", "d", "d"), records, declared, ["line_id"]).collect()
     assert sorted((r.line_id, r.trait_name) for r in got) == sorted((line, t) for line in "abcd" for g, t in names if (line, g, t) not in has)
     assert {r.trait_name: r.trait_ord for r in got if r.line_id == "d"} == {t: i for i, (_, t) in enumerate(names)}
+
+
+def test_few_plain_traits_merge_as_many_do(spark, monkeypatch):
+    from traitloom.operators import merge
+    traits = spark.createDataFrame(
+        [(1, "g", 1, "a", "nominal", None), (1, "g", 2, "n", "quantitative", "cm"), (2, "_h", 1, "a", "nominal", None)],
+        "group_ord int, group_name string, trait_ord int, trait_name string, scale_type string, unit string")
+    texts = [
+        ("x", "s1", 1, '{"g":{"a":{"value":"old","rationale":"r"},"n":{"value":"1_000"}},"_h":{"a":{"value":"no"}}}'),
+        ("x", "s2", 2, '{"g":{"a":{"rationale":"no value"},"other":{"value":1}}}'), ("y", "s1", 1, '{"g":[{"a":{"value":1}}]}'),
+        ("y", "s2", 2, '{"g":{"a":{"value":null},"n":"bare"}}'), ("z", "s1", 1, '{"g":{"a":{"value":[1,{"k":2}],"rationale":3}}}'),
+        ("gone", "s1", 1, '{"g":{"a":{"value":"v"}}}'), (None, "s1", 1, '{"g":{"a":{"value":"v"}}}'), ("w", "s1", 1, '[]')]
+    answers = spark.createDataFrame(texts, "line_id string, shard_id string, position int, text string").withColumn("obj", F.try_parse_json("text"))
+    lines = spark.createDataFrame([(v,) for v in ("x", "y", "z", "w", "x", None)], "line_id string")
+
+    def rows():
+        df = merge.merge_records(lines, answers, traits, ["line_id"])
+        return df, sorted(map(str, df.withColumn("value", F.to_json("value")).collect()))
+    few, got = rows()
+    monkeypatch.setattr(merge, "FEW_TRAITS", 0)
+    many, want = rows()
+    assert got == want and len(got) == 3 and few.columns == many.columns
+    assert few._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
