@@ -349,3 +349,14 @@ def test_constraint_nodes_of_odd_schemas(spark):
         (0, "c", "[]"): ("type", ['["string","null"]']), (1,): ("type", [None]), (2,): ("type", [None]),
         (3,): ("type", [None]), (4,): ("type", [None])}
     assert "get_json_object(body" not in sc.constraint_nodes(one, max_depth=1)._jdf.queryExecution().analyzed().toString()
+
+
+def test_result_files_are_compressed(spark, monkeypatch):
+    from pathlib import Path
+
+    from traitloom.plans import answer_queries
+    made, plain = [], answer_queries.scratch
+    monkeypatch.setattr(answer_queries, "scratch", lambda s, name: made.append(plain(s, name)) or made[-1])
+    answer_queries.scan_results(spark, "/root/testdata/sf0.001")
+    files = [f.name for path in made for f in Path(path).glob("part-*")]
+    assert files and all(f.endswith(".json.gz") for f in files)
