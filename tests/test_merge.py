@@ -301,3 +301,41 @@ def test_few_plain_traits_merge_as_many_do(spark, monkeypatch):
     many, want = rows()
     assert got == want and len(got) == 3 and few.columns == many.columns
     assert few._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+
+
+def test_merged_lines_take_one_grouping(spark):
+    kind = "group_ord int, group_name string, trait_ord int, trait_name string, scale_type string, unit string"
+    traits = spark.createDataFrame(
+        [(1, "g", 1, "a", "nominal", None), (1, "g", 2, "n", "quantitative", "cm"), (2, "_h", 1, "a", "nominal", None)], kind)
+    texts = [  # line, shard, fresh, at, answer
+        ("x", "s1", True, 1, '{"g":{"a":{"value":"first","rationale":"r"},"n":{"value":"1_000"}},"_h":{"a":{"value":"no"}}}'),
+        ("x", "s1", True, 4, '{"g":{"a":{"value":"newest","rationale":3},"n":{"value":"2"}}}'),
+        ("x", "s2", False, 9, '{"g":{"a":{"value":"adopted comes first"}}}'), ("x", "s3", True, 2, '{"g":{"n":"bare"}}'),
+        ("y", "s1", False, 8, '{"g":{"a":{"value":"old"}}}'), ("y", "s1", True, 1, '{"g":{"a":{"value":null},"n":[1]}}'),
+        ("z", "s2", True, 1, '{"g":{"a":{"value":[1,{"k":2}]},"n":{"value":"about 5"}}}'), ("z", "s1", True, 3, '{"g":{"n":{"value":7}}}'),
+        ("gone", "s1", True, 1, '{"g":{"a":{"value":"v"}}}'), (None, "s1", True, 1, '{"g":{"a":{"value":"v"}}}'), ("w", "s1", True, 1, '[]')]
+    given = spark.createDataFrame(texts, "line_id string, shard_id string, is_fresh boolean, at int, text string").withColumn(
+        "obj", F.try_parse_json("text")).drop("text")
+    asked = lines(spark, "x", "y", "z", "w", "x", "v")
+    merged = merge.merged_lines(asked, given, traits, ["s1", "s2", "s3"], ["line_id"], ["at"])
+    shown = lambda df: sorted(map(str, df.withColumn("value", F.to_json("value")).collect()))
+    answers = rs.newest_answers(given, ["line_id", "shard_id"], ["at"], ["obj"])
+    plain = merge.merge_records(asked, answers, traits, ["line_id"])
+    got = merge.present_traits(*merged, ["line_id"])
+    assert shown(got) == shown(plain) and len(shown(got)) == 4
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    missing = merge.missing_traits(*merged, ["line_id"])
+    want = merge.gaps(asked, plain, traits, ["line_id"])
+    assert sorted(map(tuple, missing.collect())) == sorted(map(tuple, want.select(*missing.columns).collect()))
+    assert merge.merged_totals(merged[0]).collect() == merge.merge_totals(asked, want, ["line_id"]).collect()
+
+
+def test_answers_of_undeclared_shards_are_not_lost_silently(spark, traits):
+    given = spark.createDataFrame([("a", "s9", True, 1)], "line_id string, shard_id string, is_fresh boolean, at int").withColumn(
+        "obj", F.try_parse_json(F.lit("{}")))
+    with pytest.raises(Exception, match="not declared"):
+        merge.merged_lines(lines(spark, "a"), given, traits, ["s1"], ["line_id"], ["at"])[0].collect()
+
+
+def test_methods_too_long_to_compile_are_split(spark):
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) == 8000
