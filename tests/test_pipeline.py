@@ -360,3 +360,19 @@ def test_result_files_are_compressed(spark, monkeypatch):
     answer_queries.scan_results(spark, "/root/testdata/sf0.001")
     files = [f.name for path in made for f in Path(path).glob("part-*")]
     assert files and all(f.endswith(".json.gz") for f in files)
+
+
+def test_cells_are_not_moved(spark):
+    """The runs of a line meet as one row each: cells unfold after it, and grouping by line needs no shuffle of its own."""
+    from traitloom.plans import inputs as src
+    from traitloom.plans.catalog import QUERIES
+    merged, _, rows = src.merged(spark, SF)
+    moved = plan_of(merged).count("Arguments: hashpartitioning")
+    assert plan_of(QUERIES["noise_excess"](spark, SF)).count("Arguments: hashpartitioning") == moved + 1
+    whole = cp.line_cells(merged, rows, src.RUNS, lambda scale, raw: raw)
+    plain = cp.run_cells(src.records(spark, SF), src.RUNS, F.col("raw"), ["scale_type"])
+    columns = [*cp.CELL, "scale_type", "vals"]
+    got, want = (sorted((tuple(r[:4]), sorted(r[4].items())) for r in df.select(columns).collect()) for df in (whole, plain))
+    assert got == want and len(got) > 1000
+    numbers = cp.line_cells(merged, rows, [1, 2], lambda scale, raw: raw, "quantitative")
+    assert {r.scale_type for r in numbers.collect()} == {"quantitative"}

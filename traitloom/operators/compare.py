@@ -7,13 +7,15 @@ are shuffled: each pair of runs is two counters of an aggregate.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import combinations, product
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from ..constants import NOMINAL, ORDINAL, QUANTITATIVE, SENTINEL
 from ..functions import stats
+from ..session import sql_literal
 
 CELL = ["line_id", "group_name", "trait_name"]
 #: Pairs counted by one aggregate; more pairs become more aggregates.
@@ -34,6 +36,34 @@ def run_cells(records: DataFrame, runs: list[int], value: Column, extra: list[st
     return held.groupBy(*CELL, *extra).agg(F.map_from_entries(F.collect_set("_v")).alias("vals"))
 
 
+def line_cells(
+    merged: DataFrame, rows: list[Row], runs: list[int], value: Callable[[Column, Column], Column], scale: str | None = None
+) -> DataFrame:
+    """:func:`run_cells` of merged lines, with ``scale_type``.
+
+    *value* gives the value from scale and raw text; with *scale*, only traits of
+    it count.  A run of a line is one row with a value for each trait; the runs
+    of a line, bounded by the declared ones, meet by its id and unfold into cells
+    in place, so no cell is moved and what follows by line needs no shuffle.
+    """
+    wanted = [(i, r) for i, r in enumerate(rows) if scale is None or r.scale_type == scale]
+    values = [F.get("cells", F.lit(i))["value"] for i, _ in wanted]
+    held = F.array(*[
+        F.when(v.isNotNull(), F.struct(value(F.lit(r.scale_type), F.try_variant_get(v, "$", "string")).alias("value")))
+        for v, (_, r) in zip(values, wanted)])
+    run_rows = merged.where(F.col("run_no").isin(*runs)).select("line_id", F.struct(F.col("run_no").alias("run"), held.alias("held")).alias("_r"))
+    per_line = run_rows.repartition("line_id").groupBy("line_id").agg(F.collect_list("_r").alias("_runs"))
+
+    def vals(no: int) -> Column:
+        has = F.filter("_runs", lambda r: F.get(r["held"], F.lit(no)).isNotNull())
+        return F.map_from_entries(F.transform(has, lambda r: F.struct(
+            r["run"].alias("run"), F.get(r["held"], F.lit(no))["value"].alias("value"))))
+    cells = F.array(*[
+        F.struct(*[sql_literal(r[c]).alias(c) for c in ("group_name", "trait_name", "scale_type")], vals(no).alias("vals"))
+        for no, (_, r) in enumerate(wanted)])
+    return per_line.select("line_id", F.explode(cells).alias("_c")).select("line_id", "_c.*").where(F.size("vals") > 0)
+
+
 def _has(run: int) -> Column:
     return F.map_contains_key("vals", F.lit(run))
 

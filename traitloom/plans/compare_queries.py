@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.values import parse_value
 from ..operators import compare as cp
 from . import inputs as src
 from .registry import over, query
@@ -19,12 +20,11 @@ _N = "CAST(count(*) AS BIGINT) AS compared, CAST(count(*) FILTER (same) AS BIGIN
 
 def _cells(spark: SparkSession, sf: str, runs: list[int] = src.RUNS, numbers: bool = False) -> DataFrame:
     """Cells with the merged value: numbers as numbers, the sentinel as it stands."""
-    records = src.records(spark, sf)
+    merged, _, rows = src.merged(spark, sf)
     if numbers:
-        return cp.run_cells(records.where(F.col("scale_type") == "quantitative"), runs, F.col("num"))
-    value = F.when((F.col("scale_type") == "quantitative") & (F.col("raw") != "not_assessable"),
-                   F.col("num").cast("string")).otherwise(F.col("raw"))
-    return cp.run_cells(records, runs, value, ["scale_type"])
+        return cp.line_cells(merged, rows, runs, parse_value, "quantitative")
+    return cp.line_cells(merged, rows, runs, lambda scale, raw: F.when(
+        (scale == "quantitative") & (raw != "not_assessable"), parse_value(scale, raw).cast("string")).otherwise(raw))
 
 
 @query("agreement", over("merged", _PAIR + f"SELECT run_a, run_b, {_N} FROM pair GROUP BY 1, 2"))
