@@ -339,3 +339,22 @@ def test_answers_of_undeclared_shards_are_not_lost_silently(spark, traits):
 
 def test_methods_too_long_to_compile_are_split(spark):
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) == 8000
+
+
+def test_leaves_are_gathered_where_the_line_lies(spark, traits):
+    """One shuffle brings the answers of a line together; its leaves, wide row and columns need no other."""
+    from traitloom.operators.merge import line_answers
+    texts = [
+        ("a", "s1", False, 1, '{"g":{"x":{"value":"old"},"y":{"value":"kept"}}}'), ("a", "s2", True, 3, '{"g":{"x":{"value":"new"},"n":{"value":null}}}'),
+        ("a", "s2", True, 2, '{"g":{"x":{"value":"early"},"z":{"value":"gone"}}}'), ("b", "s1", True, 1, '{"g":{"x":{"rationale":"r"}}}')]
+    given = spark.createDataFrame(texts, "line_id string, shard_id string, is_fresh boolean, at int, body string").withColumn(
+        "obj", F.try_parse_json("body")).drop("body")
+    lines = spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "line_id string")
+    answers = line_answers(lines, given, ["s1", "s2"], ["line_id"], ["at"])
+    found = tb.line_leaves(answers, 2, traits, ["line_id"])
+    columns = tb.line_columns(found, traits)
+    wide = tb.wide_lines(found, columns, ["line_id"])
+    assert [c["name"] for c in columns] == ["n", "x", "y"]
+    planned = wide._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert planned.count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, wide.collect()), key=str) == [("a", None, "new", "kept"), ("b", None, None, None), ("c", None, None, None)]

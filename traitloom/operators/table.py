@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -228,7 +228,49 @@ def wide_table(
         more = typed.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(*block)
         same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
         wide = wide.join(more, same).drop(*[f"_{k}" for k in keys])
+    return with_levels(wide, columns)
+
+
+def with_levels(wide: DataFrame, columns: list[dict]) -> DataFrame:
+    """Ordered labels of ordinal columns as column metadata."""
     for c in columns:
         if c["scale_type"] == ORDINAL and c["levels"]:
             wide = wide.withMetadata(c["name"], {"ordered": True, "levels": c["levels"]})
     return wide
+
+
+def line_leaves(answers: DataFrame, shards: int, traits: DataFrame, keys: list[str], max_depth: int | None = None) -> DataFrame:
+    """One row per line of :func:`merge.line_answers`, with ``leaves``: path, place in the merge, and the typed value.
+
+    The leaves of a line are unfolded, typed and gathered where the line lies.
+    """
+    ranks = [F.col(f"_r{i}") for i in range(shards)]
+    given = [F.col(f"_o{i}").isNotNull() for i in range(shards)]
+    each = [F.struct(
+        reduce(add, [F.when(given[j] & (ranks[j] < r), 1).otherwise(0) for j in range(shards)]).alias("no"), F.col(f"_o{i}").alias("obj"))
+        for i, r in enumerate(ranks)]
+    # a line without a single leaf is kept by one of its own, of no answer
+    own = F.struct(F.lit(-1).alias("no"), F.try_parse_json(F.lit('{"line":{"value":null}}')).alias("obj"))
+    kept = ["_place", *keys, "_no"]
+    found = answers.select("_place", *keys, F.explode(F.array(*each, own)).alias("_e")).where("_e.obj IS NOT NULL").select(
+        "_place", *keys, F.col("_e.no").alias("_no"), F.col("_e.obj").alias("obj"))
+    typed = type_leaves(flatten_leaves(found, kept, max_depth=max_depth), traits)
+    leaf = F.when(F.col("_no") >= 0, F.struct("path", F.col("_no").alias("no"), "num", "text"))
+    return typed.groupBy("_place", *keys).agg(F.collect_list(leaf).alias("leaves")).select(*keys, "leaves")
+
+
+def line_columns(lines: DataFrame, traits: DataFrame, mode: str = "error", rename: dict[str, str] | None = None) -> list[dict]:
+    """:func:`table_columns` of lines with their leaves."""
+    paths = lines.select(F.explode("leaves.path").alias("path")).distinct()
+    return table_columns(type_leaves(paths.withColumn("value", F.lit(None).cast("variant")), traits), mode, rename)
+
+
+def wide_lines(lines: DataFrame, columns: list[dict], keys: list[str]) -> DataFrame:
+    """:func:`wide_table` of lines with their leaves: each row becomes one in place."""
+    cells = []
+    for c in columns:
+        field = "num" if c["scale_type"] == QUANTITATIVE else "text"
+        path = F.array(*map(F.lit, c["path"]))
+        here = F.filter("leaves", lambda e: e["path"] == path)
+        cells.append(F.array_max(F.transform(here, lambda e: F.struct(e["no"], e[field].alias("value"))))["value"].alias(c["name"]))
+    return with_levels(lines.select(*keys, *cells), columns)

@@ -519,15 +519,10 @@ FROM run_line r LEFT JOIN typed t USING (run_no, line_id) GROUP BY 1, 2""")
 
 
 def _wide(spark: SparkSession, sf: str) -> DataFrame:
-    order = ["position", "shard_id"]
-    leaves = tb.flatten_leaves(src.answers(spark, sf), [*src.RUN_LINE, *order], max_depth=3)
-    path = scratch(spark, "typed")  # read for the columns and again for the cells, each time in part
-    tb.type_leaves(leaves, src.traits(spark)).select(
-        *src.RUN_LINE, *order, "path", "group_name", "trait_name", "group_ord", "trait_ord", "scale_type", "unit", "levels",
-        "declared", "num", "text").write.parquet(path)
-    typed = spark.read.parquet(path)
-    columns = tb.table_columns(typed, "prefix_collided")
-    return tb.wide_table(typed, columns, src.RUN_LINE, src.run_lines(spark, sf), order)
+    path = scratch(spark, "leaves")  # read for the columns and again for the cells, each time in part
+    tb.line_leaves(src.answered_lines(spark, sf), len(src.SHARDS), src.traits(spark), src.RUN_LINE, max_depth=3).write.parquet(path)
+    lines = spark.read.parquet(path)
+    return tb.wide_lines(lines, tb.line_columns(lines, src.traits(spark), "prefix_collided"), src.RUN_LINE)
 
 
 @query("wide_table", _WIDE)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from ..constants import SENTINEL
 from ..functions.values import custom_id, error_text
-from ..operators.merge import merged_lines, missing_traits, present_traits
+from ..operators.merge import line_answers, merged_lines, missing_traits, present_traits
 from ..operators.responses import newest_answers, parse_answers, split_rejects
 from ..session import configure
 
@@ -179,9 +179,7 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest usable answer per run, line and shard, prior ones adopted."""
-    good, _ = split_rejects(parsed(spark, sf_dir))
-    rows = good.select("run_no", "line_id", "shard_id", "obj", (F.col("source") == "fresh").alias("is_fresh"), *DELIVERY)
-    return newest_answers(rows, ["run_no", "line_id", "shard_id"], DELIVERY, ["obj"])
+    return newest_answers(_usable(spark, sf_dir), ["run_no", "line_id", "shard_id"], DELIVERY, ["obj"])
 
 
 def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,11 +191,19 @@ def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("run_no", "line_id", F.concat("shard_id", F.lit(": "), "detail").alias("error"))
 
 
+def _usable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good, _ = split_rejects(parsed(spark, sf_dir))
+    return good.select("run_no", "line_id", "shard_id", "obj", (F.col("source") == "fresh").alias("is_fresh"), *DELIVERY)
+
+
 def merged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[Row]]:
     """The merged lines of all runs, with their schema and its rows."""
-    good, _ = split_rejects(parsed(spark, sf_dir))
-    rows = good.select("run_no", "line_id", "shard_id", "obj", (F.col("source") == "fresh").alias("is_fresh"), *DELIVERY)
-    return merged_lines(delivered_lines(spark, sf_dir), rows, traits(spark), SHARDS, RUN_LINE, DELIVERY)
+    return merged_lines(delivered_lines(spark, sf_dir), _usable(spark, sf_dir), traits(spark), SHARDS, RUN_LINE, DELIVERY)
+
+
+def answered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest answers of each line of all runs."""
+    return line_answers(delivered_lines(spark, sf_dir), _usable(spark, sf_dir), SHARDS, RUN_LINE, DELIVERY)
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
