@@ -35,7 +35,8 @@ def flatten_leaves(records: DataFrame, keys: list[str], body: str = "obj", max_d
         max_depth = deepest(records, F.to_json(body))
 
     def is_leaf(node: Column) -> Column:
-        return F.try_variant_get(node, "$.value", "variant").isNotNull()
+        # read as a struct: a path to a key that an object lacks costs an exception inside Spark
+        return F.try_variant_get(node, "$", "struct<value:variant>")["value"].isNotNull()
 
     found = opened(records, body, "_key", "_node", keys).where(~is_reserved(F.col("_key")))
     found = found.select(*keys, F.array("_key").alias("path"), "_node", is_leaf(F.col("_node")).alias("_leaf"))
