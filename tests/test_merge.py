@@ -358,3 +358,30 @@ def test_leaves_are_gathered_where_the_line_lies(spark, traits):
     planned = wide._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
     assert planned.count("Exchange hashpartitioning") == 1
     assert sorted(map(tuple, wide.collect()), key=str) == [("a", None, "new", "kept"), ("b", None, None, None), ("c", None, None, None)]
+
+
+@pytest.mark.parametrize("few", [64, 0])
+def test_streamed_records_equal_the_batch_merge(spark, tmp_path, monkeypatch, few):
+    """Both shards answer one trait: as in the batch merge the later arrival counts."""
+    from traitloom.streaming import live
+    kind = "line_id string, shard_id string, status string, is_fresh boolean, at int, text string, ts timestamp"
+    answer = '```json\n{{"whole":{{"rank":{{"value":{}}}}}}}\n```'
+    slices = [
+        [("a", "s1", "ok", True, 5, answer.format(1)), ("a", "s2", "ok", True, 2, answer.format(2)), ("b", "s1", "ok", True, 1, answer.format(3))],
+        [("b", "s2", "api error", True, 1, None), ("a", "s2", "ok", True, 9, answer.format(4)), ("b", "s1", "ok", True, 7, answer.format(5))]]
+    info = spark.createDataFrame(
+        [(1, "whole", 1, "rank", "nominal", None)], "group_ord int, group_name string, trait_ord int, trait_name string, scale_type string, unit string")
+    path, store, out, state = (str(tmp_path / n) for n in ("calls", "store", "out", "state"))
+    monkeypatch.setattr(merge, "FEW_TRAITS", few)
+    for rows in slices:
+        made = spark.createDataFrame(rows, kind.rsplit(",", 1)[0]).withColumn("ts", F.timestamp_seconds("at"))
+        made.write.mode("append").parquet(path)
+        made.where("status = 'ok'").write.mode("append").parquet(store)
+        live.drain(live.hand_out_records(
+            live.finalize(spark.readStream.schema(kind).parquet(path), 2), lambda: spark.read.parquet(store), info, ["s1", "s2"],
+            ["line_id"], ["at"], out, state))
+    monkeypatch.undo()
+    got = {r.line_id: r.raw for r in live.handed_out(spark, out, ["line_id"]).collect()}
+    usable = spark.read.parquet(store).withColumn("obj", F.try_parse_json(F.regexp_extract("text", "[{].*[}]", 0)))
+    want = merge.present_traits(*merge.merged_lines(lines(spark, "a", "b"), usable, info, ["s1", "s2"], ["line_id"], ["at"]), ["line_id"])
+    assert got == {r.line_id: r.raw for r in want.collect()} == {"a": "1", "b": "5"}
