@@ -289,7 +289,7 @@ def merge_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    return merge.record_documents(src.run_lines(spark, sf), src.records(spark, sf), src.RUN_LINE, merge.provenance_block(**BLOCK))
+    return merge.record_documents(src.run_lines(spark, sf), src.merged(spark, sf), src.RUN_LINE, merge.provenance_block(**BLOCK))
 
 
 def _unnested(documents: DataFrame, keys: list[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from ..functions.text import SECTION_SEPARATOR
 
 def write_records(documents: DataFrame, path: str) -> None:
     """Merged records as rows ``(line_id.., body)``, replacing an earlier merge."""
-    documents.write.mode("overwrite").parquet(path)
+    documents.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def write_gaps(report: DataFrame, path: str) -> None:
