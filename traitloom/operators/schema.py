@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..constants import (
     ABSENCE_CATEGORIES, ABSENCE_PATTERN, FORBIDDEN_KEYS, MAX_NOMINAL_CATEGORIES, MAX_ORDINAL_LEVELS, NOMINAL,
     ORDINAL, ORDINAL_LEVELS_WITHOUT_NOTE, QUANTITATIVE, SENTINEL, SNAKE_CASE_PATTERN,
 )
+from ..functions.nodes import differences, plain_nodes
 from ..functions.text import strip
-from ..functions.values import categories, deepest, json_kind, trait_cost
+from ..functions.values import bracket_depth, categories, deepest, json_brackets, json_kind, trait_cost
 from ..session import bounded, once, settle
 from .table import LEVELS
 
@@ -329,19 +333,81 @@ def _described(rows: DataFrame) -> DataFrame:
         F.when(kind == "items", F.col("_k.items")).alias("_items"))
 
 
-def constraint_nodes(docs: DataFrame, body: str = "body", max_depth: int | None = None) -> DataFrame:
-    """Every node of a constrained-output schema with its kind and payload.
+#: Documents whose nodes one step inside a task holds.
+STEP_DOCS = 1_000
+PATHS = "path array<string>, kind string, payload array<string>"
+
+
+def _kind_of(docs: DataFrame) -> str:
+    """The id and version columns of *docs* as a schema text."""
+    return ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", "version"))
+
+
+def _doc_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, STEP_DOCS):
+            yield batch.slice(at, STEP_DOCS)
+
+
+def _odd_docs(docs: DataFrame, max_depth: int | None) -> DataFrame:
+    """The documents that :func:`plain_nodes` leaves to the readers."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _doc_steps(batches):
+            yield batch.filter(pa.array([plain_nodes(t, max_depth) is None for t in batch.column("body").to_pylist()], pa.bool_()))
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _plain_docs(docs: DataFrame, max_depth: int | None, kinds: list[str] | None) -> DataFrame:
+    """The nodes of all other documents, each text read once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _doc_steps(batches):
+            row, path, kind, payload = [], [], [], []
+            for i, text in enumerate(batch.column("body").to_pylist()):
+                for p, k, held in plain_nodes(text, max_depth) or ():
+                    if kinds is None or k in kinds:
+                        row.append(i)
+                        path.append(p)
+                        kind.append(k)
+                        payload.append(held)
+            at = pa.array(row, pa.int32())
+            texts = pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(at), batch.column("version").take(at), pa.array(path, texts), pa.array(kind, pa.string()), pa.array(payload, texts)],
+                ["doc_id", "version", "path", "kind", "payload"])
+    return docs.mapInArrow(run, f"{_kind_of(docs)}, {PATHS}")
+
+
+def constraint_nodes(docs: DataFrame, body: str = "body", max_depth: int | None = None, kinds: list[str] | None = None) -> DataFrame:
+    """Every node of a constrained-output schema with its kind and payload; of *kinds* only, where given.
 
     Enum members are a sorted set, part names keep their order, and the type of
-    an enum node is not looked at.  Each level opens its nodes once and hands the
-    texts of their parts on; a described node passes without its text.
+    an enum node is not looked at.  A plain document is read as a whole; any
+    other is opened level by level, as many as those documents have.
+    """
+    given = docs.select("doc_id", "version", F.col(body).alias("body"))
+    max_depth = max_depth or None
+    odd = _odd_docs(given, max_depth)
+    plain = _plain_docs(given, max_depth, kinds)
+    if max_depth is None:
+        shapes = odd.select(json_brackets(F.col("body")).alias("_b")).distinct()
+        n, deep = shapes.agg(F.count(F.lit(1)), F.max(bracket_depth(F.col("_b")))).first()
+        if not n:
+            return plain
+        max_depth = max(1, deep or 1)
+    rest = _opened_nodes(odd, max_depth)
+    return plain.unionByName(rest if kinds is None else rest.where(F.col("kind").isin(*kinds)))
+
+
+def _opened_nodes(docs: DataFrame, max_depth: int) -> DataFrame:
+    """The nodes of any documents.
+
+    Each level opens its nodes once and hands the texts of their parts on; a
+    described node passes without its text.
     """
-    max_depth = max_depth or deepest(docs, F.col(body))
-
     def below(path: Column, node: Column) -> Column:
         return F.struct(path.alias("path"), F.lit(None).cast("string").alias("kind"),
                         F.lit(None).cast("array<string>").alias("payload"), node.alias("node"))
-    start = below(F.array().cast("array<string>"), F.col(body))
+    start = below(F.array().cast("array<string>"), F.col("body"))
     rows = _described(docs.select("doc_id", "version", start.alias("_n")))
     path = F.col("_n.path")
     for _ in range(max_depth):
@@ -358,13 +424,79 @@ def constraint_nodes(docs: DataFrame, body: str = "body", max_depth: int | None
         F.col("_n.payload").alias("payload"))
 
 
+def _compared_docs(docs: DataFrame, versions: int, max_depth: int | None) -> DataFrame:
+    """``doc_id, path, problem`` of plain documents; one row without path for an id that has another document.
+
+    The versions of a document lie side by side and pass one by one; what is
+    held is one id's distinct payloads.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple, tuple[set, set, set]] | None = {}
+        last, begun = None, False
+        out: list[tuple] = []
+
+        def close() -> None:
+            if not begun:
+                return
+            if found is None:
+                out.append((last, None, None))
+            else:  # rows without an id have never been looked for below one another
+                out.extend((last, p, why) for p, why in differences(found, versions, last is not None))
+
+        def given() -> pa.RecordBatch:
+            rows = [{"doc_id": i, "path": p, "problem": why} for i, p, why in out]
+            out.clear()
+            return pa.RecordBatch.from_pylist(rows, shape)
+
+        shape = None
+        for batch in _doc_steps(batches):
+            if shape is None:
+                shape = pa.schema([batch.schema.field("doc_id"), pa.field("path", pa.list_(pa.string())), pa.field("problem", pa.string())])
+            for doc, version, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "version", "body"))):
+                if not begun or doc != last:
+                    close()
+                    last, begun, found = doc, True, {}
+                if found is None:
+                    continue
+                nodes_ = plain_nodes(text, max_depth)
+                if nodes_ is None:
+                    found = None
+                    continue
+                for path, node_kind, payload in nodes_:
+                    names, kinds, payloads = found.setdefault(path, (set(), set(), set()))
+                    if version is not None:
+                        names.add(version)
+                    kinds.add(node_kind)
+                    payloads.add(payload)
+            yield given()
+        close()
+        if out:
+            yield given()
+    side_by_side = docs.repartition("doc_id").sortWithinPartitions("doc_id")
+    return side_by_side.mapInArrow(run, f"doc_id {kind}, path array<string>, problem string")
+
+
 def schema_diff(docs: DataFrame, versions: list[str], body: str = "body", max_depth: int | None = None) -> DataFrame:
     """Places where versions of one schema constrain differently.
 
-    All versions meet in one grouping per place.  Below a place that differs
-    nothing more is reported.
+    All versions of a document meet, plain ones as texts, any others as one
+    grouping per place.  Below a place that differs nothing more is reported.
     """
-    placed = constraint_nodes(docs, body, max_depth).groupBy("doc_id", "path").agg(
+    given = docs.select("doc_id", "version", F.col(body).alias("body"))
+    if not isinstance(docs.schema["doc_id"].dataType, (T.StringType, T.IntegralType)):  # ids that may equal without being the same
+        return _placed_differences(given, versions, max_depth)
+    found = settle(_compared_docs(given, len(versions), max_depth or None))  # few
+    bad, odd = found.where(F.col("problem").isNotNull()), found.where(F.col("problem").isNull()).select(F.col("doc_id").alias("_odd"))
+    if not odd.limit(1).count():
+        return bad
+    rest = given.join(odd, F.col("doc_id").eqNullSafe(F.col("_odd")), "left_semi")
+    return bad.unionByName(_placed_differences(rest, versions, max_depth))
+
+
+def _placed_differences(docs: DataFrame, versions: list[str], max_depth: int | None) -> DataFrame:
+    placed = constraint_nodes(docs, "body", max_depth).groupBy("doc_id", "path").agg(
         F.collect_set("version").alias("_versions"), F.collect_set("kind").alias("_kinds"),
         F.collect_set(F.coalesce("payload", F.array().cast("array<string>"))).alias("_payloads"))
     problem = (
@@ -392,7 +524,7 @@ def enum_sets(docs: DataFrame, versions: list[str], body: str = "body", max_dept
     versions meet in one aggregate per place, of which tasks keep the smallest
     and the largest set.
     """
-    enums = constraint_nodes(docs, body, max_depth).where("kind = 'enum'")
+    enums = constraint_nodes(docs, body, max_depth, ["enum"])
     payload = F.coalesce("payload", F.array().cast("array<string>"))
     return enums.groupBy("doc_id", "path").agg(
         ((F.size(F.collect_set("version")) == len(versions)) & F.min(payload).eqNullSafe(F.max(payload))).alias("same"),
