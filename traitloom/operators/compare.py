@@ -224,6 +224,22 @@ def _shown(records: DataFrame) -> tuple[DataFrame, list[Column]]:
     return usable, [F.col("group_name"), F.col("trait_name"), value.alias("value")]
 
 
+def shown_lines(merged: DataFrame, rows: list[Row], by: str = "run_no") -> DataFrame:
+    """The rows that :func:`support` and :func:`support_sketches` count, from merged lines.
+
+    A run of a line is moved once, as one list of texts, and lies by its line:
+    counting lines needs no other shuffle of rows, and what is counted in several
+    ways is merged once.
+    """
+    texts = [F.try_variant_get(F.get("cells", F.lit(i))["value"], "$", "string") for i in range(len(rows))]
+    packed = merged.select("line_id", F.array(F.col(by).cast("string"), *texts).alias("_texts")).repartition("line_id")
+    each = F.array(*[
+        F.struct(*[sql_literal(r[c]).alias(c) for c in ("group_name", "trait_name", "scale_type")], F.get("_texts", F.lit(i + 1)).alias("raw"))
+        for i, r in enumerate(rows)])
+    run = F.get("_texts", F.lit(0)).cast(merged.schema[by].dataType)
+    return packed.select("line_id", run.alias(by), F.explode(each).alias("_c")).select("line_id", by, "_c.*").where(F.col("raw").isNotNull())
+
+
 def support(records: DataFrame, approx: bool = False) -> DataFrame:
     """Number of lines that show each value of each categorical trait, and each trait.
 

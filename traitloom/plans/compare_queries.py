@@ -173,7 +173,8 @@ SELECT group_name, trait_name, CASE WHEN scale_type = 'quantitative' THEN '(meas
   CAST(count(DISTINCT line_id) AS BIGINT) AS support, true AS within FROM merged WHERE raw IS NOT NULL AND raw <> 'not_assessable' GROUP BY 1, 2, 3"""))
 def support_merged(spark: SparkSession, sf: str) -> DataFrame:
     """Sketches of each run, merged over all runs: within four standard errors of the exact count."""
-    records = src.records(spark, sf)
+    lines, _, rows = src.merged(spark, sf)
+    records = cp.shown_lines(lines, rows)
     merged = cp.merged_support(cp.support_sketches(records, ["run_no"])).withColumnRenamed("support", "estimate")
     exact = cp.support(records).join(merged, ["group_name", "trait_name", "value"], "left")
     off = F.abs(F.col("estimate") - F.col("support"))
